@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import attribution, packing, store
 from .common import documents
 
 _VOCABULARY = "byte_bpe_50k.json"
@@ -23,8 +23,16 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "class")
 
 
+def op2_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.document_checksums(spark, store.new_store(documents(spark, sf_dir), vocabulary_path()))
+
+
+def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(documents(spark, sf_dir), vocabulary_path(), rule="first")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_harmonic_packing,)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op6_token_attribution)}
 
 
 def oracle_sql() -> dict[str, str]:
