@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, packing, store
-from .common import documents
+from . import attribution, langid, packing, store, toxicity
+from .common import documents, held_out
 
 _VOCABULARY = "byte_bpe_50k.json"
 
@@ -27,12 +27,25 @@ def op2_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.document_checksums(spark, store.new_store(documents(spark, sf_dir), vocabulary_path()))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs, ~held_out(F.col("doc_id")))
+    return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(documents(spark, sf_dir), vocabulary_path(), rule="first")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, ~held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op6_token_attribution)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op6_token_attribution, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
