@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, langid, packing, store, toxicity
+from . import attribution, langid, neardup, packing, store, toxicity
 from .common import documents, held_out
 
 _VOCABULARY = "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(documents(spark, sf_dir), vocabulary_path(), rule="first")
 
 
+def op8_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), percent=85, shingle=5)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, ~held_out(F.col("doc_id")))
@@ -45,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op6_token_attribution, op10_toxicity)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op6_token_attribution, op8_bottom_k_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
