@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, langid, neardup, packing, store, toxicity
+from . import attribution, exactdup, langid, neardup, packing, store, toxicity
 from .common import documents, held_out
 
 _VOCABULARY = "byte_bpe_50k.json"
@@ -37,6 +37,18 @@ def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(documents(spark, sf_dir), vocabulary_path(), rule="first")
 
 
+def op7_block_naming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.exact_duplicates(documents(spark, sf_dir))
+
+
+OP7_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm)
+"""
+
+
 def op8_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), percent=85, shingle=5)
 
@@ -49,8 +61,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op6_token_attribution, op8_bottom_k_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op6_token_attribution, op7_block_naming_exact_dedup, op8_bottom_k_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_block_naming_exact_dedup": OP7_SQL}

@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytesets import mix
 from .common import batch, fresh_path
@@ -141,7 +142,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, width: int = 2) -> No
     parts.unionByName(whole).write.parquet(f"{path}/manifest")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def roots(joined: pd.Series) -> pd.Series:
     """Merkle roots over digests that are joined, as bytes or in hexadecimal."""
 
