@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, exactdup, langid, neardup, packing, store, toxicity
+from . import attribution, decontaminate, exactdup, langid, neardup, packing, store, toxicity
 from .common import documents, held_out
 
 _VOCABULARY = "byte_bpe_50k.json"
@@ -33,6 +33,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    names = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(documents(spark, sf_dir), vocabulary_path(), rule="first")
 
@@ -61,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op6_token_attribution, op7_block_naming_exact_dedup, op8_bottom_k_near_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op5_fm_index_decontamination, op6_token_attribution, op7_block_naming_exact_dedup, op8_bottom_k_near_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
