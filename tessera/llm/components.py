@@ -21,7 +21,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
     left = cut(tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")))
-    schema = f"node {left.schema['a'].dataType.simpleString()}, component {left.schema['a'].dataType.simpleString()}"
     rounds: list[DataFrame] = []
     while not left.isEmpty():
         # Every edge (a, b) has b < a, so a node hooks to the least b of the edges in which it is a.
@@ -36,7 +35,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             ends = ends.join(hook.select(F.col("node").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         left = cut(tidy(ends))
     if not rounds:
-        return edges.sparkSession.createDataFrame([], schema)
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = rounds[-1]
     for earlier in reversed(rounds[:-1]):
         onward = out.select(F.col("node").alias("to"), F.col("to").alias("further"))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .bytesets import LOWER, NON_SPACE, hashes, mix, parts, words
 from .common import batch, cut
 from .components import components
+from .lists import linked
 
 #: Rows that one pivot's comparisons may bring to one task; beyond it the pivot goes to several.
 PER_TASK = 2000
@@ -179,34 +180,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc"), F.encode("text", "UTF-8").alias("value")).where("value is not null").join(wanted, "doc", "left_semi"))
     values = reps.select(F.col("rep").alias("doc"), F.col("sketch").alias("value")).join(ids, "doc", "left_semi")
 
-    links = members = tested = None
-    for turn in range(10_000):
-        # An entry's component is its document until a link says otherwise.
-        placed = entries.join(members, F.col("doc") == F.col("node"), "left").select("value", "doc", "n", F.coalesce("component", "doc").alias("comp")) if members is not None else entries.withColumn("comp", F.col("doc"))
-        open_lists = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("value")
-        placed = cut(placed.join(open_lists, "value"))
-        if placed.isEmpty():
-            break
-        pivots = cut(placed.groupBy("value", F.pmod(F.xxhash64("doc"), F.lit(1 << min(turn, 40))).alias("slot")).agg(F.min(F.struct("doc", "n", "comp")).alias("p")))
-        pivots = pivots.select("value", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp"))
-        near = placed.join(pivots, "value").where("comp <> pivot_comp").where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-        pairs = near.select("pivot", "doc").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["pivot", "doc"], "left_anti")
-        pairs = cut(pairs)
-        if not pairs.isEmpty():
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            likely = cut(_compare(pairs, values, BySketch(similarity, k)))
-            found = cut(_compare(likely, texts, BySet(percent, shingle)))
-            if not found.isEmpty():
-                links = found if links is None else cut(links.unionByName(found))
-                members = components(links, "pivot", "doc")
-        done = pivots.select("value", F.col("pivot").alias("doc"))
-        entries = placed.drop("comp").join(done, ["value", "doc"], "left_anti")
+    def compare(pairs: DataFrame) -> DataFrame:
+        likely = cut(_compare(pairs, values, BySketch(similarity, k)))
+        return _compare(likely, texts, BySet(percent, shingle))
 
+    sizes = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    members = linked(entries, compare, sizes)
     grouped = filled.groupBy(*copies).agg(F.min("doc_id").alias("rep"))
-    if members is None:
-        members = components(docs.sparkSession.createDataFrame([], "a long, b long"))
     # A document whose rows differ is in several sets; its links join them.
     own = filled.select("doc_id", *copies).join(grouped, copies).select("doc_id", "rep").join(members, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("rep")).distinct()
     repeated = own.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1")

@@ -168,18 +168,17 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def sensitive_terms(docs: DataFrame, reach: int = 8, least_contexts: int = 3, least_share: float = 0.5, least_bits: float = 4.0, removal_share: float = 0.9) -> DataFrame:
     """term (hash), remove: terms that disclose an entity. least_contexts: distinct contexts of the entity with the term;
-    least_share: of P(entity | term); least_bits: of log2(P(entity | term) / P(entity)); removal_share: from which share
+    least_share: of P(entity | term); least_bits: of log2(P(entity | term) / P(entity)), P(entity) being its share of all contexts; removal_share: from which share
     on a term is removed, not generalised."""
     seen = cut(contexts(docs, reach).distinct())
     joint = seen.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= least_contexts)
     joint = cut(joint)
     counted = occurrences(docs, joint.select("term").distinct())
     by_entity = seen.groupBy("entity").agg(F.countDistinct("context").alias("of_entity"))
-    # P(entity): its contexts among all words that could stand for a context.
-    everything = docs.select(F.sum(F.size(F.split("text", " "))).alias("all_words"))
+    all_contexts = seen.select("entity", "context").distinct().count()
     share = F.least(F.col("together") / F.col("n"), F.lit(1.0))
-    bits = F.log2(share / (F.col("of_entity") / F.greatest("all_words", "of_entity")))
-    told = joint.join(counted, "term").join(by_entity, "entity").crossJoin(F.broadcast(everything)).withColumn("share", share).where((share >= least_share) & (bits >= least_bits))
+    bits = F.log2(share / (F.col("of_entity") / F.lit(max(all_contexts, 1))))
+    told = joint.join(counted, "term").join(by_entity, "entity").withColumn("share", share).where((share >= least_share) & (bits >= least_bits))
     return cut(told.groupBy("term").agg((F.max("share") >= removal_share).alias("remove")))
 
 
