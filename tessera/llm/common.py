@@ -48,3 +48,26 @@ def binaries(data: bytes, offsets) -> pa.Array:
 
     off = np.ascontiguousarray(offsets, dtype=np.int32)
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)])
+
+
+def wrap(docs: DataFrame) -> DataFrame:
+    """row (all columns as one struct), doc_id, text: names that an operator adds can't clash with those of the input."""
+    fields = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*fields).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def unwrap(df: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of `row`, with its text replaced."""
+    return df.select((F.col("row").withField("text", text) if text is not None else F.col("row")).alias("row")).select("row.*")
+
+
+def with_fields(kept: list, ddl: str):
+    """A schema: the kept fields, then those of a DDL string."""
+    from pyspark.sql import types as T
+
+    return T.StructType([*kept, *T.StructType.fromDDL(ddl).fields])
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, parts, windows8
-from .common import batch
+from .common import batch, with_fields
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -139,5 +139,5 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
             kept = {c: b.column(c) for c in fields}
             yield batch(**kept, lang_pred=pa.array(names[best], pa.string()), score=pa.array(top))
 
-    schema = ", ".join([*(f"`{c}` {f.dataType.simpleString()}" for c, f in fields.items()), "lang_pred string", "score double"])
-    return docs.select(*keep, "text").mapInArrow(score, schema)
+    schema = with_fields(list(fields.values()), "lang_pred string, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(score, schema)

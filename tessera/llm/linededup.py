@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unwrap, wrap
 from .lists import linked
 
 SIGNATURE_SHINGLE, SHINGLE = 12, 5
@@ -109,9 +109,7 @@ def report(docs: DataFrame, percent: int = 80) -> DataFrame:
 def remove(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without their dropped lines, with their own columns. Documents that lose all their lines go; those that had
     none stay."""
-    gone = duplicate_lines(docs, percent).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__dropped", F.struct(i.alias("line_no"), F.xxhash64(x).alias("h1"))))
-    text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    cleaned = joined.withColumn("text", text).where(F.col("__dropped").isNull() | F.col("text").rlike(r"\S"))
-    return cleaned.select(*docs.columns)
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("dropped", F.struct(i.alias("line_no"), F.xxhash64(x).alias("h1"))))
+    joined = wrap(docs).join(duplicate_lines(docs, percent), "doc_id", "left")
+    cleaned = joined.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    return unwrap(cleaned.where(F.col("dropped").isNull() | F.col("text").rlike(r"\S")), F.col("text"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, NON_SPACE, hashes, mix, parts, words
-from .common import batch, cut
+from .common import batch, cut, unwrap, wrap
 from .components import components
 from .lists import linked
 
@@ -197,3 +197,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
     out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, k: int = 64, shingle: int = 5) -> DataFrame:
+    """docs, with their own columns, one document of each component (that of the smallest doc_id)."""
+    gone = near_duplicates(docs, percent, k, shingle).where("not kept").select("doc_id").distinct()
+    return unwrap(wrap(docs).join(gone, "doc_id", "left_anti"))

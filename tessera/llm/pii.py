@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import ALNUM, LOWER, hashes, mix, parts, words
-from .common import batch, cut
+from .common import batch, cut, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 #: Terms in one broadcast block (8 bytes and a flag each); more terms are more blocks.
@@ -238,5 +238,5 @@ def find(docs: DataFrame, terms: DataFrame, keep: Sequence[str] = ("doc_id",)) -
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield batch(**kept, spans=pa.array(spans, kind), sanitised=pa.array(clean, pa.string()))
 
-    schema = ", ".join([*(f"`{c}` {f.dataType.simpleString()}" for c, f in fields.items()), "spans array<struct<kind: string, start: long, end: long>>, sanitised string"])
+    schema = with_fields(list(fields.values()), "spans array<struct<kind: string, start: long, end: long>>, sanitised string")
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import ALNUM, LOWER, column, hashes, parts, words
-from .common import batch
+from .common import batch, unwrap, with_fields, wrap
 
 BITS = 18
 PREFIX = 5
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             kept = {c: b.column(c) for c in fields}
             yield batch(**kept, score=pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
 
-    schema = ", ".join([*(f"`{c}` {f.dataType.simpleString()}" for c, f in fields.items()), "score double"])
+    schema = with_fields(list(fields.values()), "score double")
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
@@ -202,3 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_per_class: int =
     """Samples labelled documents and trains. prior: the share of toxic documents that scores assume; a share above that
     of most corpora means that missing a toxic document counts as worse than doubting a clean one."""
     return train(sample(docs, labels, usable, max_per_class), prior, **options)
+
+
+def reject(docs: DataFrame, labels: DataFrame, usable: Column, threshold: float = 0.7, **options) -> DataFrame:
+    """docs, with their own columns, without those that score the threshold or more."""
+    model = fit(docs, labels, usable, **options)
+    return unwrap(score(wrap(docs), model, ("row",)).where(F.col("score") < threshold))
