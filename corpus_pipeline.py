@@ -1,10 +1,64 @@
-"""A corpus pipeline: toxicity, line dedup, near-dedup, decontamination, packing."""
+"""A corpus pipeline over `documents`: toxicity, line dedup, near-dedup, decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs
+of the next one. All but the last return the columns of their docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, linededup, neardup, packing, toxicity
+from tessera.llm.common import fresh_path, held_out, remove_path
+from tessera.llm.queries import vocabulary_path
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go; the classifier learns from labels of two thirds of the ids."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.reject(docs, labels, ~held_out(F.col("doc_id")), threshold=0.7)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal and nearly equal lines the first of the corpus stays; documents that lose all their lines go."""
+    return linededup.remove(docs, percent=80)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by at least 80 % of their five-word shingles the smallest doc_id stays."""
+    return neardup.keep_one(docs, percent=80, shingle=5)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of ten words and more that benchmark items hold are cut out of the texts."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1,024 ids."""
+    return packing.pack(docs, vocabulary_path(), capacity=1024).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", remove_benchmark),
+    ("packing", pack),
+]
+
+#: Classifier, union-find and tokenizer are not SQL; the pipeline is tested against the stages' brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages on `documents`. What a stage wrote is removed when the next one has read it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        path = fresh_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove_path(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return docs
