@@ -79,10 +79,11 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     def compare(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("h1").alias("pivot"), F.col("line").alias("a"))
         b = texts.select(F.col("h1").alias("doc"), F.col("line").alias("b"))
-        both = pairs.join(b, "doc").join(a, "pivot")
-        sets = both.select("pivot", "doc", _set(F.col("a")).alias("a"), _set(F.col("b")).alias("b")).where(100 * F.least(F.size("a"), F.size("b")) >= percent * F.greatest(F.size("a"), F.size("b")))
-        common = sets.withColumn("common", F.size(F.array_intersect("a", "b")))
-        return common.where(100 * F.col("common") >= percent * (F.size("a") + F.size("b") - F.col("common"))).select("pivot", "doc")
+        # Bound as lambda variables, so that no set is made more than once.
+        enough = lambda x, c: 100 * c >= percent * (F.size(x["a"]) + F.size(x["b"]) - c)
+        sets = F.array(F.struct(_set(F.col("a")).alias("a"), _set(F.col("b")).alias("b")))
+        similar = F.exists(sets, lambda x: F.exists(F.array(F.size(F.array_intersect(x["a"], x["b"]))), lambda c: enough(x, c)))
+        return pairs.join(b, "doc").join(a, "pivot").where(similar).select("pivot", "doc")
 
     members = linked(entries, compare, lambda n, m: F.lit(True))
     # Components by their smallest h1; a line outside of them is known by both hashes.

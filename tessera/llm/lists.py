@@ -17,11 +17,12 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], sizes:
     entries: value, doc, n; items that share a value are candidates. compare: takes pairs (pivot, doc), returns those that
     are links. sizes: a condition on both n that links fulfil.
 
-    In round r, up to 2**r pivots of each list (the smallest item of each hashed slot) are paired with its other items of
-    other components, and leave the list. Lists that lie within one component are closed. So a list of m copies takes
-    about m comparisons, one of unlike items all of them, and no pair of unjoined items is passed over.
+    In a round, some pivots of each list (the smallest item of each hashed slot: 4 slots, then 32, 256 and so on) are
+    paired with its other items of other components, and leave the list. Lists that lie within one component are closed.
+    So a list of m copies takes some m comparisons, one of unlike items all of them, and no pair of unjoined items is
+    passed over.
     """
-    members = links = tested = None
+    members = tested = None
     turn = 0
     while True:
         placed = entries.withColumn("comp", F.col("doc"))
@@ -31,19 +32,26 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], sizes:
         placed = cut(placed.join(still_open, "value"))
         if placed.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("doc"), F.lit(1 << min(turn, 40)))
+        slot = F.pmod(F.xxhash64("doc"), F.lit(1 << min(2 + 3 * turn, 40)))
         first = placed.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("doc", "n", "comp")).alias("p"))
         pivots = cut(first.select("value", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp")))
-        pairs = placed.join(pivots, "value").where("comp <> pivot_comp").where(sizes(F.col("n"), F.col("pivot_n"))).select("pivot", "doc").distinct()
+        near = placed.join(pivots, "value").where("comp <> pivot_comp").where(sizes(F.col("n"), F.col("pivot_n")))
+        # The smaller of two items counts as the pivot, so that a pair is one pair.
+        ends = [F.least("pivot", "doc").alias("pivot"), F.greatest("pivot", "doc").alias("doc")]
+        sides = [F.when(F.col("pivot") < F.col("doc"), F.col(x)).otherwise(F.col(y)) for x, y in (("pivot_comp", "comp"), ("comp", "pivot_comp"))]
+        pairs = near.select(*ends, sides[0].alias("a"), sides[1].alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["pivot", "doc"], "left_anti")
         pairs = cut(pairs)
-        if not pairs.isEmpty():
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = cut(compare(pairs))
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                members = components(links, "pivot", "doc")
+        found = cut(compare(pairs.select("pivot", "doc")))
+        tested = pairs.select("pivot", "doc") if tested is None else tested.unionByName(pairs.select("pivot", "doc"))
+        if not found.isEmpty():
+            # Links join the components of their ends; what pointed to a component follows it.
+            joined = components(found.join(pairs, ["pivot", "doc"]), "a", "b")
+            if members is not None:
+                onward = joined.select(F.col("node").alias("component"), F.col("component").alias("further"))
+                joined = cut(members.join(onward, "component", "left").select("node", F.coalesce("further", "component").alias("component")).unionByName(joined))
+            members = joined
         entries = placed.drop("comp").join(pivots.select("value", F.col("pivot").alias("doc")), ["value", "doc"], "left_anti")
         turn += 1
     return members if members is not None else components(entries.select(F.col("doc").alias("a"), F.col("doc").alias("b")))
