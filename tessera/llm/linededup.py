@@ -16,6 +16,8 @@ from .lists import linked
 
 SIGNATURE_SHINGLE, SHINGLE = 12, 5
 BINS, BAND = 16, 2
+#: Bins that linked lines share at least: of 16, some ten are shared at the threshold.
+LEAST_BINS = 3
 #: Ids up to this number are broadcast (8 bytes each), more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -30,29 +32,34 @@ def _bin_starts() -> list[int]:
     return [(i << 60) - (1 << 63) for i in range(BINS)]
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """value, doc (h1): the distinct bands of the lines."""
+def _signatures(lines: DataFrame, *keep: str) -> DataFrame:
+    """The columns of keep and bins: the signature of each line."""
     s = SIGNATURE_SHINGLE
     at_words = F.regexp_extract_all("line", F.lit(rf"(?s)(?:^| )(?=(.{{{s}}}))"), F.lit(1))
     at_all = F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{s}}}))"), F.lit(1))
-    length = F.length("line")
-    shingled = lines.select("h1", "line", at_words.alias("words"), length.alias("n"))
-    few = F.size("words") * (2 * s) < F.col("n")
-    shingles = F.when(F.col("n") < s, F.array("line")).when(few, at_all).otherwise(F.col("words"))
-    hashed = shingled.select("h1", F.transform(shingles, lambda x: F.xxhash64(x)).alias("hashes"))
+    shingled = lines.select(*keep, "line", at_words.alias("words"), F.length("line").alias("chars"))
+    few = F.size("words") * (2 * s) < F.col("chars")
+    shingles = F.when(F.col("chars") < s, F.array("line")).when(few, at_all).otherwise(F.col("words"))
+    hashed = shingled.select(*keep, F.transform(shingles, lambda x: F.xxhash64(x)).alias("hashes"))
     # The starts of the bins are sorted in among the hashes; what follows a start is the least of its bin, if not a start.
     starts = _bin_starts()
-    ordered = hashed.select("h1", F.sort_array(F.concat("hashes", F.array(*map(F.lit, starts)))).alias("s"))
+    ordered = hashed.select(*keep, F.sort_array(F.concat("hashes", F.array(*map(F.lit, starts)))).alias("s"))
     after = [F.get("s", F.array_position("s", F.lit(x)).cast("int")) for x in starts]
     own = [F.when(~x.isin(*starts), x) for x in after]
-    binned = ordered.select("h1", *(x.alias(f"b{i}") for i, x in enumerate(own)))
+    binned = ordered.select(*keep, *(x.alias(f"b{i}") for i, x in enumerate(own)))
     filled = [F.coalesce(*(F.col(f"b{(i + j) % BINS}") for j in range(BINS))) for i in range(BINS)]
-    bands = [F.xxhash64(F.lit(i), *filled[i : i + BAND]) for i in range(0, BINS, BAND)]
-    return binned.select(F.col("h1").alias("doc"), F.explode(F.array(*bands)).alias("value")).distinct()
+    return binned.select(*keep, F.array(*filled).alias("bins"))
+
+
+def _bands(lines: DataFrame) -> DataFrame:
+    """value, doc (h1): the distinct bands of the lines."""
+    bands = [F.xxhash64(F.lit(i), *(F.get("bins", F.lit(i + j)) for j in range(BAND))) for i in range(0, BINS, BAND)]
+    return _signatures(lines, "h1").select(F.col("h1").alias("doc"), F.explode(F.array(*bands)).alias("value")).distinct()
 
 
-def _set(line: Column) -> Column:
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))))
+def _grams(line: Column) -> Column:
+    """All character shingles, repeats too."""
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -70,22 +77,27 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     unclear = groups.groupBy("h1").agg(F.count("*").alias("m")).where("m > 1").select("h1")
     banded = _bands(lines).join(unclear.select(F.col("h1").alias("doc")), "doc", "left_anti").repartition("value")
     shared = banded.groupBy("value").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("value")
-    entries = cut(banded.join(shared, "value").select("value", "doc", F.lit(1).alias("n")))
+    listed = cut(banded.join(shared, "value").select("value", "doc"))
 
-    ids = cut(entries.select(F.col("doc").alias("h1")).distinct())
+    ids = cut(listed.select(F.col("doc").alias("h1")).distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = cut(lines.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
+    own = lines.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
+    texts = cut(_signatures(own, "h1", "line").select("h1", "line", "bins", F.size(F.array_distinct(_grams(F.col("line")))).alias("n")))
+    entries = listed.join(texts.select(F.col("h1").alias("doc"), "n"), "doc")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("h1").alias("pivot"), F.col("line").alias("a"))
-        b = texts.select(F.col("h1").alias("doc"), F.col("line").alias("b"))
-        # Bound as lambda variables, so that no set is made more than once.
-        enough = lambda x, c: 100 * c >= percent * (F.size(x["a"]) + F.size(x["b"]) - c)
-        sets = F.array(F.struct(_set(F.col("a")).alias("a"), _set(F.col("b")).alias("b")))
-        similar = F.exists(sets, lambda x: F.exists(F.array(F.size(F.array_intersect(x["a"], x["b"]))), lambda c: enough(x, c)))
-        return pairs.join(b, "doc").join(a, "pivot").where(similar).select("pivot", "doc")
-
-    members = linked(entries, compare, lambda n, m: F.lit(True))
+        """First the signatures: linked lines differ in most bins only by rare chance. Then the sets, of which the sizes
+        are known: what counts is what both have."""
+        a = texts.select(F.col("h1").alias("pivot"), *(F.col(c).alias(f"a_{c}") for c in ("line", "bins", "n")))
+        b = texts.select(F.col("h1").alias("doc"), *(F.col(c).alias(f"b_{c}") for c in ("line", "bins", "n")))
+        same = F.aggregate(F.zip_with("a_bins", "b_bins", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        common = F.size(F.array_intersect(_grams(F.col("a_line")), _grams(F.col("b_line"))))
+        # 100 c >= percent (na + nb - c), with c in one place, so that it is made once.
+        enough = common * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))
+        return pairs.join(b, "doc").join(a, "pivot").where(same >= LEAST_BINS).where(enough).select("pivot", "doc")
+
+    sizes = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    members = linked(entries, compare, sizes)
     # Components by their smallest h1; a line outside of them is known by both hashes.
     known = groups.join(members.select(F.col("node").alias("h1"), "component"), "h1", "left")
     heads = members.select(F.col("component").alias("h1"), F.lit(True).alias("is_head")).distinct()
