@@ -17,7 +17,7 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], sizes:
     entries: value, doc, n; items that share a value are candidates. compare: takes pairs (pivot, doc), returns those that
     are links. sizes: a condition on both n that links fulfil.
 
-    In a round, some pivots of each list (the smallest item of each hashed slot: 4 slots, then 32, 256 and so on) are
+    In a round, some pivots of each list (the smallest item of each hashed slot: one slot, then 8, 64 and so on) are
     paired with its other items of other components, and leave the list. Lists that lie within one component are closed.
     So a list of m copies takes some m comparisons, one of unlike items all of them, and no pair of unjoined items is
     passed over.
@@ -32,7 +32,7 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], sizes:
         placed = cut(placed.join(still_open, "value"))
         if placed.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("doc"), F.lit(1 << min(2 + 3 * turn, 40)))
+        slot = F.pmod(F.xxhash64("doc"), F.lit(1 << min(3 * turn, 39)))
         first = placed.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("doc", "n", "comp")).alias("p"))
         pivots = cut(first.select("value", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp")))
         near = placed.join(pivots, "value").where("comp <> pivot_comp").where(sizes(F.col("n"), F.col("pivot_n")))

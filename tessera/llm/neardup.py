@@ -24,8 +24,8 @@ from .common import batch, cut, unwrap, wrap
 from .components import components
 from .lists import linked
 
-#: Rows that one pivot's comparisons may bring to one task; beyond it the pivot goes to several.
-PER_TASK = 2000
+#: Pairs and documents that a block is made for.
+PAIRS_PER_BLOCK, DOCS_PER_BLOCK = 2000, 2000
 #: Ids up to this number are broadcast (8 bytes each), more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -95,29 +95,36 @@ def inverted_lists(reps: DataFrame, similarity: float, k: int) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, values: DataFrame, similar) -> DataFrame:
-    """The pairs (pivot, doc) for which similar(pivot's value, doc's value) holds.
+    """The pairs (pivot, doc) for which similar.holds(pivot's value, doc's value).
 
-    values: doc, value. Each pivot's value is sent once for at most PER_TASK of its documents, before them.
+    values: doc, value. Documents are dealt to blocks by hash, and pairs to pairs of blocks; a document's value is sent
+    once to each pair of blocks that has a pair of it. The number of blocks grows with documents and pairs, so what one
+    pair of blocks holds does not.
     """
-    counts = pairs.groupBy("pivot").agg(F.count("*").alias("m"))
-    shares = counts.select("pivot", F.ceil(F.col("m") / PER_TASK).cast("int").alias("shares"))
-    members = pairs.join(shares, "pivot").select("pivot", F.pmod(F.xxhash64("doc"), F.col("shares")).cast("int").alias("share"), "doc")
-    heads = shares.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("pivot").alias("doc"))
-    rows = heads.withColumn("is_doc", F.lit(0)).unionByName(members.withColumn("is_doc", F.lit(1))).join(values, "doc")
-    rows = rows.repartition("pivot", "share").sortWithinPartitions("pivot", "share", "is_doc")
+    n_pairs = pairs.count()
+    n_docs = pairs.select(F.explode(F.array("pivot", "doc")).alias("doc")).distinct().count()
+    blocks = max(1, math.ceil(math.sqrt(n_pairs / PAIRS_PER_BLOCK)), math.ceil(n_docs / DOCS_PER_BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    dealt = pairs.select(block("pivot").alias("x"), block("doc").alias("y"), "pivot", "doc")
+    needed = dealt.select("x", "y", F.explode(F.array("pivot", "doc")).alias("doc")).distinct().join(values, "doc")
+    rows = needed.select("x", "y", F.lit(0).alias("is_pair"), F.col("doc").alias("pivot"), F.lit(None).cast("long").alias("doc"), "value")
+    rows = rows.unionByName(dealt.select("x", "y", F.lit(1).alias("is_pair"), "pivot", "doc"), allowMissingColumns=True)
+    rows = rows.repartition("x", "y").sortWithinPartitions("x", "y", "is_pair", "pivot", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
+        now, held = None, {}
         for b in batches:
             out: list[tuple[int, int]] = []
-            for pivot, share, doc, is_doc, value in zip(*(b.column(c) if c == "value" else b.column(c).to_pylist() for c in ("pivot", "share", "doc", "is_doc", "value"))):
-                if not is_doc:
-                    now, held = (pivot, share), similar.prepare(value)
-                elif now == (pivot, share) and similar.holds(held, similar.prepare(value)):
+            for i, (x, y, is_pair, pivot, doc) in enumerate(zip(*(b.column(c).to_pylist() for c in ("x", "y", "is_pair", "pivot", "doc")))):
+                if now != (x, y):
+                    now, held = (x, y), {}
+                if not is_pair:
+                    held[pivot] = similar.prepare(b.column("value")[i])
+                elif pivot in held and doc in held and similar.holds(held[pivot], held[doc]):
                     out.append((pivot, doc))
             yield batch(pivot=pa.array([x for x, _ in out], pa.int64()), doc=pa.array([x for _, x in out], pa.int64()))
 
-    return rows.select("pivot", "share", "doc", "is_doc", "value").mapInArrow(run, "pivot long, doc long")
+    return rows.mapInArrow(run, "pivot long, doc long")
 
 
 class BySketch:
