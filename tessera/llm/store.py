@@ -33,6 +33,9 @@ WINDOW, SHORTEST, LONGEST = 16, 256, 4096
 CUT_MASK = np.uint64(1023)
 _DIGEST = 16
 
+MIXED = "kind string, digest binary, doc_id long, n_tokens long, digests binary, lengths array<int>, payload binary"
+RECIPES = "part int, doc_id long, start long, n_tokens long, digests binary, lengths array<int>, root binary"
+
 
 def rolling(ids: np.ndarray) -> np.ndarray:
     """At each place, a hash of the last 16 ids (by doubling: 1, 2, 4, 8, then 16 of them)."""
@@ -121,15 +124,15 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, width: int = 2) -> No
             yield b.filter(pa.array(keep))
 
     spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(cut_up, "kind string, digest binary, doc_id long, n_tokens long, digests binary, lengths array<int>, payload binary")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(cut_up, MIXED)
     rows = rows.repartition(F.coalesce(F.xxhash64("digest"), F.xxhash64("doc_id", "digests")))
     rows.mapInArrow(once, rows.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/mixed")
 
-    recipes = spark.read.parquet(f"{path}/mixed").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "lengths")
+    recipes = spark.read.schema(MIXED).parquet(f"{path}/mixed").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "lengths")
     keys = [F.col("doc_id").asc_nulls_first(), "n_tokens", "digests"]
     ordered = recipes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
     ordered.write.parquet(f"{path}/ordered")
-    ordered = spark.read.parquet(f"{path}/ordered")
+    ordered = spark.read.schema("doc_id long, n_tokens long, digests binary, lengths array<int>, part int").parquet(f"{path}/ordered")
     # One row a partition: its size is the number of partitions, whatever the corpus.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ordered.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens")).withColumn("part_start", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)))
@@ -137,7 +140,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, width: int = 2) -> No
     started = ordered.join(F.broadcast(totals), "part").withColumn("start", F.col("part_start") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     rooted = started.select("part", "doc_id", "start", "n_tokens", "digests", "lengths", roots("digests").alias("root"))
     rooted.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    parts = _part_roots(spark.read.parquet(f"{path}/recipes"))
+    parts = _part_roots(spark.read.schema(RECIPES).parquet(f"{path}/recipes"))
     whole = parts.groupBy().agg(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("start"), F.sum("n_tokens").alias("n_tokens"), roots(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "root"))), lambda x: F.hex(x["root"])), "")).alias("root"))
     parts.unionByName(whole).write.parquet(f"{path}/manifest")
 
@@ -223,12 +226,12 @@ def read_chunks(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 counts.append(len(ids))
             yield batch(digest=pa.array(names, pa.binary()), n_ids=pa.array(counts, pa.int64()), ids_crc32=pa.array(crcs, pa.int64()))
 
-    return spark.read.parquet(f"{path}/mixed").where("kind = 'chunk'").select("digest", "payload").mapInArrow(verify, "digest binary, n_ids long, ids_crc32 long")
+    return spark.read.schema(MIXED).parquet(f"{path}/mixed").where("kind = 'chunk'").select("digest", "payload").mapInArrow(verify, "digest binary, n_ids long, ids_crc32 long")
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipes with `intact`: whether the root is that of the digests."""
-    return spark.read.parquet(f"{path}/recipes").withColumn("intact", roots("digests") == F.col("root"))
+    return spark.read.schema(RECIPES).parquet(f"{path}/recipes").withColumn("intact", roots("digests") == F.col("root"))
 
 
 def _references(recipes: DataFrame) -> DataFrame:
@@ -265,7 +268,7 @@ def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     def decode(payload: pd.Series) -> pd.Series:
         return payload.map(lambda x: np.frombuffer(x, kind).astype(np.int32))
 
-    chunks = spark.read.parquet(f"{path}/mixed").where("kind = 'chunk'").select("digest", "payload")
+    chunks = spark.read.schema(MIXED).parquet(f"{path}/mixed").where("kind = 'chunk'").select("digest", "payload")
     refs = _references(read_recipes(spark, path)).join(chunks, "digest")
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"]))
     return refs.withColumn("ids", decode("payload")).groupBy("doc_id", "start").agg(ids.alias("ids"))
