@@ -12,7 +12,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (smallest node reachable) for every node that is not itself the smallest of its component.
 
     Distributed union-find: in a round each node points to its smallest neighbour if that is smaller, pointers are
-    followed once more, and edges are drawn anew between what their ends point to. At least half of the nodes go in a round.
+    doubled until all lead to roots, and edges are drawn anew between the roots of their ends. At least half of the nodes go in a round.
     Rounds are cut by checkpoints; only the emptiness of the edge list reaches the driver. Null ends, loops and repeated
     edges count for nothing.
     """
@@ -24,9 +24,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rounds: list[DataFrame] = []
     while not left.isEmpty():
         # Every edge (a, b) has b < a, so a node hooks to the least b of the edges in which it is a.
-        hook = left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-        onward = hook.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        hook = cut(hook.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+        hook = cut(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")))
+        while True:
+            onward = hook.select(F.col("node").alias("to"), F.col("to").alias("further"))
+            if hook.join(onward, "to", "left_semi").isEmpty():
+                break
+            hook = cut(hook.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
         rounds.append(hook)
         ends = left
         for end in ("a", "b"):
