@@ -83,7 +83,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = lines.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
     texts = cut(_signatures(own, "h1", "line").select("h1", "line", "bins", F.size(F.array_distinct(_grams(F.col("line")))).alias("n")))
-    entries = listed.join(texts.select(F.col("h1").alias("doc"), "n"), "doc")
+    entries = listed.join(texts.select(F.col("h1").alias("doc"), F.struct("n").alias("facts")), "doc")
 
     def compare(pairs: DataFrame) -> DataFrame:
         """First the signatures: linked lines differ in most bins only by rare chance. Then the sets, of which the sizes
@@ -96,8 +96,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         enough = common * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))
         return pairs.join(b, "doc").join(a, "pivot").where(same >= LEAST_BINS).where(enough).select("pivot", "doc")
 
-    sizes = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    members = linked(entries, compare, sizes)
+    may = lambda x, y: 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    members = linked(entries, compare, may)
     # Components by their smallest h1; a line outside of them is known by both hashes.
     known = groups.join(members.select(F.col("node").alias("h1"), "component"), "h1", "left")
     heads = members.select(F.col("component").alias("h1"), F.lit(True).alias("is_head")).distinct()

@@ -11,11 +11,12 @@ from .common import cut
 from .components import components
 
 
-def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], sizes: Callable[[Column, Column], Column]) -> DataFrame:
+def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column]) -> DataFrame:
     """node, component for items of the lists that a link joins to a smaller one.
 
-    entries: value, doc, n; items that share a value are candidates. compare: takes pairs (pivot, doc), returns those that
-    are links. sizes: a condition on both n that links fulfil.
+    entries: value, doc, facts (a struct of the item); items that share a value are candidates. may: a condition on the
+    facts of two items that every link fulfils; it is part of the join, so pairs that fail it are never written. compare:
+    takes pairs (pivot, doc), returns those that are links.
 
     In a round, some pivots of each list (the smallest item of each hashed slot: one slot, then 8, 64 and so on) are
     paired with its other items of other components, and leave the list. Lists that lie within one component are closed.
@@ -27,15 +28,15 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], sizes:
     while True:
         placed = entries.withColumn("comp", F.col("doc"))
         if members is not None:
-            placed = entries.join(members, F.col("doc") == F.col("node"), "left").select("value", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+            placed = entries.join(members, F.col("doc") == F.col("node"), "left").select("value", "doc", "facts", F.coalesce("component", "doc").alias("comp"))
         still_open = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("value")
         placed = cut(placed.join(still_open, "value"))
         if placed.isEmpty():
             break
         slot = F.pmod(F.xxhash64("doc"), F.lit(1 << min(3 * turn, 39)))
-        first = placed.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("doc", "n", "comp")).alias("p"))
-        pivots = cut(first.select("value", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp")))
-        near = placed.join(pivots, "value").where("comp <> pivot_comp").where(sizes(F.col("n"), F.col("pivot_n")))
+        first = placed.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("doc", "facts", "comp")).alias("p"))
+        pivots = cut(first.select("value", F.col("p.doc").alias("pivot"), F.col("p.facts").alias("pivot_facts"), F.col("p.comp").alias("pivot_comp")))
+        near = placed.join(pivots, "value").where("comp <> pivot_comp").where(may(F.col("facts"), F.col("pivot_facts")))
         # The smaller of two items counts as the pivot, so that a pair is one pair.
         ends = [F.least("pivot", "doc").alias("pivot"), F.greatest("pivot", "doc").alias("doc")]
         sides = [F.when(F.col("pivot") < F.col("doc"), F.col(x)).otherwise(F.col(y)) for x, y in (("pivot_comp", "comp"), ("comp", "pivot_comp"))]

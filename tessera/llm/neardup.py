@@ -6,7 +6,9 @@ t of their values, so they share one among the k - t + 1 rarest of each, and onl
 pivots at a time are compared with the other documents; documents that are already in one component need no
 comparison, and lists that lie within one component are closed, so a group of n copies costs about n comparisons. What
 is left of the lists goes into the next round, until every pair that a list holds was compared or is in one component.
-A pair first has to pass the estimate of the union's sketch; then the full sets decide.
+In the lists, a pair must not differ too much in parity: each set is also kept as 256 bits that say which remainders its
+hashes have an odd number of times, and two sets differ in at least as many items as these bits do, so no link can fail.
+What is left has to pass the estimate of the union's sketch; then the full sets decide.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, NON_SPACE, hashes, mix, parts, words
@@ -26,6 +28,8 @@ from .lists import linked
 
 #: Pairs and documents that a block is made for.
 PAIRS_PER_BLOCK, DOCS_PER_BLOCK = 2000, 2000
+#: Bits of a set's parity, in words of 64.
+PARITY_WORDS = 4
 #: Ids up to this number are broadcast (8 bytes each), more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -64,22 +68,31 @@ def least_shared(n, similarity: float, k: int):
     return F.least(F.ceil(F.lit(similarity) * n), F.lit(max(low, 1)))
 
 
+def parity(hashed: np.ndarray) -> np.ndarray:
+    """For each remainder of 256, whether an odd number of hashes has it, in four words."""
+    bits = 64 * PARITY_WORDS
+    odd = np.bincount((hashed % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketch(docs: DataFrame, k: int = 64, shingle: int = 5) -> DataFrame:
-    """doc_id, n (set size), f1, f2 (fingerprint of the set), sketch (the k smallest hashes) of every row."""
+    """doc_id, n (set size), f1, f2 (fingerprint of the set), sketch (the k smallest hashes), parity of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, f1, f2, low = [], [], [], []
+            n, f1, f2, low, odd = [], [], [], [], []
             for _, _, data, off in parts(b.column("text")):
                 for s in shingle_sets(data, off, shingle):
                     n.append(len(s))
                     f1.append(s.sum())
                     f2.append(mix(s ^ _K).sum())
                     low.append(s[:k].view(np.int64))
+                    odd.append(parity(s))
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield batch(doc_id=b.column("doc_id"), n=pa.array(n, pa.int64()), f1=as_long(f1), f2=as_long(f2), sketch=pa.array(low, pa.list_(pa.int64())))
+            yield batch(doc_id=b.column("doc_id"), n=pa.array(n, pa.int64()), f1=as_long(f1), f2=as_long(f2), sketch=pa.array(low, pa.list_(pa.int64())), parity=pa.array(odd, pa.list_(pa.int64())))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>")
+    schema = "doc_id long, n long, f1 long, f2 long, sketch array<long>, parity array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def inverted_lists(reps: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -179,8 +192,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
     sketches = cut(sketch(docs, k, shingle))
     filled = sketches.where("n > 0 and doc_id is not null")
     copies = ["f1", "f2", "n"]
-    reps = cut(filled.groupBy(*copies).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-    entries = cut(inverted_lists(reps, similarity, k))
+    reps = cut(filled.groupBy(*copies).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
+    words_of = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_WORDS)]
+    facts = reps.select(F.col("rep").alias("doc"), F.struct("n", *words_of).alias("facts"))
+    entries = cut(inverted_lists(reps, similarity, k).drop("n").join(facts, "doc"))
     ids = cut(entries.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").join(entries, "value").select("doc").distinct())
     few = ids.count() <= BROADCAST_IDS
     wanted = F.broadcast(ids) if few else ids
@@ -191,8 +206,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
         likely = cut(_compare(pairs, values, BySketch(similarity, k)))
         return _compare(likely, texts, BySet(percent, shingle))
 
-    sizes = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    members = linked(entries, compare, sizes)
+    def may(x: Column, y: Column) -> Column:
+        """Sizes that can be similar, and parities in no more bits than the sets may differ in: (1 - J) / (1 + J) of both sizes."""
+        differ = sum(F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(PARITY_WORDS))
+        return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & ((100 + percent) * differ <= (100 - percent) * (x["n"] + y["n"]))
+
+    members = linked(entries, compare, may)
     grouped = filled.groupBy(*copies).agg(F.min("doc_id").alias("rep"))
     # A document whose rows differ is in several sets; its links join them.
     own = filled.select("doc_id", *copies).join(grouped, copies).select("doc_id", "rep").join(members, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("rep")).distinct()
