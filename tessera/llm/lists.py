@@ -11,15 +11,15 @@ from .common import cut
 from .components import components
 
 
-def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column]) -> DataFrame:
+def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column], widen: int = 3) -> DataFrame:
     """node, component for items of the lists that a link joins to a smaller one.
 
     entries: value, doc, facts (a struct of the item); items that share a value are candidates. may: a condition on the
     facts of two items that every link fulfils; it is part of the join, so pairs that fail it are never written. compare:
     takes pairs (pivot, doc), returns those that are links.
 
-    In a round, some pivots of each list (the smallest item of each hashed slot: one slot, then 8, 64 and so on) are
-    paired with its other items of other components, and leave the list. Lists that lie within one component are closed.
+    In a round, some pivots of each list (the smallest item of each hashed slot: one slot, then 2 ** widen times as many in
+    each further round) are paired with its other items of other components, and leave the list. Lists that lie within one component are closed.
     So a list of m copies takes some m comparisons, one of unlike items all of them, and no pair of unjoined items is
     passed over.
     """
@@ -33,7 +33,7 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: C
         placed = cut(placed.join(still_open, "value"))
         if placed.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("doc"), F.lit(1 << min(3 * turn, 39)))
+        slot = F.pmod(F.xxhash64("doc"), F.lit(1 << min(widen * turn, 42)))
         first = placed.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("doc", "facts", "comp")).alias("p"))
         pivots = cut(first.select("value", F.col("p.doc").alias("pivot"), F.col("p.facts").alias("pivot_facts"), F.col("p.comp").alias("pivot_comp")))
         near = placed.join(pivots, "value").where("comp <> pivot_comp").where(may(F.col("facts"), F.col("pivot_facts")))
@@ -44,7 +44,7 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: C
         if tested is not None:
             pairs = pairs.join(tested, ["pivot", "doc"], "left_anti")
         pairs = cut(pairs)
-        found = cut(compare(pairs.select("pivot", "doc")))
+        found = cut(compare(pairs.select("pivot", "doc"))) if not pairs.isEmpty() else pairs
         tested = pairs.select("pivot", "doc") if tested is None else tested.unionByName(pairs.select("pivot", "doc"))
         if not found.isEmpty():
             # Links join the components of their ends; what pointed to a component follows it.

@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
         differ = sum(F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(PARITY_WORDS))
         return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & ((100 + percent) * differ <= (100 - percent) * (x["n"] + y["n"]))
 
-    members = linked(entries, compare, may)
+    members = linked(entries, compare, may, widen=6)
     grouped = filled.groupBy(*copies).agg(F.min("doc_id").alias("rep"))
     # A document whose rows differ is in several sets; its links join them.
     own = filled.select("doc_id", *copies).join(grouped, copies).select("doc_id", "rep").join(members, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("rep")).distinct()
