@@ -1,9 +1,9 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line is named by two 64-bit hashes. Its signature comes from character shingles of 12 that begin at words (at every
-character where a line has few words), hashed once; in each of 16 bins of the hash range, the smallest hash counts, or
-that of the next bin that has one. Two bins make a band. Lines of one band are candidates; their full sets of character
-5-shingles decide. Linked lines are one component, of which the first line of the corpus stays.
+A line is named by two 64-bit hashes. Its signature comes from all its character 5-shingles, hashed once; in each of 64
+bins of the hash range, the smallest hash counts, or that of the next bin that has one. Four bins make a band. Lines of one
+band are candidates; so are lines of few shingles whose sets are equal, or are with one shingle less, which misses no link
+among them. Their full sets of shingles decide. Linked lines are one component, of which the first line of the corpus stays.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from .common import cut, unwrap, wrap
 from .lists import linked
 
-SIGNATURE_SHINGLE, SHINGLE = 12, 5
-BINS, BAND = 16, 2
-#: Bins that linked lines share at least: of 16, some ten are shared at the threshold.
-LEAST_BINS = 3
+SHINGLE = 5
+BINS, BAND = 64, 4
+#: Bins that linked lines share at least: of 64, some fifty are shared at the threshold.
+LEAST_BINS = 12
+#: Sets up to this size are compared without a look at their bins, as one shingle can fill many.
+SMALL_SET = 32
 #: Ids up to this number are broadcast (8 bytes each), more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -29,32 +31,16 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _bin_starts() -> list[int]:
-    return [(i << 60) - (1 << 63) for i in range(BINS)]
-
-
-def _signatures(lines: DataFrame, *keep: str) -> DataFrame:
-    """The columns of keep and bins: the signature of each line."""
-    s = SIGNATURE_SHINGLE
-    at_words = F.regexp_extract_all("line", F.lit(rf"(?s)(?:^| )(?=(.{{{s}}}))"), F.lit(1))
-    at_all = F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{s}}}))"), F.lit(1))
-    shingled = lines.select(*keep, "line", at_words.alias("words"), F.length("line").alias("chars"))
-    few = F.size("words") * (2 * s) < F.col("chars")
-    shingles = F.when(F.col("chars") < s, F.array("line")).when(few, at_all).otherwise(F.col("words"))
-    hashed = shingled.select(*keep, F.transform(shingles, lambda x: F.xxhash64(x)).alias("hashes"))
-    # The starts of the bins are sorted in among the hashes; what follows a start is the least of its bin, if not a start.
-    starts = _bin_starts()
-    ordered = hashed.select(*keep, F.sort_array(F.concat("hashes", F.array(*map(F.lit, starts)))).alias("s"))
-    after = [F.get("s", F.array_position("s", F.lit(x)).cast("int")) for x in starts]
-    own = [F.when(~x.isin(*starts), x) for x in after]
-    binned = ordered.select(*keep, *(x.alias(f"b{i}") for i, x in enumerate(own)))
-    filled = [F.coalesce(*(F.col(f"b{(i + j) % BINS}") for j in range(BINS))) for i in range(BINS)]
-    return binned.select(*keep, F.array(*filled).alias("bins"))
-
-
-def _bands(lines: DataFrame) -> DataFrame:
-    """value, doc (h1): the distinct bands of the lines."""
-    bands = [F.xxhash64(F.lit(i), *(F.get("bins", F.lit(i + j)) for j in range(BAND))) for i in range(0, BINS, BAND)]
-    return _signatures(lines, "h1").select(F.col("h1").alias("doc"), F.explode(F.array(*bands)).alias("value")).distinct()
+    return [i * ((1 << 64) // BINS) - (1 << 63) for i in range(BINS)]
+
+
+def _signatures(hashed: DataFrame, *keep: str) -> DataFrame:
+    """The columns of keep and bins: the signature of each line, from its hashes."""
+    # The starts of the bins are sorted in among the hashes, so the place of a start tells how many hashes are smaller.
+    starts = F.array(*map(F.lit, _bin_starts()))
+    ordered = hashed.select(*keep, F.sort_array("hashes").alias("s"), F.sort_array(F.concat("hashes", starts)).alias("placed"))
+    least = F.transform(starts, lambda x, i: F.coalesce(F.get("s", (F.array_position("placed", x) - 1 - i).cast("int")), F.get("s", F.lit(0))))
+    return ordered.select(*keep, least.alias("bins"))
 
 
 def _grams(line: Column) -> Column:
@@ -62,27 +48,53 @@ def _grams(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
 
 
+def _hashed(lines: DataFrame, *keep: str) -> DataFrame:
+    """The columns of keep and hashes: those of the distinct shingles of each line."""
+    return lines.select(*keep, F.array_distinct(F.transform(_grams(F.col("line")), lambda x: F.xxhash64(x))).alias("hashes"))
+
+
+def _covered(percent: int) -> int:
+    """Up to this set size, linked sets are equal, or are with one shingle less of either or both: they differ in two
+    shingles at most, and not by two in size."""
+    return min(199 // max(100 - percent, 1), 16)
+
+
+def _values(lines: DataFrame, percent: int) -> DataFrame:
+    """value, doc (h1): the distinct values under which the lines are listed. Sets whose links are all covered have no bands."""
+    few, n = _covered(percent), F.size("hashes")
+    # The exclusive or names a set; without one shingle it is that of the rest.
+    whole = F.when(n <= few, F.aggregate("hashes", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
+    signed = _signatures(_hashed(lines, "h1"), "h1", "hashes").withColumn("whole", whole)
+    rests = F.when(100 * (n - 1) >= percent * n, F.transform("hashes", lambda x: x.bitwiseXOR(F.col("whole")))).otherwise(F.array())
+    sets = F.when(n <= few, F.transform(F.concat(F.array("whole"), rests), lambda x: F.xxhash64(F.lit(-1), x))).otherwise(F.array())
+    bands = F.array(*(F.xxhash64(F.lit(i), *(F.get("bins", F.lit(i + j)) for j in range(BAND))) for i in range(0, BINS, BAND)))
+    banded = F.when(100 * n >= percent * (few + 1), bands).otherwise(F.array())
+    # One pass: a filter by size would make the shingles a second time.
+    return signed.select(F.col("h1").alias("doc"), F.explode(F.concat(sets, banded)).alias("value")).distinct()
+
+
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, dropped (array of line_no, h1): the lines of each document that another one of their component stands for.
 
     Lines are equal, or linked where 100 * intersection >= percent * union of their character 5-shingles (a shorter line
     is one shingle). Of a component, the first line stays: smallest doc_id, then line_no; rows without doc_id come first
     and lose nothing. Blank lines are never dropped. Rows that repeat a doc_id are one document: equal lines at equal
-    places are one line. Candidates share one of 8 bands; see the README for measured recall.
+    places are one line. Candidates share one of 16 bands, or are found for certain where both have few shingles; see the README for measured recall.
     """
     lines = _lines(docs)
     places = F.min(F.struct("doc_id", "line_no")).alias("first")
     groups = cut(lines.groupBy("h1", "h2").agg(F.count("*").alias("rows"), places))
     # Lines whose first hash has two second ones take part as exact lines only.
     unclear = groups.groupBy("h1").agg(F.count("*").alias("m")).where("m > 1").select("h1")
-    banded = _bands(lines).join(unclear.select(F.col("h1").alias("doc")), "doc", "left_anti").repartition("value")
+    banded = _values(lines, percent).join(unclear.select(F.col("h1").alias("doc")), "doc", "left_anti").repartition("value")
     shared = banded.groupBy("value").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("value")
     listed = cut(banded.join(shared, "value").select("value", "doc"))
 
     ids = cut(listed.select(F.col("doc").alias("h1")).distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = lines.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
-    texts = cut(_signatures(own, "h1", "line").select("h1", "line", "bins", F.size(F.array_distinct(_grams(F.col("line")))).alias("n")))
+    sized = _hashed(own, "h1", "line").withColumn("n", F.size("hashes"))
+    texts = cut(_signatures(sized, "h1", "line", "n").select("h1", "line", "bins", "n"))
     entries = listed.join(texts.select(F.col("h1").alias("doc"), F.struct("n").alias("facts")), "doc")
 
     def compare(pairs: DataFrame) -> DataFrame:
@@ -94,7 +106,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         common = F.size(F.array_intersect(_grams(F.col("a_line")), _grams(F.col("b_line"))))
         # 100 c >= percent (na + nb - c), with c in one place, so that it is made once.
         enough = common * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))
-        return pairs.join(b, "doc").join(a, "pivot").where(same >= LEAST_BINS).where(enough).select("pivot", "doc")
+        return pairs.join(b, "doc").join(a, "pivot").where((same >= LEAST_BINS) | (F.least("a_n", "b_n") <= SMALL_SET)).where(enough).select("pivot", "doc")
 
     may = lambda x, y: 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
     members = linked(entries, compare, may)

@@ -152,6 +152,57 @@ def test_lines(spark, odd, empty):
     assert (None, "no id at all, the text") in kept and (1, None) in kept and (2, "") in kept and len(kept) == len(ODD) - 1
 
 
+def dropped_by_brute_force(rows, percent):
+    """doc_id: the numbers of the lines that an earlier one of their component stands for, from all pairs of lines."""
+    places = {}
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            if line.strip():
+                places.setdefault(line, []).append((i, k))
+    sets = {x: {x[k : k + 5] for k in range(len(x) - 4)} or {x} for x in places}
+    up = {x: x for x in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    names = list(sets)
+    for n, a in enumerate(names):
+        for b in names[:n]:
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                up[root(a)] = root(b)
+    groups = {}
+    for x, at in places.items():
+        groups.setdefault(root(x), []).extend(at)
+    out = {i: [] for i, _ in rows}
+    for at in groups.values():
+        for i, k in sorted(at)[1:]:
+            out[i].append(k)
+    return {i: sorted(ks) for i, ks in out.items()}
+
+
+def lines_of_all_lengths():
+    """Lines of 4 to 120 characters, with and without spaces, each with near copies."""
+    import random
+
+    rnd = random.Random(4)
+    lines = ["Read more >", "Read more >>", "Read  more >", "Eleven char", "Eleven char\r", "Subscribe now!!", " Subscribe now!!", "aaaaa", "aaaaaaaa", "abcd", "abcde", "12345678", "123456789"]
+    for n in [*range(5, 30), 35, 40, 50, 60, 80, 120] * 2:
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnop      "):
+            base = "".join(rnd.choice(letters) for _ in range(n))
+            lines += [base, base + "!", f" {base}", base[1:], base[:-1] + "#", base[: n // 2] + "%" + base[n // 2 + 1 :]]
+    rnd.shuffle(lines)
+    return [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(-(-len(lines) // 5))]
+
+
+def test_lines_equal_brute_force_at_all_lengths(spark):
+    rows = lines_of_all_lengths()
+    for percent in (80, 90):
+        got = {r.doc_id: list(r.dropped_lines) for r in linededup.report(docs_of(spark, rows), percent).collect()}
+        assert got == dropped_by_brute_force(rows, percent)
+
+
 def test_lines_take_no_python(spark, odd):
     plan = linededup.report(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
