@@ -1,8 +1,8 @@
 """Personal data: direct identifiers by rule, and terms that give them away by what the corpus tells.
 
 A term (word) discloses an entity (a found identifier) if it mostly occurs where that entity does. The corpus is asked:
-in how many distinct contexts of the entity does the term stand, and how often does it occur at all? The share of the
-two estimates P(entity | term); the gain over P(entity) is measured in bits. Terms over both thresholds are sensitive:
+in how many distinct contexts of the entity does the term stand, how often does it occur beside the entity, and how often at
+all? Both are counted in all rows, outside identifiers. The share of the two estimates P(entity | term); the gain over P(entity) is measured in bits. Terms over both thresholds are sensitive:
 they are generalised, and removed where the share reaches a higher one. Equal contexts (copies) count once.
 """
 
@@ -99,38 +99,48 @@ def _byte_places(raw: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
 
 
+def _edges(text: str, spans: list[tuple[int, int, int]], raw: np.ndarray, begin: int, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """For each span, its words (first, end) among those of its row, which begins at byte `begin`."""
+    place = _byte_places(raw) + begin
+    return [(int(np.searchsorted(ends, place[s], "right")), int(np.searchsorted(starts, place[e]))) for s, _, e in spans]
+
+
 def contexts(docs: DataFrame, reach: int) -> DataFrame:
-    """entity, term, context (hashes): the words up to `reach` words around each found identifier."""
+    """entity, term, context (hashes), beside: the words up to `reach` words around each found identifier; and, without a
+    context, how many occurrences of the term in a row are in reach of the entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, off in parts(b.column("text")):
                 found = _found(data, off)
-                out: list[tuple[int, int, int]] = []
+                out: list[tuple[int, int, int | None, int]] = []
                 if found:
                     low = LOWER[data]
                     starts, ends, at = words(low, off, ALNUM)
                     h = hashes(low, starts, ends)
                 for r, (text, spans) in found.items():
-                    place = _byte_places(data[off[r] : off[r + 1]]) + off[r]
                     own = slice(at[r], at[r + 1])
                     free = np.ones(at[r + 1] - at[r], bool)
-                    edges = []
-                    for s, _, e in spans:
-                        i, j = np.searchsorted(ends[own], place[s], "right"), np.searchsorted(starts[own], place[e])
+                    edges = _edges(text, spans, data[off[r] : off[r + 1]], off[r], starts[own], ends[own])
+                    for i, j in edges:
                         free[i:j] = False
-                        edges.append((i, j))
+                    reached: dict[int, list[np.ndarray]] = {}
                     for (s, k, e), (i, j) in zip(spans, edges):
                         value = text[s:e].lower() if k == 0 else text[s:e] if k == 1 else _NOT_DIGIT.sub("", text[s:e])
                         entity = int.from_bytes(hashlib.blake2b(f"{KINDS[k]}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
                         near = np.concatenate([np.arange(max(0, i - reach), i), np.arange(j, min(len(free), j + reach))])
-                        near = h[own][near[free[near]]]
+                        near = near[free[near]]
+                        reached.setdefault(entity, []).append(near)
+                        near = h[own][near]
                         if len(near):
                             context = int(mix(near * np.arange(1, 2 * len(near), 2, dtype=np.uint64)).sum().view(np.int64))
-                            out.extend((entity, t, context) for t in np.unique(near).view(np.int64).tolist())
-                yield batch(**{c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate(("entity", "term", "context"))})
+                            out.extend((entity, t, context, 0) for t in np.unique(near).view(np.int64).tolist())
+                    for entity, places in reached.items():
+                        terms, times = np.unique(h[own][np.unique(np.concatenate(places))], return_counts=True)
+                        out.extend((entity, t, None, n) for t, n in zip(terms.view(np.int64).tolist(), times.tolist()))
+                yield batch(**{c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate(("entity", "term", "context", "beside"))})
 
-    return docs.select("text").mapInArrow(run, "entity long, term long, context long")
+    return docs.select("text").mapInArrow(run, "entity long, term long, context long, beside long")
 
 
 def _blocks(terms: DataFrame) -> Iterator[np.ndarray]:
@@ -143,7 +153,7 @@ def _blocks(terms: DataFrame) -> Iterator[np.ndarray]:
 
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n: how often each of the given terms occurs in all documents."""
+    """term, n: how often each of the given terms occurs in all documents, outside identifiers."""
     spark = docs.sparkSession
     out = spark.createDataFrame([], "term long, n long")
     for known in _blocks(terms):
@@ -155,8 +165,13 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
             for b in batches:
                 for _, _, data, off in parts(b.column("text")):
                     low = LOWER[data]
-                    starts, ends, _ = words(low, off, ALNUM)
-                    h = hashes(low, starts, ends)
+                    starts, ends, at = words(low, off, ALNUM)
+                    free = np.ones(len(starts), bool)
+                    for r, (text, spans) in _found(data, off).items():
+                        own = slice(at[r], at[r + 1])
+                        for i, j in _edges(text, spans, data[off[r] : off[r + 1]], off[r], starts[own], ends[own]):
+                            free[own][i:j] = False
+                    h = hashes(low, starts[free], ends[free])
                     i = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     total += np.bincount(i[known[i] == h], minlength=len(known))
             at = np.flatnonzero(total)
@@ -170,13 +185,14 @@ def sensitive_terms(docs: DataFrame, reach: int = 8, least_contexts: int = 3, le
     """term (hash), remove: terms that disclose an entity. least_contexts: distinct contexts of the entity with the term;
     least_share: of P(entity | term); least_bits: of log2(P(entity | term) / P(entity)), P(entity) being its share of all contexts; removal_share: from which share
     on a term is removed, not generalised."""
-    seen = cut(contexts(docs, reach).distinct())
-    joint = seen.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= least_contexts)
+    found = cut(contexts(docs, reach).groupBy("entity", "term", "context").agg(F.sum("beside").alias("beside")))
+    seen = found.where("context is not null")
+    joint = found.groupBy("entity", "term").agg(F.count("context").alias("together"), F.sum("beside").alias("beside")).where(F.col("together") >= least_contexts)
     joint = cut(joint)
     counted = occurrences(docs, joint.select("term").distinct())
     by_entity = seen.groupBy("entity").agg(F.countDistinct("context").alias("of_entity"))
     all_contexts = seen.select("entity", "context").distinct().count()
-    share = F.least(F.col("together") / F.col("n"), F.lit(1.0))
+    share = F.col("beside") / F.col("n")
     bits = F.log2(share / (F.col("of_entity") / F.lit(max(all_contexts, 1))))
     told = joint.join(counted, "term").join(by_entity, "entity").withColumn("share", share).where((share >= least_share) & (bits >= least_bits))
     return cut(told.groupBy("term").agg((F.max("share") >= removal_share).alias("remove")))

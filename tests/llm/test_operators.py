@@ -323,6 +323,17 @@ def test_disclosing_terms(spark, odd, empty):
         assert pii.find(x, pii.sensitive_terms(x)).count() == x.count()
 
 
+def told(spark, rows, **with_):
+    return {(r.term, r.remove) for r in pii.sensitive_terms(docs_of(spark, rows), **with_).collect()}
+
+
+def test_copies_and_identifiers_change_no_terms(spark):
+    rows = [(i, f"w{i} zorblax v{i} wrote to zorblax@corp.com u{i}") for i in range(3)] + [(10 + i, f"a{i} wrote b{i} to c{i}") for i in range(9)]
+    once = told(spark, rows, least_bits=-1.0)
+    assert len(once) == 1 and once == told(spark, [(100 * k + i, t) for i, t in rows for k in range(3)], least_bits=-1.0)
+    assert once <= told(spark, rows + [(100 + k, rows[k % 2][1]) for k in range(20)], least_bits=-1.0)
+
+
 def test_pipeline_on_odd_rows(spark, odd, tmp_path):
     import corpus_pipeline
 
