@@ -2,7 +2,7 @@
 
 A term (word) discloses an entity (a found identifier) if it mostly occurs where that entity does. The corpus is asked:
 in how many distinct contexts of the entity does the term stand, how often does it occur beside the entity, and how often at
-all? Both are counted in all rows, outside identifiers. The share of the two estimates P(entity | term); the gain over P(entity) is measured in bits. Terms over both thresholds are sensitive:
+all? Both are counted in all rows, outside identifiers. The share of the two estimates P(entity | term); the gain over P(entity) is measured in bits. Terms over both thresholds are sensitive, or of a share near 1 alone:
 they are generalised, and removed where the share reaches a higher one. Equal contexts (copies) count once.
 """
 
@@ -184,7 +184,7 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def sensitive_terms(docs: DataFrame, reach: int = 8, least_contexts: int = 3, least_share: float = 0.5, least_bits: float = 4.0, removal_share: float = 0.9) -> DataFrame:
     """term (hash), remove: terms that disclose an entity. least_contexts: distinct contexts of the entity with the term;
     least_share: of P(entity | term); least_bits: of log2(P(entity | term) / P(entity)), P(entity) being its share of all contexts; removal_share: from which share
-    on a term is removed, not generalised."""
+    on a term is removed, not generalised, and discloses whatever the bits, which are few for an entity with many contexts."""
     found = cut(contexts(docs, reach).groupBy("entity", "term", "context").agg(F.sum("beside").alias("beside")))
     seen = found.where("context is not null")
     joint = found.groupBy("entity", "term").agg(F.count("context").alias("together"), F.sum("beside").alias("beside")).where(F.col("together") >= least_contexts)
@@ -194,7 +194,7 @@ def sensitive_terms(docs: DataFrame, reach: int = 8, least_contexts: int = 3, le
     all_contexts = seen.select("entity", "context").distinct().count()
     share = F.col("beside") / F.col("n")
     bits = F.log2(share / (F.col("of_entity") / F.lit(max(all_contexts, 1))))
-    told = joint.join(counted, "term").join(by_entity, "entity").withColumn("share", share).where((share >= least_share) & (bits >= least_bits))
+    told = joint.join(counted, "term").join(by_entity, "entity").withColumn("share", share).where((share >= least_share) & ((bits >= least_bits) | (share >= removal_share)))
     return cut(told.groupBy("term").agg((F.max("share") >= removal_share).alias("remove")))
 
 

@@ -334,6 +334,13 @@ def test_copies_and_identifiers_change_no_terms(spark):
     assert once <= told(spark, rows + [(100 + k, rows[k % 2][1]) for k in range(20)], least_bits=-1.0)
 
 
+def test_production_thresholds_find_terms(spark):
+    filler = [(900 + i, f"a{i} wrote b{i} to c{i}") for i in range(100)]
+    for entities in (1, 20):
+        rows = [(10 * e + i, f"x{e}n{i} zorblax{e} y{e}n{i} wrote to zor{e}@corp.com z{e}n{i}") for e in range(entities) for i in range(3)]
+        assert [x for _, x in told(spark, rows + filler)] == [True] * entities
+
+
 def test_pipeline_on_odd_rows(spark, odd, tmp_path):
     import corpus_pipeline
 
