@@ -48,7 +48,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Classifier, union-find and tokenizer are not SQL; the pipeline is tested against the stages' brute-force versions.
+#: Classifier, union-find and tokenizer are not SQL; the pipeline is tested on odd rows, its stages each by their own tests.
 ORACLE_SQL = None
 
 
