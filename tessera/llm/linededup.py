@@ -1,27 +1,40 @@
-"""Fuzzy line dedup by MinHash, in DataFrame functions only.
+"""Fuzzy line dedup by MinHash.
 
-A line is named by two 64-bit hashes. Its signature comes from all its character 5-shingles, hashed once; in each of 64
-bins of the hash range, the smallest hash counts, or that of the next bin that has one. Four bins make a band. Lines of one
-band are candidates; so are lines of few shingles whose sets are equal, or are with one shingle less, which misses no link
-among them. Their full sets of shingles decide. Linked lines are one component, of which the first line of the corpus stays.
+A line is named by two 64-bit hashes. Its signature comes from one hash of all its character 5-shingles: from each of 14
+places of the hash range, the five smallest hashes from there on (in a circle) make a band, so two lines share a band with
+the fifth power of their similarity, however short they are. Lines of one band are candidates; so are lines of few
+shingles whose sets are equal, or are with one shingle less, which misses no link among them. Their full sets of shingles
+decide. Linked lines are one component, of which the first line of the corpus stays.
+
+Signatures and sets are made in Arrow batches with numpy; all else are DataFrame functions. A form in DataFrame functions
+alone takes several times the processor time (see the README).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, unwrap, wrap
-from .lists import linked
+from .bytesets import NON_SPACE, mix, parts, ranges
+from .charsets import NAME_BITS, sets, similar
+from .common import batch, cut, fresh_path, unwrap, wrap
+from .lists import differ, linked
 
-SHINGLE = 5
-BINS, BAND = 64, 4
-#: Bins that linked lines share at least: of 64, some fifty are shared at the threshold.
-LEAST_BINS = 12
-#: Sets up to this size are compared without a look at their bins, as one shingle can fill many.
-SMALL_SET = 32
-#: Ids up to this number are broadcast (8 bytes each), more are joined by a shuffle.
+BANDS, ROWS = 14, 5
+#: Bits of a set's parity, in words of 64.
+PARITY_WORDS = 4
+#: Values or ids up to this number are broadcast (8 bytes each), more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Bytes of lines that are signed or compared at a time; a longer line is taken alone.
+CHUNK = 1 << 18
+
+_K = np.uint64(0x9E3779B97F4A7C15)
+#: The seed under which a hash of 1, then a line, goes on.
+_SEED = 42
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -30,47 +43,125 @@ def _lines(docs: DataFrame) -> DataFrame:
     return listed.where(F.col("line").rlike(r"\S")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def _bin_starts() -> list[int]:
-    return [i * ((1 << 64) // BINS) - (1 << 63) for i in range(BINS)]
-
-
-def _signatures(hashed: DataFrame, *keep: str) -> DataFrame:
-    """The columns of keep and bins: the signature of each line, from its hashes."""
-    # The starts of the bins are sorted in among the hashes, so the place of a start tells how many hashes are smaller.
-    starts = F.array(*map(F.lit, _bin_starts()))
-    ordered = hashed.select(*keep, F.sort_array("hashes").alias("s"), F.sort_array(F.concat("hashes", starts)).alias("placed"))
-    least = F.transform(starts, lambda x, i: F.coalesce(F.get("s", (F.array_position("placed", x) - 1 - i).cast("int")), F.get("s", F.lit(0))))
-    return ordered.select(*keep, least.alias("bins"))
-
-
-def _grams(line: Column) -> Column:
-    """All character shingles, repeats too."""
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-
-
-def _hashed(lines: DataFrame, *keep: str) -> DataFrame:
-    """The columns of keep and hashes: those of the distinct shingles of each line."""
-    return lines.select(*keep, F.array_distinct(F.transform(_grams(F.col("line")), lambda x: F.xxhash64(x))).alias("hashes"))
-
-
-def _covered(percent: int) -> int:
+def covered(percent: int) -> int:
     """Up to this set size, linked sets are equal, or are with one shingle less of either or both: they differ in two
     shingles at most, and not by two in size."""
     return min(199 // max(100 - percent, 1), 16)
 
 
-def _values(lines: DataFrame, percent: int) -> DataFrame:
-    """value, doc (h1): the distinct values under which the lines are listed. Sets whose links are all covered have no bands."""
-    few, n = _covered(percent), F.size("hashes")
-    # The exclusive or names a set; without one shingle it is that of the rest.
-    whole = F.when(n <= few, F.aggregate("hashes", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)))
-    signed = _signatures(_hashed(lines, "h1"), "h1", "hashes").withColumn("whole", whole)
-    rests = F.when(100 * (n - 1) >= percent * n, F.transform("hashes", lambda x: x.bitwiseXOR(F.col("whole")))).otherwise(F.array())
-    sets = F.when(n <= few, F.transform(F.concat(F.array("whole"), rests), lambda x: F.xxhash64(F.lit(-1), x))).otherwise(F.array())
-    bands = F.array(*(F.xxhash64(F.lit(i), *(F.get("bins", F.lit(i + j)) for j in range(BAND))) for i in range(0, BINS, BAND)))
-    banded = F.when(100 * n >= percent * (few + 1), bands).otherwise(F.array())
-    # One pass: a filter by size would make the shingles a second time.
-    return signed.select(F.col("h1").alias("doc"), F.explode(F.concat(sets, banded)).alias("value")).distinct()
+def _bands(key: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
+    """The band values of each line, from its sorted set."""
+    n = np.diff(first)
+    base = np.arange(len(n), dtype=np.uint64)[:, None] << np.uint64(bits)
+    places = np.array([j * ((1 << bits) // BANDS) for j in range(BANDS)], np.uint64)
+    rel = np.searchsorted(key, (base | places).ravel()).reshape(len(n), BANDS) - first[:-1, None]
+    name = (key & np.uint64((1 << bits) - 1)) >> np.uint64(bits - NAME_BITS)
+    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rel.shape) * _K
+    for r in range(ROWS):
+        out = mix(out * _K + name[first[:-1, None] + (rel + r) % n[:, None]])
+    return out.view(np.int64)
+
+
+def signed(data: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For each line: the size of its set, the values under which it is listed, and its set's parity."""
+    key, first, bits = sets(data, at)
+    n = np.diff(first)
+    name = (key & np.uint64((1 << bits) - 1)) >> np.uint64(bits - NAME_BITS)
+    row = np.repeat(np.arange(len(n)), n)
+    width = 64 * PARITY_WORDS
+    odd = np.bincount(row * width + (name % np.uint64(width)).astype(np.int64), minlength=len(n) * width) & 1
+    parity = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(n), PARITY_WORDS)
+    few = covered(percent)
+    values = list(_bands(key, first, bits))
+    for i in np.flatnonzero(n <= few).tolist():
+        # The exclusive or names a set; without one shingle it is that of the rest.
+        own = mix(name[first[i] : first[i + 1]])
+        whole = np.bitwise_xor.reduce(own)
+        rests = own ^ whole if 100 * (n[i] - 1) >= percent * n[i] else own[:0]
+        named = mix(np.append(rests, whole) ^ _K).view(np.int64)
+        # Sets whose links are all covered have no bands.
+        values[i] = np.unique(np.concatenate([named, values[i]]) if 100 * n[i] >= percent * (few + 1) else named)
+    return n, values, parity
+
+
+def _chunks(lens: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of about CHUNK bytes each."""
+    upto = np.concatenate([[0], np.cumsum(lens)])
+    lo = 0
+    while lo < len(lens):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + CHUNK, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def signatures(docs: DataFrame, percent: int) -> DataFrame:
+    """A row for each distinct line of some MB of text: h1, h2, n_rows (occurrences), first_doc and first_line (the first of
+    them), n (set size), p0 to p3 (parity) and values."""
+    seed = docs.sparkSession.range(1).select(F.xxhash64(F.lit(1))).first()[0] % (1 << 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            ids = b.column("doc_id")
+            known = np.asarray(ids.is_valid())
+            doc_ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in parts(b.column("text")):
+                # A line ends at a line feed or with its text.
+                stop = np.flatnonzero(data == 0x0A)
+                ends = np.sort(np.concatenate([stop, off[1:]]), kind="stable")
+                starts = np.concatenate([[0], ends[:-1]])
+                starts += np.isin(starts, stop) & (starts < ends)
+                upto = np.concatenate([[0], np.cumsum(NON_SPACE[data])])
+                full = upto[ends] > upto[starts]
+                starts, ends = starts[full], ends[full]
+                if not len(starts):
+                    continue
+                row = np.searchsorted(off, starts, "right") - 1
+                feeds = np.concatenate([[0], np.cumsum(data == 0x0A)])
+                line_no = feeds[starts] - feeds[off[row]]
+                raw = memoryview(data.tobytes())
+                pieces = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+                h = np.array([(xxhash.xxh64_intdigest(x, _SEED), xxhash.xxh64_intdigest(x, seed)) for x in pieces], np.uint64).view(np.int64)
+                # The first occurrence of each line: rows without doc_id come first.
+                order = np.lexsort((line_no, doc_ids[lo + row], known[lo + row], h[:, 1], h[:, 0]))
+                new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]).any(1)])
+                where = np.flatnonzero(new)
+                pick, count = order[where], np.diff(np.append(where, len(order)))
+                lens = (ends - starts)[pick]
+                for a, z in _chunks(lens):
+                    own = pick[a:z]
+                    n, values, parity = signed(data[ranges(starts[own], lens[a:z])], np.concatenate([[0], np.cumsum(lens[a:z])]), percent)
+                    yield batch(
+                        h1=pa.array(h[own, 0]), h2=pa.array(h[own, 1]), n_rows=pa.array(count[a:z].astype(np.int64)),
+                        first_doc=pa.array(doc_ids[lo + row[own]].astype(np.int64), mask=~known[lo + row[own]]), first_line=pa.array(line_no[own].astype(np.int32)),
+                        n=pa.array(n.astype(np.int64)), values=pa.array(values, pa.list_(pa.int64())), **{f"p{i}": pa.array(parity[:, i]) for i in range(PARITY_WORDS)},
+                    )
+
+    words = ", ".join(f"p{i} long" for i in range(PARITY_WORDS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"h1 long, h2 long, n_rows long, first_doc long, first_line int, n long, values array<long>, {words}")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its number of rows, which is counted, allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (pivot, doc, a_line, b_line) those whose lines are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, z = (b.column(c).cast(pa.binary()) for c in ("a_line", "b_line"))
+            lens = np.stack([np.diff(np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]) for x in (a, z)], 1).astype(np.int64)
+            good = np.zeros(b.num_rows, bool)
+            for lo, hi in _chunks(lens.sum(1)):
+                text = b"".join(x for two in zip(a[lo:hi].to_pylist(), z[lo:hi].to_pylist()) for x in two)
+                good[lo:hi] = similar(np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(lens[lo:hi].ravel())]), percent)
+            yield b.select(["pivot", "doc"]).filter(pa.array(good))
+
+    return pairs.select("pivot", "doc", "a_line", "b_line").mapInArrow(run, "pivot long, doc long")
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -79,51 +170,57 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Lines are equal, or linked where 100 * intersection >= percent * union of their character 5-shingles (a shorter line
     is one shingle). Of a component, the first line stays: smallest doc_id, then line_no; rows without doc_id come first
     and lose nothing. Blank lines are never dropped. Rows that repeat a doc_id are one document: equal lines at equal
-    places are one line. Candidates share one of 16 bands, or are found for certain where both have few shingles; see the README for measured recall.
+    places are one line. Candidates share one of 14 bands, or are found for certain where both have few shingles; see the README for measured recall.
     """
-    lines = _lines(docs)
-    places = F.min(F.struct("doc_id", "line_no")).alias("first")
-    groups = cut(lines.groupBy("h1", "h2").agg(F.count("*").alias("rows"), places))
+    spark = docs.sparkSession
+    path = fresh_path(spark, "lines")
+    made = signatures(docs, percent)
+    made.write.parquet(path)
+    table = spark.read.schema(made.schema).parquet(path)
+    # A third of the values may be of one line; each task sums up its own first.
+    values = table.select(F.explode("values").alias("value"), F.col("h1").alias("doc"))
+    shared = cut(values.groupBy("value").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("value"))
+    listed = values.join(_few(shared), "value", "left_semi").distinct()
+    names = table.groupBy("h1").agg(F.min("h2").alias("h2"), F.max("h2").alias("other"), F.sum("n_rows").alias("n_rows"), F.min(F.struct("first_doc", "first_line")).alias("first"))
     # Lines whose first hash has two second ones take part as exact lines only.
-    unclear = groups.groupBy("h1").agg(F.count("*").alias("m")).where("m > 1").select("h1")
-    banded = _values(lines, percent).join(unclear.select(F.col("h1").alias("doc")), "doc", "left_anti").repartition("value")
-    shared = banded.groupBy("value").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("value")
-    listed = cut(banded.join(shared, "value").select("value", "doc"))
-
+    unclear = cut(names.where("h2 <> other").select("h1"))
+    some_unclear = not unclear.isEmpty()
+    if some_unclear:
+        listed = listed.join(unclear.select(F.col("h1").alias("doc")), "doc", "left_anti")
+    listed = cut(listed)
     ids = cut(listed.select(F.col("doc").alias("h1")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    own = lines.join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
-    sized = _hashed(own, "h1", "line").withColumn("n", F.size("hashes"))
-    texts = cut(_signatures(sized, "h1", "line", "n").select("h1", "line", "bins", "n"))
-    entries = listed.join(texts.select(F.col("h1").alias("doc"), F.struct("n").alias("facts")), "doc")
+    wanted = _few(ids)
+    facts = table.join(wanted, "h1", "left_semi").groupBy(F.col("h1").alias("doc")).agg(F.min("n").alias("n"), *(F.min(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS)))
+    texts = cut(_lines(docs).join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
+    entries = listed.join(facts.select("doc", F.struct("n", *(f"p{i}" for i in range(PARITY_WORDS))).alias("facts")), "doc")
 
     def compare(pairs: DataFrame) -> DataFrame:
-        """First the signatures: linked lines differ in most bins only by rare chance. Then the sets, of which the sizes
-        are known: what counts is what both have."""
-        a = texts.select(F.col("h1").alias("pivot"), *(F.col(c).alias(f"a_{c}") for c in ("line", "bins", "n")))
-        b = texts.select(F.col("h1").alias("doc"), *(F.col(c).alias(f"b_{c}") for c in ("line", "bins", "n")))
-        same = F.aggregate(F.zip_with("a_bins", "b_bins", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        common = F.size(F.array_intersect(_grams(F.col("a_line")), _grams(F.col("b_line"))))
-        # 100 c >= percent (na + nb - c), with c in one place, so that it is made once.
-        enough = common * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))
-        return pairs.join(b, "doc").join(a, "pivot").where((same >= LEAST_BINS) | (F.least("a_n", "b_n") <= SMALL_SET)).where(enough).select("pivot", "doc")
-
-    may = lambda x, y: 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
-    members = linked(entries, compare, may)
-    # Components by their smallest h1; a line outside of them is known by both hashes.
-    known = groups.join(members.select(F.col("node").alias("h1"), "component"), "h1", "left")
-    heads = members.select(F.col("component").alias("h1"), F.lit(True).alias("is_head")).distinct()
-    known = known.join(heads, "h1", "left").withColumn("component", F.when(F.col("is_head"), F.col("h1")).otherwise(F.col("component")))
-    fuzzy = known.where("component is not null")
-    kept = fuzzy.groupBy("component").agg(F.min("first").alias("stays"))
-    stay = fuzzy.join(kept, "component").select("h1", "h2", "stays")
-    stay = stay.unionByName(known.where("component is null and rows > 1").select("h1", "h2", F.col("first").alias("stays")))
-    gone = lines.select("doc_id", "line_no", "h1", "h2").join(stay, ["h1", "h2"]).where("not (doc_id <=> stays.doc_id and line_no = stays.line_no)")
-    return gone.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "h1"))).alias("dropped"))
+        a, b = (texts.select(F.col("h1").alias(end), F.col("line").alias(line)) for end, line in (("pivot", "a_line"), ("doc", "b_line")))
+        return _verified(pairs.join(b, "doc").join(a, "pivot"), percent)
+
+    def may(x: Column, y: Column) -> Column:
+        return differ(x, y, percent, PARITY_WORDS)
+
+    members = linked(entries, compare, may, widen=6)
+    # What stays of each component, and of each line outside of them that occurs more than once.
+    heads = members.select(F.col("component").alias("h1"), "component").distinct()
+    fuzzy = members.select(F.col("node").alias("h1"), "component").unionByName(heads)
+    known = names.where("h2 = other").select("h1", "h2", "n_rows", "first").join(fuzzy, "h1", "left")
+    within = known.where("component is not null")
+    kept = within.groupBy("component").agg(F.min("first").alias("stays"))
+    stay = within.join(kept, "component").select("h1", "h2", "stays")
+    stay = stay.unionByName(known.where("component is null and n_rows > 1").select("h1", "h2", F.col("first").alias("stays")))
+    if some_unclear:
+        exact = table.join(unclear, "h1", "left_semi").groupBy("h1", "h2").agg(F.sum("n_rows").alias("n_rows"), F.min(F.struct("first_doc", "first_line")).alias("stays"))
+        stay = stay.unionByName(exact.where("n_rows > 1").select("h1", "h2", "stays"))
+    lines = _lines(docs).where("doc_id is not null").select("doc_id", "line_no", "h1", "h2")
+    gone = lines.join(stay, ["h1", "h2"]).where("not (doc_id <=> stays.first_doc and line_no = stays.first_line)")
+    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "h1"))).alias("dropped"))
 
 
 def report(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_lines (not blank), n_dropped, dropped_lines (line numbers from 0, ascending); one row a row."""
+    """doc_id, n_lines (not blank), n_dropped, dropped_lines (line numbers from 0, ascending); one row a row. A null text
+    has no lines; a row without doc_id loses none."""
     count = F.coalesce(F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"\S"))), F.lit(0))
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(count).alias("n_lines"))
     out = counted.join(duplicate_lines(docs, percent), "doc_id", "left")

@@ -11,10 +11,25 @@ from .common import cut
 from .components import components
 
 
+def differ(x: Column, y: Column, percent: int, words: int) -> Column:
+    """Whether two sets can be similar by their facts: sizes n, and parities p0 ... in as many words. A set's parity tells
+    which remainders of its hashes occur an odd number of times, so two sets differ in at least as many items as these bits
+    do; similar ones differ in (1 - J) / (1 + J) of both sizes at most."""
+    bits = sum(F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(words))
+    return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & ((100 + percent) * bits <= (100 - percent) * (x["n"] + y["n"]))
+
+
+def _once(entries: DataFrame) -> DataFrame:
+    """The entries of lists of two items and more, of lists with the same items one (told by count and 128 bits)."""
+    marks = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("x2")]
+    lists = entries.groupBy("value").agg(*marks).where("m > 1").groupBy("m", "x1", "x2").agg(F.min("value").alias("value"))
+    return entries.join(lists.select("value"), "value", "left_semi")
+
+
 def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column], widen: int = 3) -> DataFrame:
     """node, component for items of the lists that a link joins to a smaller one.
 
-    entries: value, doc, facts (a struct of the item); items that share a value are candidates. may: a condition on the
+    entries: value, doc, facts (a struct of the item), each once; items that share a value are candidates. may: a condition on the
     facts of two items that every link fulfils; it is part of the join, so pairs that fail it are never written. compare:
     takes pairs (pivot, doc), returns those that are links.
 
@@ -25,6 +40,7 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: C
     """
     members = tested = None
     turn = 0
+    entries = _once(entries)
     while True:
         placed = entries.withColumn("comp", F.col("doc"))
         if members is not None:
@@ -35,7 +51,7 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: C
             break
         slot = F.pmod(F.xxhash64("doc"), F.lit(1 << min(widen * turn, 42)))
         first = placed.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("doc", "facts", "comp")).alias("p"))
-        pivots = cut(first.select("value", F.col("p.doc").alias("pivot"), F.col("p.facts").alias("pivot_facts"), F.col("p.comp").alias("pivot_comp")))
+        pivots = first.select("value", F.col("p.doc").alias("pivot"), F.col("p.facts").alias("pivot_facts"), F.col("p.comp").alias("pivot_comp"))
         near = placed.join(pivots, "value").where("comp <> pivot_comp").where(may(F.col("facts"), F.col("pivot_facts")))
         # The smaller of two items counts as the pivot, so that a pair is one pair.
         ends = [F.least("pivot", "doc").alias("pivot"), F.greatest("pivot", "doc").alias("doc")]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bytesets import LOWER, NON_SPACE, hashes, mix, parts, words
 from .common import batch, cut, unwrap, wrap
 from .components import components
-from .lists import linked
+from .lists import differ, linked
 
 #: Pairs and documents that a block is made for.
 PAIRS_PER_BLOCK, DOCS_PER_BLOCK = 2000, 2000
@@ -207,9 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
         return _compare(likely, texts, BySet(percent, shingle))
 
     def may(x: Column, y: Column) -> Column:
-        """Sizes that can be similar, and parities in no more bits than the sets may differ in: (1 - J) / (1 + J) of both sizes."""
-        differ = sum(F.bit_count(x[f"p{i}"].bitwiseXOR(y[f"p{i}"])) for i in range(PARITY_WORDS))
-        return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & ((100 + percent) * differ <= (100 - percent) * (x["n"] + y["n"]))
+        return differ(x, y, percent, PARITY_WORDS)
 
     members = linked(entries, compare, may, widen=6)
     grouped = filled.groupBy(*copies).agg(F.min("doc_id").alias("rep"))

@@ -203,9 +203,19 @@ def test_lines_equal_brute_force_at_all_lengths(spark):
         assert got == dropped_by_brute_force(rows, percent)
 
 
-def test_lines_take_no_python(spark, odd):
-    plan = linededup.report(odd)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_shingle_sets_equal_those_of_characters():
+    from tessera.llm import charsets
+
+    texts = [t.split("\n")[0] for _, t in lines_of_all_lengths()] + ["é", "ééééé", "日本語テキスト", "aaaaaaa", "😀" * 9, "x" * 3000]
+    texts += [t + "é" for t in texts]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw])
+    want = [{t[k : k + 5] for k in range(len(t) - 4)} or {t} for t in texts]
+    _, first, _ = charsets.sets(data, at)
+    assert np.diff(first).tolist() == [len(s) for s in want]
+    even = len(texts) // 2 * 2
+    got = charsets.similar(data[: at[even]], at[: even + 1], 30).tolist()
+    assert got == [100 * len(a & b) >= 30 * len(a | b) for a, b in zip(want[0:even:2], want[1:even:2])]
 
 
 def jaccard_components(rows, percent):
