@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash.
 
 A line is named by two 64-bit hashes. Its signature comes from one hash of all its character 5-shingles: from each of 14
-places of the hash range, the five smallest hashes from there on (in a circle) make a band, so two lines share a band with
-the fifth power of their similarity, however short they are. Lines of one band are candidates; so are lines of few
+places of the hash range, the six smallest hashes from there on (in a circle) make a band, so two lines share a band with
+the sixth power of their similarity, however short they are. Lines of one band are candidates; so are lines of few
 shingles whose sets are equal, or are with one shingle less, which misses no link among them. Their full sets of shingles
 decide. Linked lines are one component, of which the first line of the corpus stays.
 
@@ -24,11 +24,11 @@ from .charsets import NAME_BITS, sets, similar
 from .common import batch, cut, fresh_path, unwrap, wrap
 from .lists import differ, linked
 
-BANDS, ROWS = 14, 5
+BANDS, ROWS = 14, 6
 #: Bits of a set's parity, in words of 64.
 PARITY_WORDS = 4
-#: Values or ids up to this number are broadcast (8 bytes each), more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Tables of up to this many rows (of a few numbers each) are broadcast, larger ones are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 #: Bytes of lines that are signed or compared at a time; a longer line is taken alone.
 CHUNK = 1 << 18
 
@@ -96,12 +96,16 @@ def _chunks(lens: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """A row for each distinct line of some MB of text: h1, h2, n_rows (occurrences), first_doc and first_line (the first of
-    them), n (set size), p0 to p3 (parity) and values."""
+    them); and, once a task, n (set size), p0 to p3 (parity) and values (otherwise null). Memory: 16 bytes and some for
+    each distinct line of a task."""
+    marks = ("n", *(f"p{i}" for i in range(PARITY_WORDS)))
+    columns = {"h1": "long", "h2": "long", "n_rows": "long", "first_doc": "long", "first_line": "int", **dict.fromkeys(marks, "long"), "values": "array<long>"}
     seed = docs.sparkSession.range(1).select(F.xxhash64(F.lit(1))).first()[0] % (1 << 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             ids = b.column("doc_id")
             known = np.asarray(ids.is_valid())
@@ -128,24 +132,46 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
                 new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]).any(1)])
                 where = np.flatnonzero(new)
                 pick, count = order[where], np.diff(np.append(where, len(order)))
+                fresh = np.array([x not in seen for x in map(tuple, h[pick].tolist())])
+                seen.update(map(tuple, h[pick[fresh]].tolist()))
                 lens = (ends - starts)[pick]
-                for a, z in _chunks(lens):
-                    own = pick[a:z]
-                    n, values, parity = signed(data[ranges(starts[own], lens[a:z])], np.concatenate([[0], np.cumsum(lens[a:z])]), percent)
-                    yield batch(
-                        h1=pa.array(h[own, 0]), h2=pa.array(h[own, 1]), n_rows=pa.array(count[a:z].astype(np.int64)),
-                        first_doc=pa.array(doc_ids[lo + row[own]].astype(np.int64), mask=~known[lo + row[own]]), first_line=pa.array(line_no[own].astype(np.int32)),
-                        n=pa.array(n.astype(np.int64)), values=pa.array(values, pa.list_(pa.int64())), **{f"p{i}": pa.array(parity[:, i]) for i in range(PARITY_WORDS)},
-                    )
-
-    words = ", ".join(f"p{i} long" for i in range(PARITY_WORDS))
+                for own, times, again in [(pick[~fresh], count[~fresh], True)] + [(pick[fresh][a:z], count[fresh][a:z], False) for a, z in _chunks(lens[fresh])]:
+                    place = lo + row[own]
+                    said = {"h1": h[own, 0], "h2": h[own, 1], "n_rows": times.astype(np.int64), "first_line": line_no[own].astype(np.int32)}
+                    out = {"first_doc": pa.array(doc_ids[place].astype(np.int64), mask=~known[place])} | {k: pa.array(v) for k, v in said.items()}
+                    if again:
+                        out |= {c: pa.nulls(len(own), pa.int64()) for c in marks} | {"values": pa.nulls(len(own), pa.list_(pa.int64()))}
+                    else:
+                        size = (ends - starts)[own]
+                        n, values, parity = signed(data[ranges(starts[own], size)], np.concatenate([[0], np.cumsum(size)]), percent)
+                        out |= {"n": pa.array(n.astype(np.int64)), "values": pa.array(values, pa.list_(pa.int64()))} | {f"p{i}": pa.array(parity[:, i]) for i in range(PARITY_WORDS)}
+                    yield batch(**{c: out[c] for c in columns})
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"h1 long, h2 long, n_rows long, first_doc long, first_line int, n long, values array<long>, {words}")
+    return rows.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in columns.items()))
+
+
+def _meeting(listed: DataFrame) -> DataFrame:
+    """The distinct (value, doc) of values with two docs and more. Hot values come in order, so no list is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, paired = np.zeros((0, 2), np.int64), False  # the row before, and whether it has a partner already
+        for b in batches:
+            rows = np.concatenate([last, np.stack([b.column(c).to_numpy() for c in ("value", "doc")], 1)])
+            rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]
+            same = rows[1:, 0] == rows[:-1, 0]
+            kept = np.concatenate([[paired], same]) | np.concatenate([same, [False]])
+            # The first row has been given out if it had a partner, the last one is when it gets one.
+            kept[0] &= not paired
+            yield batch(value=pa.array(rows[kept, 0]), doc=pa.array(rows[kept, 1]))
+            last, paired = rows[-1:], bool(kept[-1]) or (len(rows) == 1 and paired)
+
+    return listed.repartition("value").sortWithinPartitions("value", "doc").mapInArrow(run, "value long, doc long")
 
 
 def _few(df: DataFrame) -> DataFrame:
     """df, to be broadcast if its number of rows, which is counted, allows it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
@@ -175,24 +201,23 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     path = fresh_path(spark, "lines")
     made = signatures(docs, percent)
-    made.write.parquet(path)
+    made.write.option("parquet.enable.dictionary", "false").parquet(path)
     table = spark.read.schema(made.schema).parquet(path)
-    # A third of the values may be of one line; each task sums up its own first.
-    values = table.select(F.explode("values").alias("value"), F.col("h1").alias("doc"))
-    shared = cut(values.groupBy("value").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("value"))
-    listed = values.join(_few(shared), "value", "left_semi").distinct()
-    names = table.groupBy("h1").agg(F.min("h2").alias("h2"), F.max("h2").alias("other"), F.sum("n_rows").alias("n_rows"), F.min(F.struct("first_doc", "first_line")).alias("first"))
+    names = table.groupBy("h1").agg(F.min("h2").alias("h2"), F.max("h2").alias("other"), F.sum("n_rows").alias("n_rows"))
+    often = cut(names.where("n_rows > 1"))
     # Lines whose first hash has two second ones take part as exact lines only.
-    unclear = cut(names.where("h2 <> other").select("h1"))
+    unclear = often.where("h2 <> other").select("h1")
     some_unclear = not unclear.isEmpty()
+    listed = table.select(F.explode("values").alias("value"), F.col("h1").alias("doc"))
     if some_unclear:
         listed = listed.join(unclear.select(F.col("h1").alias("doc")), "doc", "left_anti")
-    listed = cut(listed)
+    listed = cut(_meeting(listed))
     ids = cut(listed.select(F.col("doc").alias("h1")).distinct())
     wanted = _few(ids)
-    facts = table.join(wanted, "h1", "left_semi").groupBy(F.col("h1").alias("doc")).agg(F.min("n").alias("n"), *(F.min(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS)))
+    marks = ["n", *(f"p{i}" for i in range(PARITY_WORDS))]
+    facts = table.where("n is not null").join(wanted, "h1", "left_semi").groupBy(F.col("h1").alias("doc")).agg(*(F.min(c).alias(c) for c in marks))
     texts = cut(_lines(docs).join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
-    entries = listed.join(facts.select("doc", F.struct("n", *(f"p{i}" for i in range(PARITY_WORDS))).alias("facts")), "doc")
+    entries = listed.join(facts.select("doc", F.struct(*marks).alias("facts")), "doc")
 
     def compare(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("h1").alias(end), F.col("line").alias(line)) for end, line in (("pivot", "a_line"), ("doc", "b_line")))
@@ -205,16 +230,14 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # What stays of each component, and of each line outside of them that occurs more than once.
     heads = members.select(F.col("component").alias("h1"), "component").distinct()
     fuzzy = members.select(F.col("node").alias("h1"), "component").unionByName(heads)
-    known = names.where("h2 = other").select("h1", "h2", "n_rows", "first").join(fuzzy, "h1", "left")
-    within = known.where("component is not null")
+    several = cut(often.select("h1").join(fuzzy, "h1", "full"))
+    first = table.join(_few(several), "h1").groupBy("h1", "h2", "component").agg(F.sum("n_rows").alias("n_rows"), F.min(F.struct("first_doc", "first_line")).alias("first"))
+    within = first.where("component is not null")
     kept = within.groupBy("component").agg(F.min("first").alias("stays"))
     stay = within.join(kept, "component").select("h1", "h2", "stays")
-    stay = stay.unionByName(known.where("component is null and n_rows > 1").select("h1", "h2", F.col("first").alias("stays")))
-    if some_unclear:
-        exact = table.join(unclear, "h1", "left_semi").groupBy("h1", "h2").agg(F.sum("n_rows").alias("n_rows"), F.min(F.struct("first_doc", "first_line")).alias("stays"))
-        stay = stay.unionByName(exact.where("n_rows > 1").select("h1", "h2", "stays"))
+    stay = cut(stay.unionByName(first.where("component is null and n_rows > 1").select("h1", "h2", F.col("first").alias("stays"))))
     lines = _lines(docs).where("doc_id is not null").select("doc_id", "line_no", "h1", "h2")
-    gone = lines.join(stay, ["h1", "h2"]).where("not (doc_id <=> stays.first_doc and line_no = stays.first_line)")
+    gone = lines.join(_few(stay), ["h1", "h2"]).where("not (doc_id <=> stays.first_doc and line_no = stays.first_line)")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "h1"))).alias("dropped"))
 
 
