@@ -2,27 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import batch, cut
+
+#: Edges (two numbers each) of which one task may hold all: some tens of MB.
+ONE_TASK_EDGES = 1_000_000
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) for all ends of edges that are not the smallest."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        apart = x != y
+        # Roots hook to each other by the edges that are left.
+        x, y = x[apart], y[apart]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if rows:
+            node, to = joined(*(np.concatenate(x) for x in zip(*rows)))
+            yield batch(node=pa.array(node), to=pa.array(to))
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, to long")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """node, component (smallest node reachable) for every node that is not itself the smallest of its component.
 
     Distributed union-find: in a round each node points to its smallest neighbour if that is smaller, pointers are
     doubled until all lead to roots, and edges are drawn anew between the roots of their ends. At least half of the nodes go in a round.
-    Rounds are cut by checkpoints; only the emptiness of the edge list reaches the driver. Null ends, loops and repeated
-    edges count for nothing.
+    Rounds are cut by checkpoints; only counts of edges reach the driver. Once at most `one_task` edges are left, one task
+    of an executor joins what is left. Null ends, loops and repeated edges count for nothing.
     """
 
     def tidy(e: DataFrame) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
-    left = cut(tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")))
+    left = cut(tidy(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")))
     rounds: list[DataFrame] = []
-    while not left.isEmpty():
+    while left.count() > one_task:
         # Every edge (a, b) has b < a, so a node hooks to the least b of the edges in which it is a.
         hook = cut(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")))
         while True:
@@ -35,11 +71,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         for end in ("a", "b"):
             ends = ends.join(hook.select(F.col("node").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         left = cut(tidy(ends))
-    if not rounds:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = rounds[-1]
-    for earlier in reversed(rounds[:-1]):
+    out = cut(_in_one_task(left))
+    for earlier in reversed(rounds):
         onward = out.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        moved = earlier.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
-        out = out.unionByName(moved)
-    return cut(out.select("node", F.col("to").alias("component")))
+        out = out.unionByName(earlier.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+    out = out.select("node", F.col("to").alias("component"))
+    return cut(out) if rounds else out

@@ -26,7 +26,11 @@ def _once(entries: DataFrame) -> DataFrame:
     return entries.join(lists.select("value"), "value", "left_semi")
 
 
-def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column], widen: int = 3) -> DataFrame:
+#: Once the lists hold at most so many pairs for each entry, all of them are tested in one round.
+PAIRS_PER_ENTRY = 64
+
+
+def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: Callable[[Column, Column], Column], widen: int = 6) -> DataFrame:
     """node, component for items of the lists that a link joins to a smaller one.
 
     entries: value, doc, facts (a struct of the item), each once; items that share a value are candidates. may: a condition on the
@@ -34,25 +38,35 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: C
     takes pairs (pivot, doc), returns those that are links.
 
     In a round, some pivots of each list (the smallest item of each hashed slot: one slot, then 2 ** widen times as many in
-    each further round) are paired with its other items of other components, and leave the list. Lists that lie within one component are closed.
-    So a list of m copies takes some m comparisons, one of unlike items all of them, and no pair of unjoined items is
-    passed over.
+    each further round) are paired with its other items of other components, and leave the list. Lists that lie within one
+    component are closed. When what is left of the lists has few pairs (their number is counted, and is linear in the
+    entries), all of them of different components are paired. So a list of m copies takes some m comparisons, one of
+    unlike items all of them, and no pair of unjoined items is passed over.
     """
     members = tested = None
     turn = 0
-    entries = _once(entries)
+    left = _once(entries)
     while True:
-        placed = entries.withColumn("comp", F.col("doc"))
+        placed = left.withColumn("comp", F.col("doc"))
         if members is not None:
-            placed = entries.join(members, F.col("doc") == F.col("node"), "left").select("value", "doc", "facts", F.coalesce("component", "doc").alias("comp"))
-        still_open = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("value")
-        placed = cut(placed.join(still_open, "value"))
-        if placed.isEmpty():
+            placed = left.join(members, F.col("doc") == F.col("node"), "left").select("value", "doc", "facts", F.coalesce("component", "doc").alias("comp"))
+            still_open = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("value")
+            placed = placed.join(still_open, "value", "left_semi")
+        placed = cut(placed)
+        per_list = placed.groupBy("value").agg(F.count("*").alias("m"))
+        rows, pairs_left = per_list.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
+        if not rows:
             break
-        slot = F.pmod(F.xxhash64("doc"), F.lit(1 << min(widen * turn, 42)))
-        first = placed.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("doc", "facts", "comp")).alias("p"))
-        pivots = first.select("value", F.col("p.doc").alias("pivot"), F.col("p.facts").alias("pivot_facts"), F.col("p.comp").alias("pivot_comp"))
-        near = placed.join(pivots, "value").where("comp <> pivot_comp").where(may(F.col("facts"), F.col("pivot_facts")))
+        last = turn > 0 and pairs_left <= PAIRS_PER_ENTRY * rows
+        if last:
+            pivots = placed.select("value", F.col("doc").alias("pivot"), F.col("facts").alias("pivot_facts"), F.col("comp").alias("pivot_comp"))
+            near = placed.join(pivots, "value").where("pivot < doc")
+        else:
+            slot = F.pmod(F.xxhash64("doc"), F.lit(1 << min(widen * turn, 42)))
+            first = placed.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("doc", "facts", "comp")).alias("p"))
+            pivots = first.select("value", F.col("p.doc").alias("pivot"), F.col("p.facts").alias("pivot_facts"), F.col("p.comp").alias("pivot_comp"))
+            near = placed.join(pivots, "value")
+        near = near.where("comp <> pivot_comp").where(may(F.col("facts"), F.col("pivot_facts")))
         # The smaller of two items counts as the pivot, so that a pair is one pair.
         ends = [F.least("pivot", "doc").alias("pivot"), F.greatest("pivot", "doc").alias("doc")]
         sides = [F.when(F.col("pivot") < F.col("doc"), F.col(x)).otherwise(F.col(y)) for x, y in (("pivot_comp", "comp"), ("comp", "pivot_comp"))]
@@ -60,15 +74,17 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: C
         if tested is not None:
             pairs = pairs.join(tested, ["pivot", "doc"], "left_anti")
         pairs = cut(pairs)
-        found = cut(compare(pairs.select("pivot", "doc"))) if not pairs.isEmpty() else pairs
-        tested = pairs.select("pivot", "doc") if tested is None else tested.unionByName(pairs.select("pivot", "doc"))
-        if not found.isEmpty():
+        if not pairs.isEmpty():
+            found = compare(pairs.select("pivot", "doc"))
             # Links join the components of their ends; what pointed to a component follows it.
-            joined = components(found.join(pairs, ["pivot", "doc"]), "a", "b")
+            new = components(found.join(pairs, ["pivot", "doc"]), "a", "b")
             if members is not None:
-                onward = joined.select(F.col("node").alias("component"), F.col("component").alias("further"))
-                joined = cut(members.join(onward, "component", "left").select("node", F.coalesce("further", "component").alias("component")).unionByName(joined))
-            members = joined
-        entries = placed.drop("comp").join(pivots.select("value", F.col("pivot").alias("doc")), ["value", "doc"], "left_anti")
+                onward = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
+                new = cut(members.join(onward, "component", "left").select("node", F.coalesce("further", "component").alias("component")).unionByName(new))
+            members = new
+        if last:
+            break
+        tested = pairs.select("pivot", "doc") if tested is None else tested.unionByName(pairs.select("pivot", "doc"))
+        left = placed.drop("comp").join(pivots.select("value", F.col("pivot").alias("doc")), ["value", "doc"], "left_anti")
         turn += 1
     return members if members is not None else components(entries.select(F.col("doc").alias("a"), F.col("doc").alias("b")))

@@ -133,8 +133,10 @@ def test_toxicity_learns_words_and_not_groups(spark, odd, empty):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (200, 200), (300, 302), (302, 301), (None, 5)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 61)} | {101: 100, 301: 300, 302: 300}
+    edges = spark.createDataFrame(edges, "a long, b long")
+    for one_task in (0, 1000):
+        got = {r.node: r.component for r in components(edges, one_task=one_task).collect()}
+        assert got == {i: 0 for i in range(1, 61)} | {101: 100, 301: 300, 302: 300}
 
 
 LINES = ["the quick brown fox jumps over the lazy dog and runs away from the angry bear in the dark forest", "a wholly other line that speaks of boats, of harbours and of long journeys over quiet seas", "short", "x"]
