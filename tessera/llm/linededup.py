@@ -1,8 +1,9 @@
 """Fuzzy line dedup by MinHash.
 
-A line is named by two 64-bit hashes. Its signature comes from one hash of all its character 5-shingles: from each of 14
-places of the hash range, the six smallest hashes from there on (in a circle) make a band, so two lines share a band with
-the sixth power of their similarity, however short they are. Lines of one band are candidates; so are lines of few
+A line is named by two 64-bit hashes. Its signature comes from one hash of all its character 5-shingles: from each of some
+places of the hash range, the next few hashes (in a circle) make a band, so two lines share a band with a power of their
+similarity, however short they are. Lines of few shingles have bands of four, others of six, as long lines resemble each
+other more by chance; sizes that links can cross have both. Lines of one band are candidates; so are lines of few
 shingles whose sets are equal, or are with one shingle less, which misses no link among them. Their full sets of shingles
 decide. Linked lines are one component, of which the first line of the corpus stays.
 
@@ -19,18 +20,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import NON_SPACE, mix, parts, ranges
+from .bytesets import mix, parts, ranges
 from .charsets import NAME_BITS, sets, similar
 from .common import batch, cut, fresh_path, unwrap, wrap
 from .lists import differ, linked
 
-BANDS, ROWS = 14, 6
+#: Bands, and hashes of a band, for sets of up to SHORT shingles and for larger ones. Of links at 80 % they miss 0.1 % and 0.8 %.
+SHORT, SHORT_BANDS, LONG_BANDS = 128, (14, 4), (16, 6)
 #: Bits of a set's parity, in words of 64.
 PARITY_WORDS = 4
 #: Tables of up to this many rows (of a few numbers each) are broadcast, larger ones are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 #: Bytes of lines that are signed or compared at a time; a longer line is taken alone.
 CHUNK = 1 << 18
+#: Bytes of text whose lines are told apart at a time.
+SLICE = 1 << 20
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: The seed under which a hash of 1, then a line, goes on.
@@ -49,16 +53,14 @@ def covered(percent: int) -> int:
     return min(199 // max(100 - percent, 1), 16)
 
 
-def _bands(key: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
-    """The band values of each line, from its sorted set."""
-    n = np.diff(first)
-    base = np.arange(len(n), dtype=np.uint64)[:, None] << np.uint64(bits)
-    places = np.array([j * ((1 << bits) // BANDS) for j in range(BANDS)], np.uint64)
-    rel = np.searchsorted(key, (base | places).ravel()).reshape(len(n), BANDS) - first[:-1, None]
-    name = (key & np.uint64((1 << bits) - 1)) >> np.uint64(bits - NAME_BITS)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rel.shape) * _K
-    for r in range(ROWS):
-        out = mix(out * _K + name[first[:-1, None] + (rel + r) % n[:, None]])
+def _bands(lines: np.ndarray, key: np.ndarray, name: np.ndarray, first: np.ndarray, bits: int, bands: int, rows: int) -> np.ndarray:
+    """The band values of the given lines, from their sorted sets."""
+    n, start = np.diff(first)[lines][:, None], first[lines][:, None]
+    places = np.array([j * ((1 << bits) // bands) for j in range(bands)], np.uint64)
+    rel = np.searchsorted(key, ((lines.astype(np.uint64)[:, None] << np.uint64(bits)) | places).ravel()).reshape(-1, bands) - start
+    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(rows << 32), rel.shape) * _K
+    for r in range(rows):
+        out = mix(out * _K + name[start + (rel + r) % n])
     return out.view(np.int64)
 
 
@@ -67,12 +69,15 @@ def signed(data: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray,
     key, first, bits = sets(data, at)
     n = np.diff(first)
     name = (key & np.uint64((1 << bits) - 1)) >> np.uint64(bits - NAME_BITS)
-    row = np.repeat(np.arange(len(n)), n)
-    width = 64 * PARITY_WORDS
-    odd = np.bincount(row * width + (name % np.uint64(width)).astype(np.int64), minlength=len(n) * width) & 1
-    parity = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(n), PARITY_WORDS)
+    bit, word = np.uint64(1) << (name & np.uint64(63)), (name >> np.uint64(6)) % np.uint64(PARITY_WORDS)
+    parity = np.stack([np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), first[:-1]) for w in range(PARITY_WORDS)], 1).view(np.int64)
     few = covered(percent)
-    values = list(_bands(key, first, bits))
+    # Links join sizes of at least percent : 100, so both ends of a link have bands of one kind.
+    kinds = ((np.flatnonzero(n <= SHORT), SHORT_BANDS), (np.flatnonzero(100 * n >= percent * SHORT), LONG_BANDS))
+    values = [np.zeros(0, np.int64)] * len(n)
+    for lines, (bands, rows) in kinds:
+        for i, own in zip(lines.tolist(), _bands(lines, key, name, first, bits, bands, rows)):
+            values[i] = np.concatenate([values[i], own]) if len(values[i]) else own
     for i in np.flatnonzero(n <= few).tolist():
         # The exclusive or names a set; without one shingle it is that of the rest.
         own = mix(name[first[i] : first[i + 1]])
@@ -84,6 +89,23 @@ def signed(data: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray,
     return n, values, parity
 
 
+def split_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, rows and numbers within their rows of all lines that are not blank."""
+    feeds = np.flatnonzero(data == 0x0A)
+    row = np.concatenate([np.arange(len(off) - 1), np.searchsorted(off, feeds, "right") - 1])
+    order = np.argsort(row, kind="stable")
+    starts, row = np.concatenate([off[:-1], feeds + 1])[order], row[order]
+    last = np.append(row[1:] != row[:-1], True)
+    ends = np.where(last, off[row + 1], np.append(starts[1:], 0) - 1)
+    number = np.arange(len(row)) - np.searchsorted(row, row)
+    blank = data == 0x20
+    blank |= data - np.uint8(0x09) <= 4
+    upto = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(blank, out=upto[1:])
+    full = upto[ends] - upto[starts] < ends - starts
+    return starts[full], ends[full], row[full], number[full]
+
+
 def _chunks(lens: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of lines of about CHUNK bytes each."""
     upto = np.concatenate([[0], np.cumsum(lens)])
@@ -110,20 +132,10 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
             ids = b.column("doc_id")
             known = np.asarray(ids.is_valid())
             doc_ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in parts(b.column("text")):
-                # A line ends at a line feed or with its text.
-                stop = np.flatnonzero(data == 0x0A)
-                ends = np.sort(np.concatenate([stop, off[1:]]), kind="stable")
-                starts = np.concatenate([[0], ends[:-1]])
-                starts += np.isin(starts, stop) & (starts < ends)
-                upto = np.concatenate([[0], np.cumsum(NON_SPACE[data])])
-                full = upto[ends] > upto[starts]
-                starts, ends = starts[full], ends[full]
+            for lo, hi, data, off in parts(b.column("text"), SLICE):
+                starts, ends, row, line_no = split_lines(data, off)
                 if not len(starts):
                     continue
-                row = np.searchsorted(off, starts, "right") - 1
-                feeds = np.concatenate([[0], np.cumsum(data == 0x0A)])
-                line_no = feeds[starts] - feeds[off[row]]
                 raw = memoryview(data.tobytes())
                 pieces = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
                 h = np.array([(xxhash.xxh64_intdigest(x, _SEED), xxhash.xxh64_intdigest(x, seed)) for x in pieces], np.uint64).view(np.int64)
@@ -196,7 +208,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     Lines are equal, or linked where 100 * intersection >= percent * union of their character 5-shingles (a shorter line
     is one shingle). Of a component, the first line stays: smallest doc_id, then line_no; rows without doc_id come first
     and lose nothing. Blank lines are never dropped. Rows that repeat a doc_id are one document: equal lines at equal
-    places are one line. Candidates share one of 14 bands, or are found for certain where both have few shingles; see the README for measured recall.
+    places are one line. Candidates share a band, or are found for certain where both have few shingles; see the README for measured recall.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "lines")

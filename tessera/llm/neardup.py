@@ -26,12 +26,12 @@ from .common import batch, cut, unwrap, wrap
 from .components import components
 from .lists import differ, linked
 
-#: Pairs and documents that a block is made for.
-PAIRS_PER_BLOCK, DOCS_PER_BLOCK = 2000, 2000
+#: Pairs, documents and bytes that a block is made for.
+PAIRS_PER_BLOCK, DOCS_PER_BLOCK, BYTES_PER_BLOCK = 2000, 2000, 16 << 20
 #: Bits of a set's parity, in words of 64.
 PARITY_WORDS = 4
 #: Ids up to this number are broadcast (8 bytes each), more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -76,7 +76,7 @@ def parity(hashed: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int = 64, shingle: int = 5) -> DataFrame:
-    """doc_id, n (set size), f1, f2 (fingerprint of the set), sketch (the k smallest hashes), parity of every row."""
+    """key, doc_id, n (set size), f1, f2 (fingerprint of the set), sketch (the k smallest hashes), parity of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,10 +89,10 @@ def sketch(docs: DataFrame, k: int = 64, shingle: int = 5) -> DataFrame:
                     low.append(s[:k].view(np.int64))
                     odd.append(parity(s))
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield batch(doc_id=b.column("doc_id"), n=pa.array(n, pa.int64()), f1=as_long(f1), f2=as_long(f2), sketch=pa.array(low, pa.list_(pa.int64())), parity=pa.array(odd, pa.list_(pa.int64())))
+            yield batch(key=b.column("key"), doc_id=b.column("doc_id"), n=pa.array(n, pa.int64()), f1=as_long(f1), f2=as_long(f2), sketch=pa.array(low, pa.list_(pa.int64())), parity=pa.array(odd, pa.list_(pa.int64())))
 
-    schema = "doc_id long, n long, f1 long, f2 long, sketch array<long>, parity array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    schema = "key long, doc_id long, n long, f1 long, f2 long, sketch array<long>, parity array<long>"
+    return docs.select("key", "doc_id", "text").mapInArrow(run, schema)
 
 
 def inverted_lists(reps: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -111,12 +111,14 @@ def _compare(pairs: DataFrame, values: DataFrame, similar) -> DataFrame:
     """The pairs (pivot, doc) for which similar.holds(pivot's value, doc's value).
 
     values: doc, value. Documents are dealt to blocks by hash, and pairs to pairs of blocks; a document's value is sent
-    once to each pair of blocks that has a pair of it. The number of blocks grows with documents and pairs, so what one
-    pair of blocks holds does not.
+    once to each pair of blocks that has a pair of it. The number of blocks grows with pairs, documents and the bytes of
+    their values, so what one pair of blocks holds does not.
     """
     n_pairs = pairs.count()
-    n_docs = pairs.select(F.explode(F.array("pivot", "doc")).alias("doc")).distinct().count()
-    blocks = max(1, math.ceil(math.sqrt(n_pairs / PAIRS_PER_BLOCK)), math.ceil(n_docs / DOCS_PER_BLOCK))
+    size = 8 * F.size("value") if dict(values.dtypes)["value"].startswith("array") else F.octet_length("value")
+    ends = pairs.select(F.explode(F.array("pivot", "doc")).alias("doc")).distinct()
+    n_docs, n_bytes = ends.join(values, "doc").agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(1, math.ceil(math.sqrt(n_pairs / PAIRS_PER_BLOCK)), math.ceil(n_docs / DOCS_PER_BLOCK), math.ceil(n_bytes / BYTES_PER_BLOCK))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     dealt = pairs.select(block("pivot").alias("x"), block("doc").alias("y"), "pivot", "doc")
     needed = dealt.select("x", "y", F.explode(F.array("pivot", "doc")).alias("doc")).distinct().join(values, "doc")
@@ -189,17 +191,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
     the links of all its rows. A row without doc_id is linked with nothing and kept, with a null component.
     """
     similarity = percent / 100
-    sketches = cut(sketch(docs, k, shingle))
+    # Rows are known by a hash of id and text, as rows of one id can differ.
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", key)
+    sketches = cut(sketch(rows, k, shingle))
     filled = sketches.where("n > 0 and doc_id is not null")
     copies = ["f1", "f2", "n"]
-    reps = cut(filled.groupBy(*copies).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
+    reps = cut(filled.groupBy(*copies).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
     words_of = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_WORDS)]
     facts = reps.select(F.col("rep").alias("doc"), F.struct("n", *words_of).alias("facts"))
     entries = cut(inverted_lists(reps, similarity, k).drop("n").join(facts, "doc"))
     ids = cut(entries.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").join(entries, "value").select("doc").distinct())
-    few = ids.count() <= BROADCAST_IDS
-    wanted = F.broadcast(ids) if few else ids
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc"), F.encode("text", "UTF-8").alias("value")).where("value is not null").join(wanted, "doc", "left_semi"))
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = cut(rows.where("text is not null").select(F.col("key").alias("doc"), F.encode("text", "UTF-8").alias("value")).join(wanted, "doc", "left_semi").dropDuplicates(["doc"]))
     values = reps.select(F.col("rep").alias("doc"), F.col("sketch").alias("value")).join(ids, "doc", "left_semi")
 
     def compare(pairs: DataFrame) -> DataFrame:
@@ -209,15 +213,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
     def may(x: Column, y: Column) -> Column:
         return differ(x, y, percent, PARITY_WORDS)
 
-    members = linked(entries, compare, may, widen=6)
-    grouped = filled.groupBy(*copies).agg(F.min("doc_id").alias("rep"))
+    members = linked(entries, compare, may)
+    # Each set's component goes by its smallest document.
+    placed = reps.select(*copies, "rep", "least").join(members, F.col("rep") == F.col("node"), "left").select(*copies, "least", F.coalesce("component", "rep").alias("component"))
+    least = placed.groupBy("component").agg(F.min("least").alias("head"))
+    own = filled.select("doc_id", *copies).join(placed.join(least, "component").select(*copies, "head"), copies).select("doc_id", "head").distinct()
     # A document whose rows differ is in several sets; its links join them.
-    own = filled.select("doc_id", *copies).join(grouped, copies).select("doc_id", "rep").join(members, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("rep")).distinct()
     repeated = own.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1")
     if repeated.isEmpty():
-        final = own.select("doc_id", F.col("rep").alias("component_id"))
+        final = own.select("doc_id", F.col("head").alias("component_id"))
     else:
-        final = components(own, "doc_id", "rep").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+        final = components(own, "doc_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -256,6 +256,11 @@ def test_near_duplicates(spark, odd, empty):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows), percent).collect()}
         assert got == jaccard_components(rows, percent)
     assert neardup.near_duplicates(empty).count() == 0
+    # Rows of one id that differ: the links of both count.
+    a, b = ("".join(f"{c}{i} " for i in range(40)) for c in "ab")
+    twofold = [(1, a), (1, b), (2, a + "end"), (3, b + "end"), (4, "c d e f g h")]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, twofold)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
     by = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(odd).collect()]
     assert len(by) == len(ODD) and (8, 5, False) in by and (None, None, True) in by and (2, 2, True) in by
 
