@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesets import mix
-from .common import batch, fresh_path
+from .common import batch, fresh_path, remove_path
 from .encode import encoded, encoder
 
 WINDOW, SHORTEST, LONGEST = 16, 256, 4096
@@ -125,7 +125,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, width: int = 2) -> No
 
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(cut_up, MIXED)
-    rows = rows.repartition(F.coalesce(F.xxhash64("digest"), F.xxhash64("doc_id", "digests")))
+    # A hash of null is a number too, so chunks and recipes are told apart by their kind.
+    rows = rows.repartition(F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "digests")))
     rows.mapInArrow(once, rows.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/mixed")
 
     recipes = spark.read.schema(MIXED).parquet(f"{path}/mixed").where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "lengths")
@@ -140,6 +141,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, width: int = 2) -> No
     started = ordered.join(F.broadcast(totals), "part").withColumn("start", F.col("part_start") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     rooted = started.select("part", "doc_id", "start", "n_tokens", "digests", "lengths", roots("digests").alias("root"))
     rooted.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    remove_path(spark, f"{path}/ordered")
     parts = _part_roots(spark.read.schema(RECIPES).parquet(f"{path}/recipes"))
     whole = parts.groupBy().agg(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("start"), F.sum("n_tokens").alias("n_tokens"), roots(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "root"))), lambda x: F.hex(x["root"])), "")).alias("root"))
     parts.unionByName(whole).write.parquet(f"{path}/manifest")
@@ -236,10 +238,25 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 def _references(recipes: DataFrame) -> DataFrame:
     """A row for each chunk of each document, with the ids of the document that follow it."""
-    names = F.transform(F.sequence(F.lit(1), F.size("lengths")), lambda i: F.substring("digests", (i - 1) * _DIGEST + 1, _DIGEST))
-    listed = recipes.select("doc_id", "start", "n_tokens", "intact", F.posexplode(F.arrays_zip(names.alias("digest"), F.col("lengths").alias("n"))).alias("i", "x"), "lengths")
-    after = F.col("n_tokens") - F.aggregate(F.slice("lengths", 1, F.col("i") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
-    return listed.select("doc_id", "start", "n_tokens", "intact", "i", F.col("x.digest").alias("digest"), F.col("x.n").alias("n"), after.alias("after"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = b.column("lengths")
+            counts = np.diff(lengths.offsets.to_numpy())
+            flat = lengths.flatten().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), counts)
+            first = np.cumsum(counts) - counts
+            upto = np.cumsum(flat)
+            before = (upto - flat)[first] if len(flat) else first
+            n_tokens = b.column("n_tokens").to_numpy()
+            names = [x[i : i + _DIGEST] for x in b.column("digests").to_pylist() for i in range(0, len(x), _DIGEST)]
+            yield batch(
+                **{c: b.column(c).take(pa.array(row)) for c in ("doc_id", "start", "n_tokens", "intact")}, i=pa.array((np.arange(len(row)) - first[row]).astype(np.int32)),
+                digest=pa.array(names, pa.binary()), n=pa.array(flat), after=pa.array(n_tokens[row] - (upto - before[row])),
+            )
+
+    kept = recipes.select("doc_id", "start", "n_tokens", "intact", "digests", "lengths")
+    return kept.mapInArrow(run, "doc_id long, start long, n_tokens long, intact boolean, i int, digest binary, n long, after long")
 
 
 def document_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
