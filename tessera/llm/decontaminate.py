@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ def phrases(benchmark: DataFrame, window: int) -> Phrases:
             if k == len(rows):
                 rows.append(p)
             owners.add((k, number[name]))
-    patterns = np.zeros((len(rows), window), np.int64)
+    patterns = np.zeros((len(rows), window), np.int32)
     for k, p in enumerate(rows):
         patterns[k, : len(p)] = p
     return Phrases(known, checks, patterns, np.array([len(p) for p in rows], np.int64), np.array(sorted(owners), np.int64).reshape(-1, 2), names)
@@ -98,7 +99,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[st
     benchmark hits nothing.
     """
     sought = phrases(benchmark, window)
-    shared = docs.sparkSession.sparkContext.broadcast(sought)
+    # Plain arrays, which executors can load without this package.
+    shared = docs.sparkSession.sparkContext.broadcast(vars(sought))
     fields = {f.name: f for f in docs.select(*keep).schema.fields}
 
     def occurrences(symbols: np.ndarray, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +121,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[st
         return (np.concatenate(which), np.concatenate(where)) if which else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
+        p = SimpleNamespace(**shared.value)
         lookup = _Lookup(p.words)
         for b in batches:
             n_words, n_hit = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
