@@ -28,7 +28,7 @@ from .lists import differ, linked
 #: Bands, and hashes of a band, for sets of up to SHORT shingles and for larger ones. Of links at 80 % they miss 0.1 % and 0.8 %.
 SHORT, SHORT_BANDS, LONG_BANDS = 128, (14, 4), (16, 6)
 #: Bits of a set's parity, in words of 64.
-PARITY_WORDS = 4
+PARITY_WORDS = 8
 #: Tables of up to this many rows (of a few numbers each) are broadcast, larger ones are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 #: Bytes of lines that are signed or compared at a time; a longer line is taken alone.
@@ -118,7 +118,7 @@ def _chunks(lens: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """A row for each distinct line of some MB of text: h1, h2, n_rows (occurrences), first_doc and first_line (the first of
-    them); and, once a task, n (set size), p0 to p3 (parity) and values (otherwise null). Memory: 16 bytes and some for
+    them); and, once a task, n (set size), p0 to p7 (parity) and values (otherwise null). Memory: 16 bytes and some for
     each distinct line of a task."""
     marks = ("n", *(f"p{i}" for i in range(PARITY_WORDS)))
     columns = {"h1": "long", "h2": "long", "n_rows": "long", "first_doc": "long", "first_line": "int", **dict.fromkeys(marks, "long"), "values": "array<long>"}

@@ -43,7 +43,7 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: C
     entries), all of them of different components are paired. So a list of m copies takes some m comparisons, one of
     unlike items all of them, and no pair of unjoined items is passed over.
     """
-    members = tested = None
+    members = tested = held = None
     turn = 0
     left = _once(entries)
     while True:
@@ -58,20 +58,26 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: C
         if not rows:
             break
         last = turn > 0 and pairs_left <= PAIRS_PER_ENTRY * rows
+        items = placed
+        if turn > 0:
+            # From here on a pair counts in the smallest list only that both were in, so it comes once.
+            held = held if held is not None else cut(placed.groupBy("doc").agg(F.collect_list("value").alias("held")))
+            items = placed.join(held, "doc")
         if last:
-            pivots = placed.select("value", F.col("doc").alias("pivot"), F.col("facts").alias("pivot_facts"), F.col("comp").alias("pivot_comp"))
-            near = placed.join(pivots, "value").where("pivot < doc")
+            pivots = items
         else:
             slot = F.pmod(F.xxhash64("doc"), F.lit(1 << min(widen * turn, 42)))
-            first = placed.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("doc", "facts", "comp")).alias("p"))
-            pivots = first.select("value", F.col("p.doc").alias("pivot"), F.col("p.facts").alias("pivot_facts"), F.col("p.comp").alias("pivot_comp"))
-            near = placed.join(pivots, "value")
+            pivots = items.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("doc", *(c for c in items.columns if c not in ("value", "doc")))).alias("p")).select("value", "p.*")
+        pivots = pivots.select("value", *(F.col(c).alias("pivot" if c == "doc" else f"pivot_{c}") for c in pivots.columns if c != "value"))
+        near = items.join(pivots, "value").where("pivot < doc" if last else "pivot <> doc")
         near = near.where("comp <> pivot_comp").where(may(F.col("facts"), F.col("pivot_facts")))
+        if turn > 0:
+            near = near.where(F.array_min(F.array_intersect("held", "pivot_held")) == F.col("value"))
         # The smaller of two items counts as the pivot, so that a pair is one pair.
         ends = [F.least("pivot", "doc").alias("pivot"), F.greatest("pivot", "doc").alias("doc")]
         sides = [F.when(F.col("pivot") < F.col("doc"), F.col(x)).otherwise(F.col(y)) for x, y in (("pivot_comp", "comp"), ("comp", "pivot_comp"))]
         pairs = near.select(*ends, sides[0].alias("a"), sides[1].alias("b")).distinct()
-        if tested is not None:
+        if turn > 0:
             pairs = pairs.join(tested, ["pivot", "doc"], "left_anti")
         pairs = cut(pairs)
         if not pairs.isEmpty():
@@ -84,7 +90,8 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: C
             members = new
         if last:
             break
-        tested = pairs.select("pivot", "doc") if tested is None else tested.unionByName(pairs.select("pivot", "doc"))
+        # Pairs of the first round; those of later ones can't come again.
+        tested = pairs.select("pivot", "doc") if tested is None else tested
         left = placed.drop("comp").join(pivots.select("value", F.col("pivot").alias("doc")), ["value", "doc"], "left_anti")
         turn += 1
     return members if members is not None else components(entries.select(F.col("doc").alias("a"), F.col("doc").alias("b")))

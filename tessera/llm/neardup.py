@@ -117,7 +117,8 @@ def _compare(pairs: DataFrame, values: DataFrame, similar) -> DataFrame:
     n_pairs = pairs.count()
     size = 8 * F.size("value") if dict(values.dtypes)["value"].startswith("array") else F.octet_length("value")
     ends = pairs.select(F.explode(F.array("pivot", "doc")).alias("doc")).distinct()
-    n_docs, n_bytes = ends.join(values, "doc").agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    # Sizes are made before the join, so that it does not move the values.
+    n_docs, n_bytes = ends.join(values.select("doc", size.alias("size")), "doc").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     blocks = max(1, math.ceil(math.sqrt(n_pairs / PAIRS_PER_BLOCK)), math.ceil(n_docs / DOCS_PER_BLOCK), math.ceil(n_bytes / BYTES_PER_BLOCK))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     dealt = pairs.select(block("pivot").alias("x"), block("doc").alias("y"), "pivot", "doc")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attribution, decontaminate, exactdup, langid, linededup, neardup, packing, pii, store, toxicity
-from .common import documents, held_out
+from .common import cut, documents, held_out, remove_path
 
 _VOCABULARY = "byte_bpe_50k.json"
 
@@ -24,7 +24,10 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.document_checksums(spark, store.new_store(documents(spark, sf_dir), vocabulary_path()))
+    path = store.new_store(documents(spark, sf_dir), vocabulary_path())
+    sums = cut(store.document_checksums(spark, path))
+    remove_path(spark, path)
+    return sums
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,27 @@ def test_store_round_trip(spark, tokenizer):
     assert chunks.count() == chunks.select("digest").distinct().count() < store._references(store.read_recipes(spark, path)).count()
 
 
+def test_recipes_and_chunks_are_dealt_evenly(spark, tmp_path):
+    d = docs_of(spark, [(i, f"text {i}") for i in range(400)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write(d.repartition(4), str(tmp_path / "s"), queries.vocabulary_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(str(tmp_path / "s/mixed")).where("kind = 'recipe'").groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) > 1 and max(r["count"] for r in files) < 300
+
+
+def test_references_of_a_document_of_many_chunks(spark):
+    import random
+
+    rnd = random.Random(2)
+    text = " ".join(str(rnd.randrange(10**6)) for _ in range(200_000))
+    path = store.new_store(docs_of(spark, [(1, text), (2, "a")]), queries.vocabulary_path())
+    got = {r.doc_id: r for r in store.document_checksums(spark, path).collect()}
+    assert got[1].verified and got[2].verified and got[2].start == got[1].n_tokens > 200_000
+
+
 def test_store_on_odd_rows(spark, odd, empty):
     assert store.document_checksums(spark, store.new_store(odd, queries.vocabulary_path())).count() == len(ODD)
     assert store.document_checksums(spark, store.new_store(empty, queries.vocabulary_path())).count() == 0
@@ -205,6 +226,29 @@ def test_lines_equal_brute_force_at_all_lengths(spark):
         assert got == dropped_by_brute_force(rows, percent)
 
 
+def test_bands_miss_few_links_at_the_threshold():
+    """Pairs whose similarity is just 0.8 or more, by length: at least 99 % share a value."""
+    import random
+
+    rnd = random.Random(3)
+    for n in (30, 100, 140, 400):
+        lines = []
+        for _ in range(300):
+            base = [rnd.choice("abcdefghijklmnopqrst    ") for _ in range(n)]
+            other, a = base[:], {"".join(base[k : k + 5]) for k in range(n - 4)}
+            while True:
+                edited = other[:]
+                edited[rnd.randrange(n)] = rnd.choice("xyz#")
+                b = {"".join(edited[k : k + 5]) for k in range(n - 4)}
+                if 100 * len(a & b) < 80 * len(a | b):
+                    break
+                other = edited
+            lines += ["".join(base).encode(), "".join(other).encode()]
+        values = linededup.signed(np.frombuffer(b"".join(lines), np.uint8), np.cumsum([0] + [len(x) for x in lines]), 80)[1]
+        met = sum(bool(set(values[i].tolist()) & set(values[i + 1].tolist())) for i in range(0, len(lines), 2))
+        assert met >= 0.98 * 300, n
+
+
 def test_shingle_sets_equal_those_of_characters():
     from tessera.llm import charsets
 
