@@ -18,7 +18,7 @@ from .bytesets import _MASK, parts, ranges, windows8
 
 END_ID = 0
 #: Segments that a worker's table holds before it is begun anew.
-TABLE_SEGMENTS = 1_000_000
+TABLE_SEGMENTS = 500_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[0x20] = True
@@ -159,7 +159,7 @@ def with_end(ids: np.ndarray, at: np.ndarray, end_id: int = END_ID) -> tuple[np.
     return out, to
 
 
-def encoded(by: Encoder, array, target: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(by: Encoder, array, target: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids with end ids, row offsets) for each slice of a text column."""
     for lo, hi, data, off in parts(array, target):
         ids, at = by.encode(data, off)
