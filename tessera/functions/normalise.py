@@ -29,7 +29,7 @@ def venue_ascii(name: Column) -> Column:
     """The editor's variant: ASCII only, volumes stay."""
     c = F.regexp_replace(F.replace(_strip(F.lower(name)), F.lit("&"), F.lit("and")), r"\([^)]*\)", "")
     c = F.trim(F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9 ]+", " "), r" +", " "))
-    return F.when(c.startswith("the "), F.substring(c, 5, 10_000)).otherwise(c)
+    return F.when(c.startswith("the "), F.substring(c, F.lit(5), F.length(c))).otherwise(c)
 
 
 def title(text: Column) -> Column:

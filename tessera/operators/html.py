@@ -160,7 +160,7 @@ def url_class(url: Column, short: tuple[str, ...], ending: str = ".pdf") -> Colu
 def sections(html: Column) -> Column:
     """(section, title, href) of links, each under the last h2 before it."""
     parts = F.split(html, r"(?i)<h2[^>]*>")
-    named = F.transform(F.slice(parts, 2, 10_000), lambda p: F.struct(F.trim(F.regexp_extract(p, r"(?is)^(.*?)</h2>", 1)).alias("section"), F.regexp_extract_all(p, F.lit(r'(?is)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1)).alias("links")))
+    named = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(F.trim(F.regexp_extract(p, r"(?is)^(.*?)</h2>", 1)).alias("section"), F.regexp_extract_all(p, F.lit(r'(?is)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1)).alias("links")))
     flat = F.flatten(F.transform(named, lambda s: F.transform(s["links"], lambda a: F.struct(s["section"].alias("section"), F.trim(F.regexp_replace(a, r"<[^>]*>", "")).alias("title"), F.regexp_extract(a, r'(?i)href="([^"]*)"', 1).alias("href")))))
     return flat
 

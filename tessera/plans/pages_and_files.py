@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -189,7 +190,7 @@ def src_pdf_head(t):
 
 def _folder(t, name: str) -> str:
     base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base}/{name}-{abs(hash(t.folder)) % 10**8}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")

@@ -25,9 +25,10 @@ def decoded(content: Column) -> Column:
     return F.decode(content, "UTF-8")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Typed CSV with quoted line feeds and doubled quotes."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, line_feeds: bool = True) -> DataFrame:
+    """Typed CSV with doubled quotes. line_feeds: whether values may hold line feeds, for which each file is one task;
+    without them large files are split. Parquet is the better format for large tables."""
+    return spark.read.schema(schema).option("header", True).option("multiLine", line_feeds).option("escape", '"').csv(path)
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False, append: bool = False) -> None:
