@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(*frames: DataFrame | None) -> None:
+    """Removes what cut() stored for these frames. Nothing may read them any more: all that was made of them is cut itself."""
+    for df in frames:
+        if df is None:
+            continue
+        plan = df._jdf.queryExecution().analyzed()
+        while plan.nodeName() == "Project":
+            plan = plan.child()
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            remove_path(df.sparkSession, file.get())
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets the driver forget the plans of ended steps; Spark then removes their shuffle files, which otherwise stay until
+    the driver happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

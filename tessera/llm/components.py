@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut
+from .common import batch, cut, release
 
 #: Edges (two numbers each) of which one task may hold all: some tens of MB.
 ONE_TASK_EDGES = 1_000_000
@@ -65,15 +65,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE
             onward = hook.select(F.col("node").alias("to"), F.col("to").alias("further"))
             if hook.join(onward, "to", "left_semi").isEmpty():
                 break
-            hook = cut(hook.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+            before, hook = hook, cut(hook.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+            release(before)
         rounds.append(hook)
         ends = left
         for end in ("a", "b"):
             ends = ends.join(hook.select(F.col("node").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        left = cut(tidy(ends))
-    out = cut(_in_one_task(left))
+        before, left = left, cut(tidy(ends))
+        release(before)
+    last = out = cut(_in_one_task(left))
+    release(left)
     for earlier in reversed(rounds):
         onward = out.select(F.col("node").alias("to"), F.col("to").alias("further"))
         out = out.unionByName(earlier.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
     out = out.select("node", F.col("to").alias("component"))
-    return cut(out) if rounds else out
+    if rounds:
+        out = cut(out)
+        release(last, *rounds)
+    return out

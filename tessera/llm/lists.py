@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import collect_garbage, cut, release
 from .components import components
 
 
@@ -43,16 +43,17 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: C
     entries), all of them of different components are paired. So a list of m copies takes some m comparisons, one of
     unlike items all of them, and no pair of unjoined items is passed over.
     """
-    members = tested = held = None
+    members = tested = held = placed = None
     turn = 0
     left = _once(entries)
     while True:
-        placed = left.withColumn("comp", F.col("doc"))
+        before, placed = placed, left.withColumn("comp", F.col("doc"))
         if members is not None:
             placed = left.join(members, F.col("doc") == F.col("node"), "left").select("value", "doc", "facts", F.coalesce("component", "doc").alias("comp"))
             still_open = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("value")
             placed = placed.join(still_open, "value", "left_semi")
         placed = cut(placed)
+        release(before)
         per_list = placed.groupBy("value").agg(F.count("*").alias("m"))
         rows, pairs_left = per_list.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
         if not rows:
@@ -86,8 +87,13 @@ def linked(entries: DataFrame, compare: Callable[[DataFrame], DataFrame], may: C
             new = components(found.join(pairs, ["pivot", "doc"]), "a", "b")
             if members is not None:
                 onward = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
+                parts = members, new
                 new = cut(members.join(onward, "component", "left").select("node", F.coalesce("further", "component").alias("component")).unionByName(new))
+                release(*parts)
             members = new
+        if tested is not None:
+            release(pairs)
+        collect_garbage(entries.sparkSession)
         if last:
             break
         # Pairs of the first round; those of later ones can't come again.

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, NON_SPACE, hashes, mix, parts, words
-from .common import batch, cut, unwrap, wrap
+from .common import batch, collect_garbage, cut, release, unwrap, wrap
 from .components import components
 from .lists import differ, linked
 
@@ -30,7 +30,7 @@ from .lists import differ, linked
 PAIRS_PER_BLOCK, DOCS_PER_BLOCK, BYTES_PER_BLOCK = 2000, 2000, 16 << 20
 #: Bits of a set's parity, in words of 64.
 PARITY_WORDS = 4
-#: Ids up to this number are broadcast (8 bytes each), more are joined by a shuffle.
+#: Ids up to this number are broadcast (8 to 40 bytes each), more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -107,40 +107,52 @@ def inverted_lists(reps: DataFrame, similarity: float, k: int) -> DataFrame:
     return mine.where(places > 0).select("doc", "n", F.explode(F.slice("values", F.lit(1), F.greatest(places, F.lit(1)).cast("int"))).alias("x")).select(F.col("x.value").alias("value"), "doc", "n")
 
 
+def _clustered(pairs: DataFrame) -> DataFrame:
+    """The pairs (pivot < doc) with the cluster of each: pairs that hang together by their documents have one cluster."""
+    of = components(pairs, "pivot", "doc")
+    # The larger end of a pair is never the smallest of its cluster, so it is among the nodes.
+    out = cut(pairs.select("pivot", "doc").join(of.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc"))
+    release(of)
+    return out
+
+
 def _compare(pairs: DataFrame, values: DataFrame, similar) -> DataFrame:
-    """The pairs (pivot, doc) for which similar.holds(pivot's value, doc's value).
+    """The pairs (pivot, doc, cluster) for which similar.holds(pivot's value, doc's value).
 
-    values: doc, value. Documents are dealt to blocks by hash, and pairs to pairs of blocks; a document's value is sent
-    once to each pair of blocks that has a pair of it. The number of blocks grows with pairs, documents and the bytes of
-    their values, so what one pair of blocks holds does not.
+    values: doc, value. A cluster is compared at one place, so each of its documents' values is sent there once. In a cluster
+    that is large in pairs, documents or bytes of their values, documents are dealt to blocks by hash and pairs to pairs of
+    blocks, and a value is sent to each pair of blocks that has a pair of it; so what one pair of blocks holds does not grow.
     """
-    n_pairs = pairs.count()
     size = 8 * F.size("value") if dict(values.dtypes)["value"].startswith("array") else F.octet_length("value")
-    ends = pairs.select(F.explode(F.array("pivot", "doc")).alias("doc")).distinct()
+    ends = pairs.select("cluster", F.explode(F.array("pivot", "doc")).alias("doc")).distinct()
     # Sizes are made before the join, so that it does not move the values.
-    n_docs, n_bytes = ends.join(values.select("doc", size.alias("size")), "doc").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    blocks = max(1, math.ceil(math.sqrt(n_pairs / PAIRS_PER_BLOCK)), math.ceil(n_docs / DOCS_PER_BLOCK), math.ceil(n_bytes / BYTES_PER_BLOCK))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    dealt = pairs.select(block("pivot").alias("x"), block("doc").alias("y"), "pivot", "doc")
-    needed = dealt.select("x", "y", F.explode(F.array("pivot", "doc")).alias("doc")).distinct().join(values, "doc")
-    rows = needed.select("x", "y", F.lit(0).alias("is_pair"), F.col("doc").alias("pivot"), F.lit(None).cast("long").alias("doc"), "value")
-    rows = rows.unionByName(dealt.select("x", "y", F.lit(1).alias("is_pair"), "pivot", "doc"), allowMissingColumns=True)
-    rows = rows.repartition("x", "y").sortWithinPartitions("x", "y", "is_pair", "pivot", "doc")
+    held = ends.join(values.select("doc", size.alias("size")), "doc").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("size").alias("bytes"))
+    much = [F.ceil(F.sqrt(F.col("pairs") / PAIRS_PER_BLOCK)), F.ceil(F.col("docs") / DOCS_PER_BLOCK), F.ceil(F.col("bytes") / BYTES_PER_BLOCK)]
+    large = pairs.groupBy("cluster").agg(F.count("*").alias("pairs")).join(held, "cluster").select("cluster", F.greatest(*much).alias("blocks")).where("blocks > 1")
+    block = lambda c: F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1)))
+    place = "cluster", "x", "y"
+    dealt = pairs.join(large, "cluster", "left").select("cluster", block("pivot").alias("x"), block("doc").alias("y"), "pivot", "doc")
+    needed = dealt.select(*place, F.explode(F.array("pivot", "doc")).alias("doc")).distinct()
+    # Few of them are broadcast (their number is counted), so that the other values need not move.
+    needed = (F.broadcast(needed) if 2 * pairs.count() <= BROADCAST_IDS else needed).join(values, "doc")
+    rows = needed.select(*place, F.lit(0).alias("is_pair"), F.col("doc").alias("pivot"), F.lit(None).cast("long").alias("doc"), "value")
+    rows = rows.unionByName(dealt.select(*place, F.lit(1).alias("is_pair"), "pivot", "doc"), allowMissingColumns=True)
+    rows = rows.repartition(*place).sortWithinPartitions(*place, "is_pair", "pivot", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for b in batches:
-            out: list[tuple[int, int]] = []
-            for i, (x, y, is_pair, pivot, doc) in enumerate(zip(*(b.column(c).to_pylist() for c in ("x", "y", "is_pair", "pivot", "doc")))):
-                if now != (x, y):
-                    now, held = (x, y), {}
+            out: list[tuple[int, int, int]] = []
+            for i, (cluster, x, y, is_pair, pivot, doc) in enumerate(zip(*(b.column(c).to_pylist() for c in (*place, "is_pair", "pivot", "doc")))):
+                if now != (cluster, x, y):
+                    now, held = (cluster, x, y), {}
                 if not is_pair:
                     held[pivot] = similar.prepare(b.column("value")[i])
                 elif pivot in held and doc in held and similar.holds(held[pivot], held[doc]):
-                    out.append((pivot, doc))
-            yield batch(pivot=pa.array([x for x, _ in out], pa.int64()), doc=pa.array([x for _, x in out], pa.int64()))
+                    out.append((pivot, doc, cluster))
+            yield batch(**{c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate(("pivot", "doc", "cluster"))})
 
-    return rows.mapInArrow(run, "pivot long, doc long")
+    return rows.mapInArrow(run, "pivot long, doc long, cluster long")
 
 
 class BySketch:
@@ -195,26 +207,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
     # Rows are known by a hash of id and text, as rows of one id can differ.
     key = F.xxhash64("doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", key)
-    sketches = cut(sketch(rows, k, shingle))
-    filled = sketches.where("n > 0 and doc_id is not null")
+    full = cut(sketch(rows, k, shingle))
     copies = ["f1", "f2", "n"]
-    reps = cut(filled.groupBy(*copies).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
+    sketched = cut(full.where("n > 0 and doc_id is not null").groupBy(*copies).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")))
+    # The wide frames go as soon as what is needed of them is stored.
+    sketches = cut(full.select("doc_id", *copies))
+    release(full)
+    filled = sketches.where("n > 0 and doc_id is not null")
     words_of = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_WORDS)]
-    facts = reps.select(F.col("rep").alias("doc"), F.struct("n", *words_of).alias("facts"))
-    entries = cut(inverted_lists(reps, similarity, k).drop("n").join(facts, "doc"))
+    facts = sketched.select(F.col("rep").alias("doc"), F.struct("n", *words_of).alias("facts"))
+    entries = cut(inverted_lists(sketched, similarity, k).drop("n").join(facts, "doc"))
     ids = cut(entries.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").join(entries, "value").select("doc").distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = cut(rows.where("text is not null").select(F.col("key").alias("doc"), F.encode("text", "UTF-8").alias("value")).join(wanted, "doc", "left_semi").dropDuplicates(["doc"]))
-    values = reps.select(F.col("rep").alias("doc"), F.col("sketch").alias("value")).join(ids, "doc", "left_semi")
+    values = cut(sketched.select(F.col("rep").alias("doc"), F.col("sketch").alias("value")).join(wanted, "doc", "left_semi"))
+    reps = cut(sketched.select(*copies, "rep", "least"))
+    release(sketched)
+    collect_garbage(docs.sparkSession)
+    stored: list[DataFrame] = []
 
     def compare(pairs: DataFrame) -> DataFrame:
+        release(*stored)  # of the round before
+        pairs = _clustered(pairs)
         likely = cut(_compare(pairs, values, BySketch(similarity, k)))
-        return _compare(likely, texts, BySet(percent, shingle))
+        stored[:] = pairs, likely
+        return _compare(likely, texts, BySet(percent, shingle)).select("pivot", "doc")
 
     def may(x: Column, y: Column) -> Column:
         return differ(x, y, percent, PARITY_WORDS)
 
     members = linked(entries, compare, may)
+    release(*stored, entries, values, texts, ids)
     # Each set's component goes by its smallest document.
     placed = reps.select(*copies, "rep", "least").join(members, F.col("rep") == F.col("node"), "left").select(*copies, "least", F.coalesce("component", "rep").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("head"))
