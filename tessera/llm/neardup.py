@@ -32,6 +32,8 @@ PAIRS_PER_BLOCK, DOCS_PER_BLOCK, BYTES_PER_BLOCK = 2000, 2000, 16 << 20
 PARITY_WORDS = 4
 #: Ids up to this number are broadcast (8 to 40 bytes each), more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Parts that a cluster's pairs are spread over where large clusters are too many to be broadcast.
+SALTS = 64
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,8 +118,17 @@ def _clustered(pairs: DataFrame) -> DataFrame:
     return out
 
 
-def _compare(pairs: DataFrame, values: DataFrame, similar) -> DataFrame:
-    """The pairs (pivot, doc, cluster) for which similar.holds(pivot's value, doc's value).
+def _placed(pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """The pairs with the blocks of their clusters, which are null if small. A hot cluster's pairs stay where they are, or
+    (more large clusters than may be broadcast) are spread over salts."""
+    if large.count() <= BROADCAST_IDS:
+        return pairs.join(F.broadcast(large), "cluster", "left")
+    spread = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(spread, ["cluster", "salt"], "left").drop("salt")
+
+
+def _compare(pairs: DataFrame, values: DataFrame, similar) -> tuple[DataFrame, DataFrame]:
+    """The pairs (pivot, doc, cluster) for which similar.holds(pivot's value, doc's value), and a stored frame that they read.
 
     values: doc, value. A cluster is compared at one place, so each of its documents' values is sent there once. In a cluster
     that is large in pairs, documents or bytes of their values, documents are dealt to blocks by hash and pairs to pairs of
@@ -129,9 +140,10 @@ def _compare(pairs: DataFrame, values: DataFrame, similar) -> DataFrame:
     held = ends.join(values.select("doc", size.alias("size")), "doc").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("size").alias("bytes"))
     much = [F.ceil(F.sqrt(F.col("pairs") / PAIRS_PER_BLOCK)), F.ceil(F.col("docs") / DOCS_PER_BLOCK), F.ceil(F.col("bytes") / BYTES_PER_BLOCK)]
     large = pairs.groupBy("cluster").agg(F.count("*").alias("pairs")).join(held, "cluster").select("cluster", F.greatest(*much).alias("blocks")).where("blocks > 1")
+    large = cut(large)
     block = lambda c: F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1)))
     place = "cluster", "x", "y"
-    dealt = pairs.join(large, "cluster", "left").select("cluster", block("pivot").alias("x"), block("doc").alias("y"), "pivot", "doc")
+    dealt = _placed(pairs, large).select("cluster", block("pivot").alias("x"), block("doc").alias("y"), "pivot", "doc")
     needed = dealt.select(*place, F.explode(F.array("pivot", "doc")).alias("doc")).distinct()
     # Few of them are broadcast (their number is counted), so that the other values need not move.
     needed = (F.broadcast(needed) if 2 * pairs.count() <= BROADCAST_IDS else needed).join(values, "doc")
@@ -152,7 +164,7 @@ def _compare(pairs: DataFrame, values: DataFrame, similar) -> DataFrame:
                     out.append((pivot, doc, cluster))
             yield batch(**{c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate(("pivot", "doc", "cluster"))})
 
-    return rows.mapInArrow(run, "pivot long, doc long, cluster long")
+    return rows.mapInArrow(run, "pivot long, doc long, cluster long"), large
 
 
 class BySketch:
@@ -229,9 +241,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
     def compare(pairs: DataFrame) -> DataFrame:
         release(*stored)  # of the round before
         pairs = _clustered(pairs)
-        likely = cut(_compare(pairs, values, BySketch(similarity, k)))
-        stored[:] = pairs, likely
-        return _compare(likely, texts, BySet(percent, shingle)).select("pivot", "doc")
+        likely, large = _compare(pairs, values, BySketch(similarity, k))
+        likely = cut(likely)
+        release(large)
+        found, large = _compare(likely, texts, BySet(percent, shingle))
+        stored[:] = pairs, likely, large
+        return found.select("pivot", "doc")
 
     def may(x: Column, y: Column) -> Column:
         return differ(x, y, percent, PARITY_WORDS)

@@ -309,6 +309,24 @@ def test_near_duplicates(spark, odd, empty):
     assert len(by) == len(ODD) and (8, 5, False) in by and (None, None, True) in by and (2, 2, True) in by
 
 
+def test_a_hot_cluster_is_compared_in_blocks(spark, monkeypatch):
+    """One cluster of many blocks, by broadcast and by salts, with the rows of brute force."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        words = [f"w{j}" for j in range(120)]
+        for at in rng.integers(0, 120, rng.integers(0, 4)):
+            words[at] = f"x{rng.integers(500)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"y{i}_{j}" for j in range(40))) for i in range(10)]
+    for name in ("PAIRS_PER_BLOCK", "DOCS_PER_BLOCK"):
+        monkeypatch.setattr(neardup, name, 8)
+    for most in (500_000, 0):
+        monkeypatch.setattr(neardup, "BROADCAST_IDS", most)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows), 85).collect()}
+        assert got == jaccard_components(rows, 85)
+
+
 def test_decontamination(spark, odd, empty):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     item = BENCH[0][1]
