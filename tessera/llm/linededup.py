@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import mix, parts, ranges
 from .charsets import NAME_BITS, sets, similar
-from .common import batch, cut, fresh_path, unwrap, wrap
+from .common import batch, collect_garbage, cut, fresh_path, release, remove_path, unwrap, wrap
 from .lists import differ, linked
 
 #: Bands, and hashes of a band, for sets of up to SHORT shingles and for larger ones. Of links at 80 % they miss 0.1 % and 0.8 %.
@@ -227,7 +227,15 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     ids = cut(listed.select(F.col("doc").alias("h1")).distinct())
     wanted = _few(ids)
     marks = ["n", *(f"p{i}" for i in range(PARITY_WORDS))]
-    facts = table.where("n is not null").join(wanted, "h1", "left_semi").groupBy(F.col("h1").alias("doc")).agg(*(F.min(c).alias(c) for c in marks))
+    facts = cut(table.where("n is not null").join(wanted, "h1", "left_semi").groupBy(F.col("h1").alias("doc")).agg(*(F.min(c).alias(c) for c in marks)))
+    # The values and the marks of all lines go before the lines that met are fetched.
+    wide, path = path, fresh_path(spark, "lines")
+    occurrences = table.select("h1", "h2", "n_rows", "first_doc", "first_line")
+    occurrences.write.option("parquet.enable.dictionary", "false").parquet(path)
+    table = spark.read.schema(occurrences.schema).parquet(path)
+    del names, occurrences
+    collect_garbage(spark)
+    remove_path(spark, wide)
     texts = cut(_lines(docs).join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
     entries = listed.join(facts.select("doc", F.struct(*marks).alias("facts")), "doc")
 
@@ -239,6 +247,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         return differ(x, y, percent, PARITY_WORDS)
 
     members = linked(entries, compare, may, widen=6)
+    release(texts, facts, listed, ids)
     # What stays of each component, and of each line outside of them that occurs more than once.
     heads = members.select(F.col("component").alias("h1"), "component").distinct()
     fuzzy = members.select(F.col("node").alias("h1"), "component").unionByName(heads)
@@ -248,6 +257,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = within.groupBy("component").agg(F.min("first").alias("stays"))
     stay = within.join(kept, "component").select("h1", "h2", "stays")
     stay = cut(stay.unionByName(first.where("component is null and n_rows > 1").select("h1", "h2", F.col("first").alias("stays"))))
+    release(several, often)
+    remove_path(spark, path)
     lines = _lines(docs).where("doc_id is not null").select("doc_id", "line_no", "h1", "h2")
     gone = lines.join(_few(stay), ["h1", "h2"]).where("not (doc_id <=> stays.first_doc and line_no = stays.first_line)")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "h1"))).alias("dropped"))
