@@ -215,6 +215,16 @@ def win_top_k(t):
     return t.customer.select("c_nationkey", "c_custkey", place.alias("place")).where("place <= 5")
 
 
+_GAPS = "SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS balance FROM {customer}"
+
+
+@query(f"WITH g AS ({_GAPS}) SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY balance ASC NULLS LAST, c_custkey) AS place FROM g")
+def sort_nulls_last(t):
+    """The order of each group, rows without a value at its end."""
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.asc_nulls_last("balance"), "c_custkey"))
+    return t.view(_GAPS).select("c_nationkey", "c_custkey", place.alias("place"))
+
+
 @query("SELECT y, n FROM (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1 ORDER BY y DESC LIMIT 10) ORDER BY y")
 def win_tail(t):
     return t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n")).orderBy(F.desc("y")).limit(10).orderBy("y")
