@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, decontaminate, exactdup, langid, linededup, neardup, packing, pii, store, toxicity
+from . import attribution, decontaminate, exactdup, hardneg, langid, linededup, neardup, packing, pii, prefixtrie, store, toxicity
 from .common import cut, documents, held_out, remove_path
 
 _VOCABULARY = "byte_bpe_50k.json"
@@ -83,6 +83,54 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_bit_sliced_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_louds_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+#: crc32 of a decimal: each byte, then eight steps of one bit (marked -1).
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END), 4294967295)"""
+
+OP13_SQL = f"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id),
+k AS (SELECT z.conv_id, z.conv_id - z.conv_id % 100 AS base, h, least(h, coalesce(b.n, 0)) AS taken FROM (SELECT conv_id, {_CRC} % 6 AS h FROM z) x JOIN z USING (conv_id) LEFT JOIN z b ON b.conv_id = z.conv_id - z.conv_id % 100),
+r AS (
+  SELECT k.conv_id, pos AS d, role, text FROM k JOIN o ON o.conv_id = base WHERE pos <= taken
+  UNION ALL SELECT k.conv_id, pos - h + taken AS d, role, text FROM k JOIN o ON o.conv_id = k.conv_id WHERE pos > h),
+s AS (SELECT k.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS path FROM k LEFT JOIN r USING (conv_id) GROUP BY k.conv_id),
+p AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM s),
+nodes AS (SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(path) = depth), '') AS ends FROM p GROUP BY ALL),
+ups AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN ups USING (node)),
+below AS (
+  SELECT a.node, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * CASE WHEN b.depth > 0 THEN length(b.node[b.depth].text) ELSE 0 END) AS saved_tokens
+  FROM nodes a JOIN full_nodes b ON b.node[1:a.depth] = a.node AND b.depth >= a.depth GROUP BY a.node)
+SELECT n.conv_id, n.depth, CASE WHEN n.depth > 0 THEN u.conv_id END AS parent_conv_id, n.n_convs, n.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_nodes n JOIN below USING (node) LEFT JOIN nodes u ON n.depth > 0 AND u.node = n.node[1:n.depth - 1]
+"""
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -114,8 +162,8 @@ FROM d LEFT JOIN n USING (doc_id) JOIN least_of USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op4_fuzzy_line_dedup, op5_fm_index_decontamination, op6_token_attribution, op7_block_naming_exact_dedup, op8_bottom_k_near_dedup, op9_disclosure_pii, op10_toxicity)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op4_fuzzy_line_dedup, op5_fm_index_decontamination, op6_token_attribution, op7_block_naming_exact_dedup, op8_bottom_k_near_dedup, op9_disclosure_pii, op10_toxicity, op12_bit_sliced_hard_negatives, op13_louds_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fm_index_decontamination": OP5_SQL, "op7_block_naming_exact_dedup": OP7_SQL, "op8_bottom_k_near_dedup": OP8_SQL}
+    return {"op5_fm_index_decontamination": OP5_SQL, "op7_block_naming_exact_dedup": OP7_SQL, "op8_bottom_k_near_dedup": OP8_SQL, "op12_bit_sliced_hard_negatives": OP12_SQL, "op13_louds_prefix_trie": OP13_SQL}
