@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, decontaminate, exactdup, hardneg, langid, linededup, neardup, packing, pii, prefixtrie, store, toxicity
+from . import attribution, decontaminate, exactdup, hardneg, langid, linededup, mixing, neardup, packing, pii, prefixtrie, store, toxicity
 from .common import cut, documents, held_out, remove_path
 
 _VOCABULARY = "byte_bpe_50k.json"
@@ -83,6 +83,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    scored = mixing.score(documents(spark, sf_dir), F.coalesce(remainder != 0, F.lit(True)))
+    return scored.select("doc_id", (~F.col("trains")).alias("held_out"), *scored.columns[2:])
+
+
 def op12_bit_sliced_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -162,7 +168,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN least_of USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op4_fuzzy_line_dedup, op5_fm_index_decontamination, op6_token_attribution, op7_block_naming_exact_dedup, op8_bottom_k_near_dedup, op9_disclosure_pii, op10_toxicity, op12_bit_sliced_hard_negatives, op13_louds_prefix_trie)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op4_fuzzy_line_dedup, op5_fm_index_decontamination, op6_token_attribution, op7_block_naming_exact_dedup, op8_bottom_k_near_dedup, op9_disclosure_pii, op10_toxicity, op11_context_mixing, op12_bit_sliced_hard_negatives, op13_louds_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
