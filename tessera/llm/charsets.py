@@ -41,11 +41,11 @@ def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h += code[4:]
     short = np.flatnonzero(size < SHINGLE)
     if len(short):
-        for i, n in zip(first[short].tolist(), size[short].tolist()):
-            own = 0
-            for c in code[i : i + n].tolist():
-                own = (own << 21) | c
-            h[i] = (own * int(_K1) + n) % (1 << 64)
+        # A line of up to four characters is two numbers of 42 bits, mixed one after the other, and its length.
+        at, n = first[short], size[short].astype(np.uint64)
+        c = [np.where(size[short] > i, code[at + i], 0).astype(np.uint64) for i in range(SHINGLE - 1)]
+        low = mix((c[0] << np.uint64(21) | c[1]) * _K1 + n)
+        h[at] = mix((low + (c[2] << np.uint64(21) | c[3])) * _K2 + n)
     h = mix(h)
     counts = np.maximum(size - SHINGLE + 1, 1)
     kept = np.ones(len(h), bool)
