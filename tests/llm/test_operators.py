@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import attribution, decontaminate, exactdup, langid, linededup, neardup, packing, pii, queries, store, toxicity
+from tessera.llm import attribution, charsets, decontaminate, exactdup, langid, linededup, neardup, packing, pii, queries, store, toxicity
 from tessera.llm.common import held_out
 from tessera.llm.components import components
 
@@ -219,6 +219,32 @@ def lines_of_all_lengths():
     return [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(-(-len(lines) // 5))]
 
 
+def test_short_lines_are_equal_only_if_they_are():
+    import itertools
+
+    some = ["".join(x) for n in (1, 2, 3, 4) for x in itertools.product("aA1é", repeat=n)] + ["code", "mode", "cat1", "mat1", "1234", "3234", "Are.", "are."]
+    raw = [x.encode() for x in some]
+    _, h = charsets.shingles(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert len(h) == len(some) == len(set((h >> np.uint64(64 - charsets.NAME_BITS)).tolist()))
+    pairs = [(x, y) for x in some[-8:] for y in some[-8:]]
+    raw = [x.encode() for pair in pairs for x in pair]
+    got = charsets.similar(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), 80)
+    assert got.tolist() == [x == y for x, y in pairs]
+
+
+def test_signatures_that_collide(spark, monkeypatch):
+    real = exactdup._signature
+    texts = ["a" * 5000, "b" * 5000, "a" * 5000, ""]
+    d = docs_of(spark, list(enumerate(texts)))
+    # A first seed that tells nothing apart is given up for the next.
+    monkeypatch.setattr(exactdup, "_signature", lambda block, seed: bytes(16) if seed == 0 else real(block, seed))
+    got = {r.doc_id: r.keep_id for r in exactdup.exact_duplicates(d).collect()}
+    assert got == {0: 2, 1: 1, 2: 2, 3: 3}
+    monkeypatch.setattr(exactdup, "_signature", lambda block, seed: bytes(16))
+    with pytest.raises(ValueError, match="share a signature"):
+        exactdup.exact_duplicates(d)
+
+
 def test_lines_equal_brute_force_at_all_lengths(spark):
     rows = lines_of_all_lengths()
     for percent in (80, 90):
