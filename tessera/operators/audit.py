@@ -48,16 +48,33 @@ def hash_order(seed: int, *keys: str) -> Column:
 
 
 def allocate(strata: DataFrame, n: int, stratum: str = "stratum") -> DataFrame:
-    """stratum, rows, take: proportional shares of n, at least one each; what is over is taken from the largest shares, one
-    by one (of equals from the first by name). A row a stratum, so the window is small."""
-    total = strata.agg(F.sum("rows")).first()[0] or 0
-    shares = {r[stratum]: max(1, round(n * r["rows"] / total)) for r in strata.collect()} if total else {}
-    over = sum(shares.values()) - n
-    while over > 0 and max(shares.values()) > 1:
-        largest = min(shares, key=lambda s: (-shares[s], str(s)))
-        shares[largest] -= 1
-        over -= 1
-    return strata.sparkSession.createDataFrame(list(shares.items()) or [("", 0)], f"{stratum} string, take int").join(strata, stratum)
+    """stratum, rows, take: proportional shares of n, at least one each; what is over is taken from the largest shares, one by one (of equals from the first
+    by name), but never the last of a stratum.
+
+    Taking from the largest again and again levels the shares at a threshold L: all above it end at L, but for the last few by name, which
+    keep L + 1. L follows from the numbers of strata by share, of which there are no more than about sqrt(2 n) different ones, so
+    no list of strata is needed and only that small table is in one place.
+    """
+    # Each is one row, so joining them to all strata repeats nothing.
+    total = strata.agg(F.sum("rows").alias("total"))
+    shared = strata.join(F.broadcast(total)).withColumn("share", F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("rows") / F.col("total")).cast("long"))).drop("total")
+    by_share = shared.groupBy("share").agg(F.count("*").alias("k"))
+    before = Window.orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    on = Window.orderBy("share").rowsBetween(0, Window.unboundedFollowing)
+    # Between two shares the sum of all min(share, L) grows by the number of those above.
+    steps = by_share.select("share", F.coalesce(F.sum(F.col("share") * F.col("k")).over(before), F.lit(0)).alias("below"), F.sum("k").over(on).alias("above"))
+    over = steps.where(F.col("below") + F.col("share") * F.col("above") > n)
+    least = over.agg(F.min_by(F.struct("below", "above"), "share").alias("s"))
+    # The floor of one is kept even where that is more than n.
+    found = least.where("s is not null").select(F.greatest(F.lit(1), F.floor((F.lit(n) - F.col("s.below")) / F.col("s.above")).cast("long")).alias("level"), (F.lit(n) - F.col("s.below")).alias("left"), F.col("s.above").alias("above"))
+    level = found.select("level", F.greatest(F.lit(0), F.col("left") - F.col("level") * F.col("above")).alias("extra"))
+    row = level.first()
+    if row is None:
+        return shared.select(stratum, "rows", F.col("share").cast("int").alias("take"))
+    marked = shared.withColumns({"level": F.lit(row.level), "cut": F.col("share") > row.level})
+    lifted = marked.where("cut").orderBy(F.desc(stratum)).limit(int(row.extra)).select(stratum, F.lit(1).alias("one"))
+    take = F.when(F.col("cut"), F.col("level") + F.coalesce("one", F.lit(0))).otherwise(F.col("share"))
+    return marked.join(lifted, stratum, "left").select(stratum, "rows", take.cast("int").alias("take"))
 
 
 def stratified(df: DataFrame, n: int, stratum: str, key: str, seed: int = 0) -> DataFrame:
@@ -90,31 +107,69 @@ def review_sample(docs: DataFrame, n: int, seed: int = 0, scanned: int = 5, trun
     return picked.unionByName(others.select("doc_id", F.concat(F.lit("fill_"), F.coalesce("source_type", F.lit("unknown"))).alias("stratum")))
 
 
-def metrics(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Precision and recall of detection, accuracy of identification and of fields (a blank correction agrees)."""
-    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
-    audited = ~blank("human_verdict")
+def _blank(c: str) -> Column:
+    return F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+
+
+def _kappa_of_cells(cells: Column, least: int) -> Column:
+    """Cohen's kappa of an array of (a, b, n); null below `least` rows, 1 if both chance and agreement are certain."""
+    n = F.aggregate(cells, F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    same = F.aggregate(F.filter(cells, lambda c: c["a"] == c["b"]), F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    of = lambda side, value: F.aggregate(F.filter(cells, lambda c: c[side] == value), F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    classes = F.array_distinct(F.transform(cells, lambda c: c["a"]))
+    cross = F.aggregate(classes, F.lit(0).cast("long"), lambda s, v: s + of("a", v) * of("b", v))
+    po, pe = same / n, cross / (n * n)
+    return F.when(n >= least, F.when(F.abs(1 - pe) < 1e-9, F.when(same == n, 1.0)).otherwise((po - pe) / (1 - pe)))
+
+
+def grouped_metrics(df: DataFrame, sets: tuple[tuple[str, ...], ...], kappas: dict[str, tuple[str, str]] | None = None, least_filled: int = 5) -> DataFrame:
+    """Metrics for each group of each of several groupings, from one pass over the rows: the columns of all sets, grouping_id (which of
+    them are not part of a row's grouping, so that a null group and a total differ), then as `metrics`.
+
+    kappas: name: (model's column, human's column); kappa of the judged rows that a human filled, null where these are fewer than
+    `least_filled`. A row is expanded to its groupings and, for each kappa that it counts for, to a pair of values; pairs are counted before they are put
+    together, so a group holds no more of them than there are pairs of classes."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    audited = ~_blank("human_verdict")
     llm = audited & (F.col("row_type") == "llm")
-    verdict = lambda v: F.count_if(llm & (F.col("human_verdict") == v))
     judged = llm & F.col("human_verdict").isin("correct", "wrong_identification")
     fields = [c for c in df.columns if c.startswith("human_") and c != "human_verdict"]
-    out = df.groupBy(*by).agg(
-        F.countDistinct("doc_id").alias("n_docs"), F.count_if(llm).alias("n_llm_audited"), verdict("correct").alias("correct"), verdict("wrong_identification").alias("wrong_id"), verdict("hallucinated").alias("hallucinated"),
-        F.count_if(audited & (F.col("row_type") == "fn_blank") & (F.col("human_verdict") == "human_found")).alias("fn_found"), *(F.count_if(judged & blank(c)).alias(f"ok_{c[6:]}") for c in fields),
+    verdict = lambda v: llm & (F.col("human_verdict") == v)
+    flags = {"n_llm_audited": llm, "correct": verdict("correct"), "wrong_id": verdict("wrong_identification"), "hallucinated": verdict("hallucinated"), "fn_found": audited & (F.col("row_type") == "fn_blank") & (F.col("human_verdict") == "human_found")}
+    flags |= {f"ok_{c[6:]}": judged & _blank(c) for c in fields}
+    nothing = F.lit(None).cast("string")
+    part = lambda name, a, b: F.struct(name.alias("kappa"), a.alias("a"), b.alias("b"))
+    pairs = [F.when(judged & ~_blank(h), part(F.lit(k), F.coalesce(F.col(m).cast("string"), F.lit("nan")), F.col(h).cast("string"))) for k, (m, h) in (kappas or {}).items()]
+    listed = F.filter(F.array(part(nothing, nothing, nothing), *pairs), lambda x: x.isNotNull())
+    rows = df.select(*columns, "doc_id", *(F.coalesce(f, F.lit(False)).alias(n) for n, f in flags.items()), F.explode(listed).alias("x")).select(*columns, "doc_id", *flags, "x.*")
+    first = F.col("kappa").isNull()
+    counted = rows.groupingSets([[*s, "kappa", "a", "b"] for s in sets], *columns, "kappa", "a", "b").agg(
+        F.grouping_id().alias("gid"), F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n"), *(F.count_if(f).alias(f) for f in flags)
     )
+    # The three columns of pairs are part of every grouping, so their bits are 0.
+    of_group = [*columns, F.shiftright("gid", 3).alias("grouping_id")]
+    cells = lambda k: F.collect_list(F.when(F.col("kappa") == k, F.struct("a", "b", "n")))
+    out = counted.groupBy(*of_group).agg(*(F.max(F.when(first, F.col(c))).alias(c) for c in ("n_docs", *flags)), *(_kappa_of_cells(cells(k), least_filled).alias(f"{k}_kappa") for k in kappas or {}))
     tp = F.col("correct") + F.col("wrong_id")
     over = lambda a, b: a / F.nullif(b, F.lit(0))
     rates = {"detection_precision": over(tp, tp + F.col("hallucinated")), "detection_recall": over(tp, tp + F.col("fn_found")), "identification_accuracy": over(F.col("correct"), tp)}
     return out.withColumns(rates | {f"{c[6:]}_accuracy": over(F.col(f"ok_{c[6:]}"), tp) for c in fields}).drop(*(f"ok_{c[6:]}" for c in fields))
 
 
-def by_strata(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Metrics of all rows and of each value of each column, labelled column=value."""
-    out = metrics(df).withColumn("stratum", F.lit("OVERALL"))
-    for c in columns:
-        part = metrics(df, (c,)).withColumn("stratum", F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("nan")))).drop(c)
-        out = out.unionByName(part)
-    return out
+def metrics(df: DataFrame, kappas: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Precision and recall of detection, accuracy of identification and of fields (a blank correction agrees), and kappas where they are told."""
+    return grouped_metrics(df, ((),), kappas).drop("grouping_id")
+
+
+def by_strata(df: DataFrame, columns: tuple[str, ...], kappas: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Metrics of all rows (OVERALL) and of each value of each column, labelled column=value (a null value is nan), from one pass."""
+    out = grouped_metrics(df, ((), *((c,) for c in columns)), kappas)
+    label = F.lit("OVERALL")
+    for i, c in enumerate(columns):
+        # The bit of the only column that is grouped by is 0.
+        own = F.col("grouping_id") == (1 << len(columns)) - 1 - (1 << (len(columns) - 1 - i))
+        label = F.when(own, F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("nan")))).otherwise(label)
+    return out.withColumn("stratum", label).drop("grouping_id", *columns)
 
 
 def template(rows: DataFrame, blanks: int = 10) -> DataFrame:

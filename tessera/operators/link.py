@@ -136,16 +136,67 @@ def link(citations: DataFrame, bench: DataFrame, composite: float = 88, title: f
     return everything.withColumns(added).drop("bench_row", "doi_norm", "dois", "key_title", "key_author", "key_composite")
 
 
-def summary(linked: DataFrame) -> DataFrame:
+def summary(linked: DataFrame, *more: Column) -> DataFrame:
+    """Counts of a linkage by state, with further aggregates if given, and the share of joined citations (those of low confidence apart) in per cent."""
     academic = F.coalesce(normalise.flag(F.col("is_academic")), F.lit(False))
     low = F.col("match_method") == "low_confidence"
     out = linked.agg(
         F.count("*").alias("total"), F.count_if(academic).alias("academic"), *(F.count_if(F.col("match_method") == m).alias(m) for m in METHODS), F.count_if(academic & low).alias("low_confidence"),
-        F.count_if(F.col("match_method") == "unmatched").alias("unmatched"), F.count_if("doi_confirmed").alias("doi_confirmed"), F.countDistinct(F.when(F.col("in_benchmark"), F.col("paper_cluster_id"))).alias("papers"),
+        F.count_if(F.col("match_method") == "unmatched").alias("unmatched"), F.count_if("doi_confirmed").alias("doi_confirmed"), F.countDistinct(F.when(F.col("in_benchmark"), F.col("paper_cluster_id"))).alias("papers"), *more,
     )
     return out.withColumn("join_rate", 100 * (F.col(METHODS[0]) + F.col(METHODS[1])) / F.greatest(F.col("academic") - F.col("low_confidence"), F.lit(1)))
 
 
+def ranked(df: DataFrame, section: str, order: list[Column], label: Column, value: Column, most: int | None = None) -> DataFrame:
+    """section, place, label, value of the first `most` rows (each task keeps as many, and only those meet), or of all rows of a small table."""
+    top = df.orderBy(*order).limit(most) if most is not None else df
+    # The few that are left are numbered in one place.
+    place = F.row_number().over(Window.orderBy(*order))
+    return top.select(F.lit(section).alias("section"), place.alias("place"), label.cast("string").alias("label"), value.cast("double").alias("value"))
+
+
+def described(df: DataFrame, section: str, value: str, digits: int = 1) -> DataFrame:
+    """count, mean, std (of a sample), min, quartiles (exact, linear) and max as rows of a report."""
+    v = F.col(value).cast("double")
+    names = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
+    one = df.agg(F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), *(F.percentile(v, q) for q in (0.25, 0.5, 0.75)), F.max(v)).toDF(*names)
+    listed = F.posexplode(F.array(*(F.struct(F.lit(n).alias("label"), F.round(F.col(f"`{n}`").cast("double"), digits).alias("value")) for n in names)))
+    return one.select(listed.alias("at", "s")).select(F.lit(section).alias("section"), (F.col("at") + 1).alias("place"), "s.label", "s.value")
+
+
+def report(linked: DataFrame, most: int = 15) -> DataFrame:
+    """The whole report on a linkage as rows of section, place, label, value.
+
+    counts: of rows by state, papers and unmatched clusters, and the join rate; journals: matched academic rows by the paper's journal;
+    scores: the distribution of their match scores; papers: the most cited matched rows; unmatched: the first unmatched academic rows with a
+    title, by row_id, to look through. Ties go by name or row_id. Nothing but the first `most` rows and the aggregates leave the tasks.
+    """
+    academic = linked.where(F.coalesce(normalise.flag(F.col("is_academic")), F.lit(False)))
+    matched = academic.where("in_benchmark")
+    one = summary(linked, F.countDistinct(F.when(F.col("match_method") == "unmatched", F.col("paper_cluster_id"))).alias("unmatched_clusters"))
+    listed = F.posexplode(F.array(*(F.struct(F.lit(c).alias("label"), F.round(F.col(c).cast("double"), 4).alias("value")) for c in one.columns)))
+    counts = one.select(listed.alias("at", "s")).select(F.lit("counts").alias("section"), (F.col("at") + 1).alias("place"), "s.label", "s.value")
+    by_journal = matched.where("bench_journal is not null").groupBy("bench_journal").agg(F.count("*").alias("n"))
+    journals = ranked(by_journal, "journals", [F.desc("n"), F.asc("bench_journal")], F.col("bench_journal"), F.col("n"))
+    papers = ranked(matched.where("bench_cited_by is not null"), "papers", [F.desc("bench_cited_by"), F.asc("row_id")], F.col("recovered_title"), F.col("bench_cited_by"), most)
+    aside = ranked(academic.where("match_method = 'unmatched' and recovered_title is not null"), "unmatched", [F.asc("row_id")], F.col("recovered_title"), F.col("recovered_year"), most)
+    return counts.unionByName(journals).unionByName(described(matched, "scores", "match_score")).unionByName(papers).unionByName(aside)
+
+
+def bench_report(bench: DataFrame, years: int = 10, most: int = 15) -> DataFrame:
+    """The report on a benchmark as rows of section, place, label, value: total and share of filled abstracts, papers by journal, by year (the last `years` that
+    occur, ascending), and the most cited papers. Rows without a journal or year don't count in those sections; ties go by name or id."""
+    one = bench.agg(F.count("*").cast("double").alias("papers"), F.avg((F.coalesce("abstract", F.lit("")) != "").cast("double")).alias("abstracts"))
+    listed = F.posexplode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(c).alias("value")) for c in one.columns)))
+    whole = one.select(listed.alias("at", "s")).select(F.lit("whole").alias("section"), (F.col("at") + 1).alias("place"), "s.label", "s.value")
+    count_by = lambda c: bench.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
+    journals = ranked(count_by("journal"), "journals", [F.desc("n"), F.asc("journal")], F.col("journal"), F.col("n"))
+    last = count_by("year").orderBy(F.desc("year")).limit(years)
+    by_year = ranked(last, "years", [F.asc("year")], F.col("year"), F.col("n"), years)
+    cited = ranked(bench.where("cited_by_count is not null"), "cited", [F.desc("cited_by_count"), F.asc("openalex_id")], F.col("title"), F.col("cited_by_count"), most)
+    return whole.unionByName(journals).unionByName(by_year).unionByName(cited)
+
+
 def author_seed(bench: DataFrame, seeds: DataFrame) -> DataFrame:
     """author: distinct ids of both tables' author_ids (JSON lists)."""
     ids = lambda d: d.select(F.explode(F.from_json("author_ids", "array<string>")).alias("author"))

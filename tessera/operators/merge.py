@@ -12,7 +12,7 @@ from ..functions.similarity import length_bound, ratio
 def last_author(authors: Column) -> Column:
     """The last name of a JSON list, lower-case. Text that isn't JSON (names joined by semicolons) gives null, so rows
     written that way are matched by their titles alone."""
-    return F.lower(F.trim(F.element_at(F.from_json(authors, "array<string>"), -1)))
+    return F.lower(F.trim(F.try_element_at(F.from_json(authors, "array<string>"), F.lit(-1))))
 
 
 def _title(c: Column) -> Column:
@@ -73,3 +73,8 @@ def summary(merged: DataFrame) -> DataFrame:
         F.count_if(model).alias("llm_rows"), F.count_if(model & F.col("canonical_pattern_id").isNotNull()).alias("llm_rows_matched"),
         F.count_if(~model & F.col("likely_metric_only")).alias("kept_flagged"), F.count_if(~model & ~F.col("likely_metric_only")).alias("kept_unflagged"), F.count("*").alias("total"),
     )
+
+
+def with_document(citations: DataFrame, documents: DataFrame, fields: tuple[str, ...], how: str = "left", key: str = "doc_id") -> DataFrame:
+    """Citations with fields of their document; citations of unknown documents keep nulls, or go if how is inner."""
+    return citations.join(documents.select(key, *fields), key, how)

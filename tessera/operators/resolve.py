@@ -60,3 +60,29 @@ def agreement(df: DataFrame, code: str, llm: str) -> DataFrame:
     both = F.col(code).isNotNull() & F.col(llm).isNotNull()
     out = df.agg(F.count_if(both).alias("both"), F.count_if(both & (F.col(code) == F.col(llm))).alias("agree"))
     return out.withColumn("rate", F.col("agree") / F.nullif("both", F.lit(0)))
+
+
+def overlap(df: DataFrame, signals: tuple[str, ...], near: float = 0) -> DataFrame:
+    """present, close, n: how many rows have which signals, and which pairs of those differ by at most `near`.
+
+    present has a bit for each signal that is not null, the first signal's the lowest; close a bit for each pair (first with second, first with third, ...) of
+    present signals that are near. All intersections follow from these counts: there are few regions, and one aggregation makes them.
+    """
+    bits = sum(F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(signals))
+    pairs = [(a, b) for i, a in enumerate(signals) for b in signals[i + 1 :]]
+    close = sum((F.when(F.abs(F.col(a) - F.col(b)) <= near, 1 << i).otherwise(0) for i, (a, b) in enumerate(pairs)), F.lit(0))
+    return df.groupBy(bits.cast("int").alias("present"), close.cast("int").alias("close")).agg(F.count("*").alias("n"))
+
+
+def overlap_report(regions: DataFrame, signals: tuple[str, ...]) -> DataFrame:
+    """all_present, then <a>_<b> for each pair: of the rows with all signals, how many have that pair close. regions: from `overlap`."""
+    every = F.col("present") == (1 << len(signals)) - 1
+    pairs = [(a, b) for i, a in enumerate(signals) for b in signals[i + 1 :]]
+    n = lambda where: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+    return regions.agg(n(every).alias("all_present"), *(n(every & (F.shiftright("close", i) % 2 == 1)).alias(f"{a}_{b}") for i, (a, b) in enumerate(pairs)))
+
+
+def disagreeing(df: DataFrame, code: str, llm: str, venue: str, most: int = 10) -> DataFrame:
+    """venue, n: the venues with most rows in which both values are there and differ; of equals the first by name. Rows without a venue take no part."""
+    apart = df.where(F.col(venue).isNotNull() & (F.col(code) != F.col(llm)))
+    return apart.groupBy(F.col(venue).alias("venue")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "venue").limit(most)

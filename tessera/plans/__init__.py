@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, citations, document_features, pages_and_files, registry
+from . import analyses, audits, citations, document_features, extraction, pages_and_files, registry
 
 
 def queries():

@@ -51,7 +51,20 @@ def aud_kappa_multi(t):
     return audit.kappa_multi(t.view(JUDGED), "y_code", "y_llm").select("n", F.round("kappa", 9).alias("kappa"))
 
 
-@query()
+_TAKEN = """, d AS (SELECT *, coalesce(source_type, '__unknown__') AS stratum FROM p WHERE field = 'is_academic' AND code_value <> llm_value), z AS (SELECT stratum, count(*) AS rows FROM d GROUP BY 1), t AS (SELECT sum(rows) AS total FROM z),
+  s AS (SELECT stratum, rows, greatest(1, CAST(round_even({n} * rows / total, 0) AS INT)) AS share FROM z, t), u AS (SELECT stratum, unnest(range(2, share + 1)) AS height FROM s), o AS (SELECT sum(share) - {n} AS over FROM s),
+  g AS (SELECT stratum, count(*) AS gone FROM (SELECT stratum, row_number() OVER (ORDER BY height DESC, stratum) AS k FROM u), o WHERE k <= over GROUP BY 1), w AS (SELECT stratum, rows, CAST(share - coalesce(gone, 0) AS INT) AS take FROM s LEFT JOIN g USING (stratum)) """
+
+
+@query(_P + _TAKEN.format(n=25) + "SELECT stratum, rows, take FROM w")
+def aud_allocation(t):
+    """Proportional shares of strata, levelled where the floor of one makes them too many."""
+    strata = _pairs(t).where("field = 'is_academic' and not agree").groupBy(F.coalesce("source_type", F.lit("__unknown__")).alias("stratum")).agg(F.count("*").alias("rows"))
+    return audit.allocate(strata, 25)
+
+
+@query(_P + _TAKEN.format(n=40) + """, q AS (SELECT d.*, take, row_number() OVER (PARTITION BY d.stratum ORDER BY md5('42|' || doc_id), doc_id) AS place FROM d JOIN w USING (stratum))
+  SELECT doc_id, source_type, lang, field, code_value, llm_value, false AS agree FROM q, t WHERE total <= 40 OR place <= take""")
 def aud_sample(t):
     return audit.stratified(_pairs(t).where("field = 'is_academic' and not agree"), 40, "source_type", "doc_id", 42)
 
@@ -89,7 +102,15 @@ def aud_labeled(t):
 _DOCS = "SELECT doc_id, source AS source_type, CASE WHEN n_chars % 11 = 0 THEN 'likely_scanned' ELSE 'native_text' END AS pdf_extraction_method, n_chars % 13 = 0 AS doc_text_truncated, CASE WHEN n_chars % 5 = 0 THEN 'skipped' ELSE 'ok' END AS llm_status FROM {documents}"
 
 
-@query()
+_PICK = "SELECT doc_id FROM {rows} ORDER BY md5('{seed}|' || doc_id), doc_id LIMIT {n}"
+
+
+@query(f"""WITH g AS (SELECT * FROM ({_DOCS.replace('{documents}', 'documents')}) WHERE llm_status = 'ok'), a AS ({_PICK.format(rows="g WHERE pdf_extraction_method = 'likely_scanned'", seed=43, n=5)}),
+  b AS ({_PICK.format(rows="g WHERE doc_text_truncated AND doc_id NOT IN (SELECT doc_id FROM a)", seed=44, n=5)}), ab AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+  c AS (SELECT doc_id, source_type FROM (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY md5('45|' || doc_id), doc_id) AS k FROM g WHERE source_type IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM ab)) WHERE k <= 2),
+  abc AS (SELECT doc_id FROM ab UNION ALL SELECT doc_id FROM c), r AS (SELECT *, row_number() OVER (ORDER BY md5('46|' || doc_id), doc_id) AS k FROM g WHERE doc_id NOT IN (SELECT doc_id FROM abc))
+  SELECT doc_id, 'oversample_scanned' AS stratum FROM a UNION ALL SELECT doc_id, 'oversample_truncated' FROM b UNION ALL SELECT doc_id, 'src_min_' || source_type FROM c
+  UNION ALL SELECT doc_id, 'fill_' || coalesce(source_type, 'unknown') FROM r WHERE k <= 60 - (SELECT count(*) FROM abc)""")
 def val_sample(t):
     return audit.review_sample(t.view(_DOCS), 60, 42)
 
@@ -123,7 +144,34 @@ def val_strata(t):
     return audit.by_strata(t.view(_AUDITED), ("source_type",))
 
 
-@query()
+#: Audited citations with gaps: strata are null at times, and humans fill in what they would have said.
+_FILLED = """SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderstatus END AS source_type, CASE WHEN o_custkey % 3 = 0 THEN 'likely_scanned' ELSE 'native_text' END AS pdf_extraction_method, o_custkey % 5 = 0 AS doc_text_truncated,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'fn_blank' ELSE 'llm' END AS row_type, CASE CAST(o_orderkey % 9 AS INT) WHEN 0 THEN 'human_found' WHEN 1 THEN 'wrong_identification' WHEN 2 THEN 'hallucinated' WHEN 3 THEN '  ' WHEN 4 THEN NULL ELSE 'correct' END AS human_verdict,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS is_canonical, CASE WHEN o_orderkey % 5 < 3 THEN '' WHEN o_orderkey % 10 < 5 THEN 'true' ELSE 'false' END AS human_is_canonical,
+  CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'background' WHEN 1 THEN 'method' WHEN 2 THEN 'data' ELSE 'other' END AS citation_function, CASE WHEN o_orderkey % 3 > 0 THEN NULL WHEN o_orderkey % 11 < 6 THEN 'method' ELSE 'background' END AS human_citation_function FROM {orders}"""
+KAPPAS = {"is_canonical": ("is_canonical", "human_is_canonical"), "citation_function": ("citation_function", "human_citation_function")}
+_STRATA = ("source_type", "pdf_extraction_method", "doc_text_truncated")
+_F = f"WITH r AS ({_FILLED}), a AS (SELECT *, nullif(trim(human_verdict), '') AS v, row_type = 'llm' AND nullif(trim(human_verdict), '') IS NOT NULL AS l, row_type = 'llm' AND coalesce(human_verdict IN ('correct', 'wrong_identification'), false) AS j FROM r), "
+_F += "x AS (SELECT 'OVERALL' AS stratum, * FROM a " + " ".join(f"UNION ALL SELECT '{c}=' || coalesce(CAST({c} AS VARCHAR), 'nan'), * FROM a" for c in _STRATA) + "), "
+_F += """y AS (SELECT stratum, 'is_canonical' AS k, coalesce(CAST(is_canonical AS VARCHAR), 'nan') AS m, human_is_canonical AS h FROM x WHERE j AND trim(human_is_canonical) <> '' UNION ALL SELECT stratum, 'citation_function', citation_function, human_citation_function FROM x WHERE j AND trim(human_citation_function) <> ''),
+  yn AS (SELECT stratum, k, count(*) AS n, avg(CASE WHEN m = h THEN 1.0 ELSE 0.0 END) AS po FROM y GROUP BY ALL), ym AS (SELECT stratum, k, m AS c, count(*) AS n FROM y GROUP BY ALL), yh AS (SELECT stratum, k, h AS c, count(*) AS n FROM y GROUP BY ALL),
+  ye AS (SELECT stratum, k, yn.n, po, (SELECT coalesce(sum(ym.n * yh.n), 0) FROM ym JOIN yh USING (stratum, k, c) WHERE ym.stratum = yn.stratum AND ym.k = yn.k) / (yn.n * yn.n) AS pe FROM yn),
+  kk AS (SELECT stratum, k, CASE WHEN n >= 5 THEN CASE WHEN abs(1 - pe) < 1e-9 THEN CASE WHEN po = 1 THEN 1.0 END ELSE (po - pe) / (1 - pe) END END AS kappa FROM ye) """
+
+
+@query(_F + """SELECT x.stratum, count(DISTINCT doc_id) AS n_docs, count(*) FILTER (l) AS n_llm_audited, count(*) FILTER (l AND v = 'correct') AS correct, count(*) FILTER (l AND v = 'wrong_identification') AS wrong_id, count(*) FILTER (l AND v = 'hallucinated') AS hallucinated,
+  count(*) FILTER (row_type = 'fn_blank' AND v = 'human_found') AS fn_found, count(*) FILTER (j) / count(*) FILTER (j OR (l AND v = 'hallucinated')) AS detection_precision, count(*) FILTER (j) / count(*) FILTER (j OR (row_type = 'fn_blank' AND v = 'human_found')) AS detection_recall,
+  count(*) FILTER (l AND v = 'correct') / count(*) FILTER (j) AS identification_accuracy, count(*) FILTER (j AND coalesce(trim(human_is_canonical), '') = '') / count(*) FILTER (j) AS is_canonical_accuracy, count(*) FILTER (j AND coalesce(trim(human_citation_function), '') = '') / count(*) FILTER (j) AS citation_function_accuracy,
+  round(any_value(p.kappa), 9) AS is_canonical_kappa, round(any_value(q.kappa), 9) AS citation_function_kappa
+  FROM x LEFT JOIN kk p ON p.stratum = x.stratum AND p.k = 'is_canonical' LEFT JOIN kk q ON q.stratum = x.stratum AND q.k = 'citation_function' GROUP BY x.stratum""")
+def val_strata_kappa(t):
+    """All strata, null ones too, and the total in one pass, with kappas of what humans filled in."""
+    out = audit.by_strata(t.view(_FILLED), _STRATA, KAPPAS)
+    return out.withColumns({f"{k}_kappa": F.round(f"{k}_kappa", 9) for k in KAPPAS})
+
+
+@query("""WITH n AS (SELECT greatest(3, 80 // greatest(count(DISTINCT source), 1)) AS share FROM documents), r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('1|' || doc_id), doc_id) AS place FROM documents)
+  SELECT source, doc_id FROM r, n WHERE place <= 80 ORDER BY (place > share), md5('2|' || doc_id), doc_id LIMIT 80""")
 def canon_sample(t):
     return audit.spread_sample(t.documents.select("source", "doc_id"), 80, 1)
 

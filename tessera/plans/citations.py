@@ -237,6 +237,28 @@ def res_agreement_diag(t):
     return resolve.agreement(t.view(YEARS).withColumn("code", F.coalesce("path", "front")), "code", "llm")
 
 
+_NEAR = "abs({a} - {b}) <= 3"
+
+
+@query(f"""WITH y AS ({YEARS}), r AS (SELECT CAST((front IS NOT NULL) AS INT) + 2 * CAST((llm IS NOT NULL) AS INT) + 4 * CAST((meta IS NOT NULL) AS INT) AS present,
+  coalesce(CAST({_NEAR.format(a="front", b="llm")} AS INT), 0) + 2 * coalesce(CAST({_NEAR.format(a="front", b="meta")} AS INT), 0) + 4 * coalesce(CAST({_NEAR.format(a="llm", b="meta")} AS INT), 0) AS close FROM y) SELECT present, close, count(*) AS n FROM r GROUP BY ALL""")
+def res_agreement_regions(t):
+    return resolve.overlap(t.view(YEARS), ("front", "llm", "meta"), 3)
+
+
+@query(f"""WITH y AS ({YEARS}), e AS (SELECT * FROM y WHERE front IS NOT NULL AND llm IS NOT NULL AND meta IS NOT NULL)
+  SELECT count(*) AS all_present, count(*) FILTER ({_NEAR.format(a="front", b="llm")}) AS front_llm, count(*) FILTER ({_NEAR.format(a="front", b="meta")}) AS front_meta, count(*) FILTER ({_NEAR.format(a="llm", b="meta")}) AS llm_meta FROM e""")
+def res_agreement_overlap(t):
+    """Of the rows with all three years, how many have which of them within three years of another."""
+    signals = ("front", "llm", "meta")
+    return resolve.overlap_report(resolve.overlap(t.view(YEARS), signals, 3), signals)
+
+
+@query(_VENUE + f"SELECT recovered_journal AS venue, count(*) AS n FROM c WHERE code <> {_LLM} GROUP BY 1 ORDER BY n DESC, venue LIMIT 10")
+def res_disagreeing_venues(t):
+    return resolve.disagreeing(venue_rows(t).withColumn("judged", normalise.flag(F.col("llm"))), "is_academic_code", "judged", "recovered_journal")
+
+
 #: Citations: titles of documents with small changes, authors as JSON, as a printed list, and joined by semicolons.
 CITES = """
 SELECT doc_id AS row_id, doc_id % 50 AS doc_id, CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN substr(text, 1, 60) WHEN 1 THEN concat('The ', substr(text, 1, 60)) WHEN 2 THEN replace(substr(text, 1, 60), 'th', 't')
@@ -332,10 +354,11 @@ def link_doi_confirm(t):
     return _linked(t).where("in_benchmark").select("row_id", "benchmark_openalex_id", "doi_confirmed")
 
 
-@query(f"WITH c AS ({CITES}) SELECT row_id FROM c")
+@query(f"WITH c AS ({CITES}) SELECT row_id, doc_id, recovered_title, lang, CASE WHEN is_academic = 'false' THEN 'not_academic' WHEN confidence = 'low' THEN 'low_confidence' ELSE 'tried' END AS part, CASE WHEN is_academic = 'false' OR confidence = 'low' THEN false END AS confirmed FROM c")
 def link_union(t):
-    """Every citation is in the result once."""
-    return _linked(t).select("row_id")
+    """Every citation is in the result once, in the part that it belongs to."""
+    tried = F.col("match_method").isin("low_confidence", "not_academic")
+    return _linked(t).select("row_id", "doc_id", "recovered_title", "lang", F.when(tried, F.col("match_method")).otherwise("tried").alias("part"), F.when(tried, F.col("doi_confirmed")).alias("confirmed"))
 
 
 @query()
@@ -358,6 +381,42 @@ def link_summary(t):
     return link.summary(_linked(t))
 
 
+#: Rows as a linkage leaves them: orders as citations, customers' segments as journals.
+LINKED = """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 11 = 0 THEN 'false' ELSE 'true' END AS is_academic, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat(o_orderpriority, ' ', o_orderkey) END AS recovered_title, year(o_orderdate) AS recovered_year,
+  m AS match_method, m IN ('fuzzy_composite', 'fuzzy_title_only') AS in_benchmark, CASE WHEN m IN ('fuzzy_composite', 'fuzzy_title_only') THEN 88 + CAST(o_totalprice AS INT) % 13 END AS match_score, m = 'fuzzy_composite' AND o_orderkey % 3 = 0 AS doi_confirmed,
+  CASE WHEN m IN ('fuzzy_composite', 'fuzzy_title_only') THEN concat('W', o_custkey % 200) WHEN m = 'unmatched' THEN concat('unmatched_', o_custkey % 300) END AS paper_cluster_id,
+  CASE WHEN m IN ('fuzzy_composite', 'fuzzy_title_only') THEN o_orderstatus END AS bench_journal, CASE WHEN m IN ('fuzzy_composite', 'fuzzy_title_only') THEN o_custkey % 777 END AS bench_cited_by
+  FROM (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN 'not_academic' WHEN o_orderkey % 7 = 0 THEN 'low_confidence' WHEN o_orderkey % 5 < 2 THEN 'fuzzy_composite' WHEN o_orderkey % 5 = 2 THEN 'fuzzy_title_only' ELSE 'unmatched' END AS m FROM {orders})"""
+_LK = f"WITH l AS ({LINKED}), a AS (SELECT * FROM l WHERE is_academic = 'true'), m AS (SELECT * FROM a WHERE in_benchmark) "
+_COUNTS = {"total": "count(*)", "academic": "count(*) FILTER (is_academic = 'true')", "fuzzy_composite": "count(*) FILTER (match_method = 'fuzzy_composite')", "fuzzy_title_only": "count(*) FILTER (match_method = 'fuzzy_title_only')", "low_confidence": "count(*) FILTER (is_academic = 'true' AND match_method = 'low_confidence')",
+  "unmatched": "count(*) FILTER (match_method = 'unmatched')", "doi_confirmed": "count(*) FILTER (doi_confirmed)", "papers": "count(DISTINCT paper_cluster_id) FILTER (in_benchmark)", "unmatched_clusters": "count(DISTINCT paper_cluster_id) FILTER (match_method = 'unmatched')",
+  "join_rate": "round(100 * count(*) FILTER (in_benchmark) / greatest(count(*) FILTER (is_academic = 'true') - count(*) FILTER (is_academic = 'true' AND match_method = 'low_confidence'), 1), 4)"}
+_DESCRIBE = {"count": "count(match_score)", "mean": "avg(match_score)", "std": "stddev_samp(match_score)", "min": "min(match_score)", "25%": "quantile_cont(match_score, 0.25)", "50%": "quantile_cont(match_score, 0.5)", "75%": "quantile_cont(match_score, 0.75)", "max": "max(match_score)"}
+_REPORT = " UNION ALL ".join(f"SELECT 'counts' AS section, {i + 1} AS place, '{k}' AS label, CAST({v} AS DOUBLE) AS value FROM l" for i, (k, v) in enumerate(_COUNTS.items()))
+_REPORT += " UNION ALL " + " UNION ALL ".join(f"SELECT 'scores', {i + 1}, '{k}', round(CAST({v} AS DOUBLE), 1) FROM m" for i, (k, v) in enumerate(_DESCRIBE.items()))
+_REPORT += " UNION ALL SELECT 'journals', row_number() OVER (ORDER BY n DESC, bench_journal), bench_journal, n FROM (SELECT bench_journal, count(*) AS n FROM m GROUP BY 1)"
+_REPORT += " UNION ALL SELECT * FROM (SELECT 'papers', row_number() OVER (ORDER BY bench_cited_by DESC, row_id) AS k, recovered_title, bench_cited_by FROM m) WHERE k <= 15"
+_REPORT += " UNION ALL SELECT * FROM (SELECT 'unmatched', row_number() OVER (ORDER BY row_id) AS k, recovered_title, recovered_year FROM a WHERE match_method = 'unmatched' AND recovered_title IS NOT NULL) WHERE k <= 15"
+
+
+@query(_LK + _REPORT)
+def link_report(t):
+    """The whole report on stored links: counts, journals, score distribution, most cited and unmatched rows."""
+    return link.report(t.view(LINKED))
+
+
+_BENCH = """WITH p AS (SELECT openalex_id, title, year, journal, cited_by_count, CASE WHEN year % 3 = 0 THEN '' ELSE title END AS abstract FROM (""" + PAPERS + """)) """
+
+
+@query(_BENCH + """SELECT 'whole' AS section, 1 AS place, 'papers' AS label, CAST(count(*) AS DOUBLE) AS value FROM p UNION ALL SELECT 'whole', 2, 'abstracts', avg(CASE WHEN abstract <> '' THEN 1.0 ELSE 0.0 END) FROM p
+  UNION ALL SELECT 'journals', row_number() OVER (ORDER BY n DESC, journal), journal, n FROM (SELECT journal, count(*) AS n FROM p WHERE journal IS NOT NULL GROUP BY 1)
+  UNION ALL SELECT 'years', row_number() OVER (ORDER BY year), CAST(year AS VARCHAR), n FROM (SELECT year, count(*) AS n FROM p GROUP BY 1 ORDER BY year DESC LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT 'cited', row_number() OVER (ORDER BY cited_by_count DESC, openalex_id) AS k, title, cited_by_count FROM p) WHERE k <= 15""")
+def bench_full_report(t):
+    abstract = F.when(F.col("year") % 3 == 0, "").otherwise(F.col("title"))
+    return link.bench_report(t.view(PAPERS).withColumn("abstract", abstract))
+
+
 _SEED = f"WITH p AS ({PAPERS}), a AS (SELECT openalex_id, year, unnest(list_distinct(CAST(json_extract(author_ids, '$') AS VARCHAR[]))) AS author FROM p) "
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import normalise, text
+from ..operators import flatten, merge, names
 from .registry import query
 
 #: A document with an invented page count and path, as the fixtures have none.
@@ -82,11 +83,6 @@ SOURCE_TYPES = {f"src{i}": f"{('journal', 'report', 'post')[i % 3]}_{i}" for i i
 INSTITUTIONS = {v: f"Institution {v[-1]}" for v in list(SOURCE_TYPES.values())[:10]}
 
 
-def lookup(key, table: dict[str, str], default: str):
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*pairs), lambda k, v: k == key)), F.lit(0)), F.lit(default))
-
-
 def _sql_lookup(key: str, table: dict[str, str], default: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{default}' END"
 
@@ -96,18 +92,18 @@ _TYPE = _sql_lookup("lower(source)", SOURCE_TYPES, "other_practitioner")
 
 @query(f"SELECT doc_id, {_TYPE} AS source_type FROM documents")
 def doc_source_type(t):
-    return t.documents.select("doc_id", lookup(F.lower("source"), SOURCE_TYPES, "other_practitioner").alias("source_type"))
+    return t.documents.select("doc_id", names.lookup(F.lower("source"), SOURCE_TYPES, "other_practitioner").alias("source_type"))
 
 
 @query(f"WITH d AS (SELECT doc_id, {_TYPE} AS source_type FROM documents) SELECT doc_id, {_sql_lookup('source_type', INSTITUTIONS, 'Unknown')} AS institution FROM d")
 def doc_institution(t):
-    return t.documents.select("doc_id", lookup(lookup(F.lower("source"), SOURCE_TYPES, "other_practitioner"), INSTITUTIONS, "Unknown").alias("institution"))
+    return t.documents.select("doc_id", names.lookup(names.lookup(F.lower("source"), SOURCE_TYPES, "other_practitioner"), INSTITUTIONS, "Unknown").alias("institution"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(source, 'src1') THEN 'first' WHEN contains(source, '2') THEN 'second' ELSE 'other' END AS source_type FROM documents")
 def doc_source_type_v0(t):
     """The older cascade: the first rule whose fragment stands in the path."""
-    return t.documents.select("doc_id", F.when(F.contains("source", F.lit("src1")), "first").when(F.contains("source", F.lit("2")), "second").otherwise("other").alias("source_type"))
+    return t.documents.select("doc_id", names.first_fragment(F.col("source"), (("src1", "first"), ("2", "second")), "other").alias("source_type"))
 
 
 @query(_D + r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(path, '(19[89]\d|20[012]\d)', 1), '') AS INT) AS year_path FROM d")
@@ -137,17 +133,11 @@ def doc_fence_strip(t):
     return t.view(_FENCED).select("event_id", F.from_json(text.strip_fence(F.col("raw")), "k int")["k"].alias("k"))
 
 
-@query(r"SELECT doc_id, source, lower(word) AS mention FROM (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+ing\b'))) AS word FROM documents)")
-def doc_llm_extract(t):
-    """The extractor hook with its rule-based default: one row for each distinct mention."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+ing\b)"), F.lit(1)))
-    return t.documents.select("doc_id", "source", F.explode(found).alias("m")).select("doc_id", "source", F.lower("m").alias("mention"))
-
-
 @query("SELECT c.conv_id, c.turn, c.role, d.lang, d.source FROM conversations c JOIN documents d ON c.conv_id = d.doc_id")
 def doc_denorm(t):
     """Citation rows with the fields of their document."""
-    return t.conversations.select("conv_id", "turn", "role").join(t.documents.select("doc_id", "lang", "source"), F.col("conv_id") == F.col("doc_id")).drop("doc_id")
+    cited = t.conversations.select(F.col("conv_id").alias("doc_id"), "turn", "role")
+    return merge.with_document(cited, t.documents, ("lang", "source"), "inner").withColumnRenamed("doc_id", "conv_id")
 
 
 _HEAD = r"regexp_matches(lower(body), '\n\s*references\s*\n')"
@@ -207,15 +197,16 @@ def doc_wpp_hist(t):
 @query(_D + "SELECT doc_id, CASE WHEN pages = 0 THEN -1 ELSE pages END AS pages, CASE WHEN pages = 0 THEN -1 ELSE length(body) END AS chars, CASE WHEN pages = 0 THEN 'no pages' END AS error FROM d")
 def doc_error_row(t):
     """Documents that could not be read keep a row of -1."""
-    bad = F.col("pages") == 0
-    return papers(t).select("doc_id", F.when(bad, -1).otherwise(F.col("pages")).alias("pages"), F.when(bad, -1).otherwise(F.length("body")).alias("chars"), F.when(bad, "no pages").alias("error"))
+    failed = F.when(F.col("pages") == 0, "no pages")
+    counts = {"pages": F.col("pages"), "chars": F.length("body")}
+    return papers(t).select("doc_id", *(c.alias(n) for n, c in text.or_error_row(counts, failed).items()))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<a ')) AS links FROM pages")
 def doc_raw_markers(t):
     """Counts of markers in raw bytes."""
-    raw = F.decode(F.encode("html", "UTF-8"), "ISO-8859-1")
-    return t.pages.select("page_id", F.regexp_count(raw, F.lit("<p>")).alias("paragraphs"), F.regexp_count(raw, F.lit("<a ")).alias("links"))
+    paragraphs, links = names.marker_counts(F.encode("html", "UTF-8"), ("<p>", "<a "))
+    return t.pages.select("page_id", paragraphs.alias("paragraphs"), links.alias("links"))
 
 
 _FILES = "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('%PDF-1.4', html) WHEN page_id % 3 = 1 THEN concat('junk%PDF-', html) ELSE html END AS content FROM {pages}"
@@ -223,14 +214,12 @@ _FILES = "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('%PDF-1.4', html
 
 @query(f"WITH f AS ({_FILES}) SELECT page_id, starts_with(content, '%PDF') AS starts, contains(substr(content, 1, 10), '%PDF') AS near, starts_with(content, '%PDF-') AND strlen(content) >= 5000 AS sound FROM f")
 def doc_is_pdf(t):
-    raw = F.col("content").cast("binary")
-    head = F.decode(F.substring(raw, 1, 10), "ISO-8859-1")
-    return t.view(_FILES).select("page_id", head.startswith("%PDF").alias("starts"), head.contains("%PDF").alias("near"), (head.startswith("%PDF-") & (F.octet_length(raw) >= 5000)).alias("sound"))
+    return t.view(_FILES).select("page_id", *(c.alias(n) for n, c in names.pdf_checks(F.col("content").cast("binary")).items()))
 
 
 @query(_D + "SELECT doc_id FROM d WHERE coalesce(nullif(pages, 0), 999) >= 6")
 def doc_min_pages(t):
-    return papers(t).where(F.coalesce(F.nullif("pages", F.lit(0)), F.lit(999)) >= 6).select("doc_id")
+    return papers(t).where(names.enough_pages(F.nullif("pages", F.lit(0)))).select("doc_id")
 
 
 #: Words of the fixtures' invented language, in place of a domain vocabulary.
@@ -251,16 +240,32 @@ def doc_vocab_verdict(t):
     return t.documents.select("doc_id", verdict.alias("verdict"))
 
 
-@query(r"SELECT page_id FROM pages WHERE NOT (contains(url, 'spam') OR regexp_matches(url, '\?page=[0-9]+') OR regexp_matches(url, '#top$'))")
+@query(r"SELECT page_id FROM pages WHERE NOT (contains(lower(url), 'spam') OR regexp_matches(lower(url), '\?page=[0-9]+') OR regexp_matches(lower(url), '#top$'))")
 def doc_junk_name(t):
-    u = F.col("url")
-    return t.pages.where(~(u.contains("spam") | u.rlike(r"\?page=[0-9]+") | u.rlike("#top$"))).select("page_id")
+    """Addresses as names: fragments, then patterns."""
+    rules = names.JunkRules(fragments=("spam",), patterns={"page": r"\?page=[0-9]+", "top": "#top$"})
+    # The whole address stands for the stem.
+    return t.pages.where(names.junk(F.translate("url", "/.", "__"), rules).isNull()).select("page_id")
+
+
+#: Invented names of files: some of each tier, some of two, and endings, folders and capitals.
+_NAMED = """SELECT p_partkey, CASE CAST(p_partkey % 11 AS INT) WHEN 0 THEN concat('/a/', p_name, '.pdf') WHEN 1 THEN 'b/Cover.PDF' WHEN 2 THEN concat('b/lunch menu ', p_partkey, '.pdf') WHEN 3 THEN concat('3.b-', p_name, '.pdf') WHEN 4 THEN concat(p_name, '_kp-', p_partkey % 90, '.pdf')
+  WHEN 5 THEN concat('c.d/', p_brand, '.minutes.of.may.pdf') WHEN 6 THEN concat('menus/', p_name) WHEN 7 THEN 'x/.pdf' WHEN 8 THEN concat('lunchbox-', p_partkey, '.txt') WHEN 9 THEN NULL ELSE concat('x/', p_type, '/') END AS path FROM {part}"""
+JUNK = names.JunkRules(stems=("cover", "back cover", ".pdf"), fragments=("lunch", "lunch menu", "minutes", "menus", "seating plan"), patterns={"session": r"^\d+\.[a-z][-.]", "product": r"[-_](kp|qr)([-_]\d+)?$"})
+_STEM = r"lower(regexp_replace(regexp_extract(path, '([^/]*)/*$', 1), '(.)\.[^.]*$', '\1'))"
+_FRAGMENT = "regexp_extract(s, '(lunch menu|lunch|minutes|menus|seating plan)', 1)"
+
+
+@query(rf"""WITH p AS ({_NAMED}), s AS (SELECT p_partkey, {_STEM} AS s FROM p) SELECT p_partkey, CASE WHEN s IN ('cover', 'back cover', '.pdf') THEN 'stem' WHEN {_FRAGMENT} <> '' THEN 'fragment' WHEN regexp_matches(s, '^\d+\.[a-z][-.]') OR regexp_matches(s, '[-_](kp|qr)([-_]\d+)?$') THEN 'pattern' END AS tier,
+  CASE WHEN s IN ('cover', 'back cover', '.pdf') THEN s WHEN {_FRAGMENT} <> '' THEN {_FRAGMENT} WHEN regexp_matches(s, '^\d+\.[a-z][-.]') THEN 'session' WHEN regexp_matches(s, '[-_](kp|qr)([-_]\d+)?$') THEN 'product' END AS hit FROM s""")
+def doc_junk_tier(t):
+    """Which tier of the rules judges a name to be no document's, and what it found."""
+    return t.view(_NAMED).select("p_partkey", names.junk(F.col("path"), JUNK).alias("j")).select("p_partkey", "j.tier", "j.hit")
 
 
 @query("SELECT page_id FROM pages WHERE NOT (starts_with(url, 'http://blog') OR starts_with(url, 'https://blog'))")
 def doc_chapter_dup(t):
-    u = F.col("url")
-    return t.pages.where(~(u.startswith("http://blog") | u.startswith("https://blog"))).select("page_id")
+    return t.pages.where(~names.has_prefix(F.col("url"), ("http://blog", "https://blog"))).select("page_id")
 
 
 @query("SELECT doc_id, array_to_string(w[1:40], ' ') AS abstract FROM (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM documents)")
@@ -276,8 +281,8 @@ def doc_abstract(t):
 @query("SELECT o_custkey, arg_max(o_orderpriority, o_totalprice) AS top_concept, list(o_orderpriority ORDER BY o_totalprice DESC) AS all_concepts FROM orders GROUP BY 1")
 def doc_top_concept(t):
     """The names of an array of (score, name), highest score first."""
-    by = t.orders.groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("name"))).alias("c"))
-    ordered = F.transform(F.reverse(F.array_sort("c")), lambda x: x["name"])
+    by = t.orders.groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("display_name"))).alias("c"))
+    ordered = flatten.by_score(F.col("c"))
     return by.select("o_custkey", F.get(ordered, F.lit(0)).alias("top_concept"), ordered.alias("all_concepts"))
 
 

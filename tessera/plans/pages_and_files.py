@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalise
 from ..operators import html
-from ..sources import files
+from ..sources import files, paged, workbook
 from .registry import query
 
 
@@ -241,10 +241,55 @@ def src_yaml_venues(t):
 
 @query("SELECT doc_id, quality, toxic FROM labels")
 def src_excel(t):
-    """An audit sheet as CSV."""
-    path = _folder(t, "sheet")
-    files.write_csv(t.labels.select("doc_id", "quality", "toxic"), path)
-    return files.read_csv(t.spark, path, "doc_id long, quality int, toxic int")
+    """An audit workbook a partition, written and read back."""
+    path = _folder(t, "sheets")
+    workbook.write_sheets(t.labels.select("doc_id", "quality", "toxic").repartition(3, "doc_id"), path, "audit")
+    return workbook.read_sheets(t.spark, path, "doc_id long, quality int, toxic int", "audit")
+
+
+_EVENT = "event_id long, user_id long, event_type string, value double, props string"
+
+
+def _events(folder: str):
+    """A stand-in for a service: the events of a folder, in order of their ids."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    path = f"{folder}/events.parquet"
+    system, path = fs.FileSystem.from_uri(path) if "://" in path else (None, path)
+    return ds.dataset(path, filesystem=system), [f.split()[0] for f in _EVENT.split(", ")]
+
+
+@query("SELECT event_id, user_id, event_type, value, props FROM events")
+def src_rest_cursor(t):
+    """A service that is walked by cursor, a range of keys a task; it refuses every third page once."""
+    folder, size, refused = t.folder, 500, {}
+
+    def fetch(request: dict) -> dict:
+        import pyarrow.dataset as ds
+
+        data, names = _events(folder)
+        after = request["from"] - 1 if request["cursor"] == "*" else int(request["cursor"])
+        if after % 3 == 0 and refused.setdefault(after, 0) == 0:
+            refused[after] = 1
+            raise paged.Again
+        rows = data.to_table(names, filter=(ds.field("event_id") > after) & (ds.field("event_id") < request["below"])).sort_by("event_id").slice(0, size).to_pylist()
+        return {"results": rows, "next_cursor": str(rows[-1]["event_id"]) if len(rows) == size else None}
+
+    low, high = t.events.agg(F.min("event_id"), F.max("event_id")).first()
+    return paged.by_cursor(t.spark, fetch, _EVENT, paged.key_ranges(low, high, 8) if low is not None else [], wait=0.0)
+
+
+@query("SELECT event_id, user_id, event_type, value, props FROM events")
+def src_rest_page(t):
+    """A service with numbered pages, dealt out to four tasks; it doesn't say how many there are."""
+    folder, size = t.folder, 700
+
+    def fetch(request: dict) -> dict:
+        data, names = _events(folder)
+        return {"results": data.to_table(names).sort_by("event_id").slice(request["page"] * size, size).to_pylist()}
+
+    return paged.by_page(t.spark, fetch, _EVENT, 4, wait=0.0)
 
 
 @query("SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INT) AS k, event_type AS name FROM events")
