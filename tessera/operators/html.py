@@ -4,13 +4,16 @@ Arrow batches."""
 from __future__ import annotations
 
 import re
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.normalise import safe_file_name
+
 # The elements that begin a block, and those that hold no article text.
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "li", "br")
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "noscript", "iframe", "form")
@@ -165,11 +168,58 @@ def sections(html: Column) -> Column:
     return flat
 
 
+#: Titles of older issues that are no articles, and the section that holds them in newer ones.
+SKIPPED_TITLES = ("a message from the editor", "message from the editor", "message form the editor", "executive summar", "issue information")
+KEPT_SECTION = "original article"
+
+
+def articles(listed: Column, kept: str = KEPT_SECTION, skipped: tuple[str, ...] = SKIPPED_TITLES) -> Column:
+    """Of (section, title, href) of an issue: those of the kept section; in an issue that names no section at all, those whose title has none of the
+    fragments. An empty or null href doesn't count; case doesn't matter."""
+    linked = F.filter(F.coalesce(listed, F.array()), lambda x: F.coalesce(x["href"], F.lit("")) != "")
+    named = F.exists(linked, lambda x: F.coalesce(x["section"], F.lit("")) != "")
+    inside = lambda x: F.contains(F.lower(F.coalesce(x["section"], F.lit(""))), F.lit(kept))
+    fine = lambda x: ~reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(x["title"], F.lit(""))), F.lit(f)) for f in skipped], F.lit(False))
+    return F.filter(linked, lambda x: F.when(named, inside(x)).otherwise(fine(x)))
+
+
+def issue_links(html: Column) -> Column:
+    """(section, title, href) of an issue's links, also of those before any heading, whose section is empty."""
+    before = F.regexp_extract(html, r"(?is)^(.*?)(?:<h2[\s>]|$)", 1)
+    loose = F.transform(F.regexp_extract_all(before, F.lit(r'(?is)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1)), lambda a: F.struct(F.lit("").alias("section"), F.trim(F.regexp_replace(a, r"<[^>]*>", "")).alias("title"), F.regexp_extract(a, r'(?i)href="([^"]*)"', 1).alias("href")))
+    return F.concat(F.coalesce(loose, F.array()), F.coalesce(sections(html), F.array()))
+
+
+def enough_text(html: Column | str, least: int = 100) -> Column:
+    """Whether a page's extracted text is long enough to be kept; a null page's isn't."""
+    return F.coalesce(F.length(F.trim(text_clean(html))) >= least, F.lit(False))
+
+
 def routed(category: Column, login: Column, url: Column, internal: str) -> Column:
     """Only open articles with an address; where they are read from."""
     good = (category == "Articles") & ~F.coalesce(login, F.lit(False)) & (F.coalesce(url, F.lit("")) != "")
     return F.when(good & url.startswith(internal), "internal").when(good, "external")
 
 
+def open_only(locked: Column) -> Column:
+    """Whether a publication is not locked; one that doesn't say is open."""
+    return ~F.coalesce(locked, F.lit(False))
+
+
+def archived_name(url: Column, longest: int = 80) -> Column:
+    """The name of an archived file: the last part of its path, or, where that is no PDF's, the whole path; always with the ending."""
+    path = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
+    last = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    whole = F.concat(safe_file_name(F.replace(path, F.lit("/"), F.lit("_")), longest), F.lit(".pdf"))
+    name = safe_file_name(F.when(F.lower(last).endswith(".pdf"), last).otherwise(whole), longest)
+    return F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
+
+
+def archive_rows(listing: DataFrame, base: str, header: str = "timestamp") -> DataFrame:
+    """archived, name of each row of a listing (timestamp, original) but its header."""
+    kept = listing.where(~F.col("timestamp").eqNullSafe(header))
+    return kept.withColumns({"archived": archived_url(F.col("timestamp"), F.col("original"), base), "name": archived_name(F.col("original"))})
+
+
 def archived_url(stamp: Column, url: Column, base: str) -> Column:
     return F.concat(F.lit(base), stamp, F.lit("id_/"), url)

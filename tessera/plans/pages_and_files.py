@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import normalise
-from ..operators import html
+from ..operators import html, names
 from ..sources import files, paged, workbook
 from .registry import query
 
@@ -42,6 +39,16 @@ def html_min_chars(t):
     return t.pages.where(F.length("html") >= 2000).select("page_id")
 
 
+#: Pages of plain paragraphs, whose text SQL can take too: some too short once tags are gone, some with much that is dropped.
+_PLAIN = """SELECT o_orderkey, concat('<html><head><title>x</title></head><body><nav>', repeat('menu ', 40), '</nav>', repeat(concat('<p>', o_orderpriority, '</p>'), CAST(o_orderkey % 23 AS INT)), '<script>', repeat('a', 200), '</script></body></html>') AS html, o_orderpriority FROM {orders}"""
+
+
+@query("SELECT o_orderkey FROM orders WHERE CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE (length(o_orderpriority) + 1) * (o_orderkey % 23) - 1 + 2 END >= 100")
+def html_min_text(t):
+    """Pages with at least 100 characters of extracted text: paragraphs and the title, a line each."""
+    return t.view(_PLAIN).where(html.enough_text("html")).select("o_orderkey")
+
+
 @query(f"SELECT page_id, md5('SOURCE: ' || url || chr(10) || 'TITLE: ' || {_SLUG} || chr(10) || chr(10) || html) AS md5 FROM pages")
 def html_header_doc(t):
     doc = html.with_header(F.col("url"), html.slug_of_url(F.col("url")), F.lit(None).cast("string"), F.col("html"))
@@ -93,6 +100,38 @@ def html_section_whitelist(t):
     return listed.where(F.lower("s.section").contains("original article")).select("n_nationkey", "s.title", "s.href")
 
 
+#: Issues with named sections, and (every third) older ones without; some links are no articles.
+_ISSUES = """SELECT o_orderkey, concat(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '<h2>Original Articles</h2>' END, '<a href="/a/', o_orderkey, '"><b>', o_orderpriority, '</b></a><a href="">No address</a>',
+  CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '<h2>News</h2>' END, '<a href="/n/', o_orderkey, '">', CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'A Message from the Editor' WHEN 1 THEN 'Executive Summaries' ELSE 'Letter' END, '</a>') AS html FROM {orders}"""
+
+
+@query("""SELECT o_orderkey, o_orderpriority AS title, '/a/' || o_orderkey AS href FROM orders UNION ALL SELECT o_orderkey, 'Letter', '/n/' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 4 > 1""")
+def html_issue_articles(t):
+    """Articles of issues: those of the kept section, or in older issues those whose title isn't skipped."""
+    listed = t.view(_ISSUES).select("o_orderkey", F.explode(html.articles(html.issue_links(F.col("html")))).alias("a"))
+    return listed.select("o_orderkey", "a.title", "a.href")
+
+
+_HREF = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE CAST(l_partkey % 5 AS INT) WHEN 0 THEN concat('/x/', l_suppkey, ':::y') WHEN 1 THEN concat('/x/', l_suppkey, '%3A%3A%3Ay') WHEN 2 THEN concat('/x/%3a%3a%3a', l_suppkey) WHEN 3 THEN NULL ELSE concat('/x/::', l_suppkey, '%3A%3a:') END AS href FROM {lineitem}"
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 5 < 3 AS malformed FROM lineitem")
+def fn_malformed_href(t):
+    return t.view(_HREF).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", names.malformed(F.col("href")).alias("malformed"))
+
+
+_LISTING = """SELECT CAST(20000101000000 + o_orderkey AS {string}) AS timestamp, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN concat('http://a.org/files/paper_', o_orderkey, '.PDF?x=1') WHEN 1 THEN concat('http://a.org/view/', o_orderkey, '/') WHEN 2 THEN concat('https://a.org/d:', o_orderkey, '.pdf') WHEN 3 THEN 'http://a.org' ELSE concat('http://a.org/b/c/', o_orderkey) END AS original
+  FROM {orders} UNION ALL SELECT 'timestamp', 'original' FROM {orders} WHERE o_orderkey = 1"""
+_PATH = "regexp_replace(regexp_replace(original, '^[A-Za-z]+://[^/?#]*', ''), '[?#].*$', '')"
+
+
+@query(f"""WITH l AS ({_LISTING.replace('{string}', 'VARCHAR')}), p AS (SELECT *, {_PATH} AS path FROM l WHERE timestamp <> 'timestamp'), n AS (SELECT *, string_split(rtrim(path, '/'), '/')[-1] AS last FROM p)
+  SELECT timestamp, original, 'https://archive.org/web/' || timestamp || 'id_/' || original AS archived, CASE WHEN ends_with(lower(last), '.pdf') THEN replace(last, ':', '_') ELSE replace(path, '/', '_') || '.pdf' END AS name FROM n""")
+def wayback_names(t):
+    """Archived files with the names they are kept under; the listing's header is left out."""
+    return html.archive_rows(t.view(_LISTING.replace("{string}", "STRING")), "https://archive.org/web/")
+
+
 @query("SELECT page_id, CASE WHEN contains(lower(url), 'blog') THEN 'skip_short' WHEN NOT ends_with(lower(url), '.html') THEN 'skip_no_pdf' ELSE 'keep' END AS class FROM pages")
 def url_classify(t):
     return t.pages.select("page_id", html.url_class(F.col("url"), ("blog",), ".html").alias("class"))
@@ -106,7 +145,7 @@ def url_canonical(t):
 
 @query("SELECT page_id FROM pages WHERE regexp_matches(lower(url), 'blog|/fr/|spam')")
 def url_topic(t):
-    return t.pages.where(F.lower("url").rlike("blog|/fr/|spam")).select("page_id")
+    return t.pages.where(names.has_topic([F.col("url")], ("blog", "/fr/", "spam"))).select("page_id")
 
 
 _PUBS = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Videos' ELSE 'Articles' END AS category, o_orderkey % 4 = 0 AS login, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'https://us.org/a' ELSE 'https://them.org/b' END AS url FROM {orders}"
@@ -120,7 +159,7 @@ def pub_route(t):
 @query("SELECT event_id FROM events WHERE NOT coalesce(CAST(json_extract(props, '$.k') AS INT) > 50, false)")
 def lock_filter(t):
     locked = F.from_json("props", "k int")["k"] > 50
-    return t.events.where(~F.coalesce(locked, F.lit(False))).select("event_id")
+    return t.events.where(html.open_only(locked)).select("event_id")
 
 
 @query("SELECT page_id, 'https://archive.org/web/2020' || lpad(CAST(page_id AS VARCHAR), 4, '0') || 'id_/' || url AS archived FROM pages WHERE page_id > 0")
@@ -179,8 +218,9 @@ def src_corpus_iter(t):
 
 @query("SELECT doc_id, text FROM documents")
 def src_pdf_text(t):
-    """Text of documents; files without a text layer are read by a hook that yields null."""
-    return t.documents.select("doc_id", files.decoded(F.encode("text", "UTF-8")).alias("text"))
+    """Text of files by their kind, each kind by its reader."""
+    content, kind = F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 2 == 0, "txt").otherwise("PDF")
+    return t.documents.select("doc_id", files.text_of(content, kind, {"pdf": files.decoded}).alias("text"))
 
 
 @query("SELECT doc_id, substr(text, 1, 3000) AS head FROM documents")
@@ -189,8 +229,7 @@ def src_pdf_head(t):
 
 
 def _folder(t, name: str) -> str:
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return files.fresh_path(t.spark, name)
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
@@ -219,9 +258,10 @@ def snk_csv_quoted(t):
 @query("SELECT doc_id, length(text) AS chars FROM documents")
 def src_text_cache(t):
     """A stage kept as Parquet and read instead of the texts."""
-    path = _folder(t, "text-cache")
-    t.documents.select("doc_id", "text").write.mode("overwrite").parquet(path)
-    return t.spark.read.parquet(path).select("doc_id", F.length("text").alias("chars"))
+    path, texts = _folder(t, "text-cache"), t.documents.select("doc_id", "text")
+    files.cached(texts, path)
+    # The second time it is only read.
+    return files.cached(texts, path).select("doc_id", F.length("text").alias("chars"))
 
 
 @query("SELECT * FROM (VALUES ('a', 'x+', 'canonical'), ('b', 'y', 'canonical_metric_ambiguous')) v(pattern_id, regex, bucket)")
@@ -329,7 +369,7 @@ def inc_source_start(t):
 
 @query("SELECT doc_id FROM documents ORDER BY source, doc_id LIMIT 25")
 def inc_limit(t):
-    return t.documents.orderBy("source", "doc_id").limit(25).select("doc_id")
+    return files.first_rows(t.documents, 25, "source", "doc_id").select("doc_id")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 25")

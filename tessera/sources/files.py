@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,28 @@ def corpus(spark: SparkSession, root: str, pattern: str = "*", skip_prefix: str
     return kept.withColumn("doc_id", content_id(F.col("content")))
 
 
+def text_of(content: Column, kind: Column, readers: dict[str, Callable[[Column], Column]] | None = None, plain: tuple[str, ...] = ("txt", "text")) -> Column:
+    """Text of files by their ending: plain ones are decoded, others go to the reader for their kind (a function of the content, such as one that reads the text
+    layer of a PDF); a kind without a reader has null, as a file that can't be read has."""
+    out = F.when(F.lower(kind).isin(*plain), decoded(content))
+    for name, reader in (readers or {}).items():
+        out = out.when(F.lower(kind) == name.lower(), reader(content))
+    return out
+
+
+def cached(df: DataFrame, path: str) -> DataFrame:
+    """The rows stored under a path, which are made if there are none yet: a stage is computed once, whatever reads it. A store that is only half written
+    (it lacks Spark's mark) is made anew."""
+    if not exists(df.sparkSession, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def first_rows(df: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first n rows in an order that names every row; all if n is None or 0, none if there are none."""
+    return df.orderBy(*order).limit(n) if n else df
+
+
 def decoded(content: Column) -> Column:
     """Text of UTF-8 bytes; broken bytes become replacement characters."""
     return F.decode(content, "UTF-8")
@@ -36,6 +61,17 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False, append: bool =
     writer.option("quoteAll", quote_all).csv(path)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the one that driver and executors share (spark.checkpoint.dir). On one machine without that setting, a temporary folder is taken;
+    on a cluster no machine's own folder would do, so it must be set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def rules(text: str) -> dict:
     """A rule file: JSON, or YAML where a parser is installed."""
     try:
