@@ -334,22 +334,59 @@ def link_year_gate(t):
     return t.view(YEARS).select("row_id", link.year_ok(F.col("path"), F.col("llm")).alias("ok"))
 
 
+def _sql_similar(name: str, left: str, right: str, threshold: float, on: str = "true") -> str:
+    """CTEs that end in `name` (x, y, score): pairs of two queries of (id, key), whose keys have an Indel similarity of at least the threshold. Pairs
+    are first held to the lengths and to the pairs of characters that they must share, then scored by rows of bits."""
+    apart = f"floor((length(l.key) + length(r.key)) * {1 - threshold / 100})"
+    grams = "unnest(list_distinct(list_transform(range(1, length(key)), lambda i: substr(key, i, 2)))) AS gram"
+    return f"""{name}_l AS ({left}), {name}_r AS ({right}), {name}_lg AS (SELECT id, {grams} FROM {name}_l), {name}_rg AS (SELECT id, {grams} FROM {name}_r),
+    {name}_n AS (SELECT id, count(*) AS n FROM {name}_lg GROUP BY 1), {name}_s AS (SELECT a.id AS x, b.id AS y, count(*) AS shared FROM {name}_lg a JOIN {name}_rg b USING (gram) GROUP BY ALL),
+    {name}_c AS (SELECT l.id AS x, r.id AS y, length(l.key) AS la, length(r.key) AS lb FROM {name}_l l JOIN {name}_r r ON {on} LEFT JOIN {name}_s s ON s.x = l.id AND s.y = r.id LEFT JOIN {name}_n n ON n.id = l.id
+      WHERE 200 * least(length(l.key), length(r.key)) >= {threshold} * (length(l.key) + length(r.key)) AND coalesce(shared, 0) >= coalesce(n.n, 0) - 2 * {apart}),
+    {name}_m AS (SELECT id, ch, sum(CAST(1 AS HUGEINT) << (i - 1)) AS mask FROM (SELECT id, unnest(string_split(key, '')) AS ch, unnest(range(1, length(key) + 1)) AS i FROM {name}_l) GROUP BY ALL),
+    {name}_k AS (SELECT id, unnest(string_split(key, '')) AS ch, unnest(range(1, length(key) + 1)) AS i FROM {name}_r),
+    {name}_b AS (SELECT x, y, la, lb, (CAST(1 AS HUGEINT) << la) - 1 AS whole, list(coalesce(mask, 0) ORDER BY i) AS ms FROM {name}_c JOIN {name}_k k ON k.id = y LEFT JOIN {name}_m m ON m.id = x AND m.ch = k.ch GROUP BY ALL),
+    {name} AS (SELECT * FROM (SELECT x, y, 200.0 * (la - bit_count(list_reduce(list_concat([whole], ms), lambda v, m: ((v + (v & m)) | (v - (v & m))) & whole))) / (la + lb) AS score FROM {name}_b) WHERE score >= {threshold})"""
+
+
+_SORTED = r"array_to_string(list_sort(list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> '')), ' ')"
+
+
+def _sql_stage(name: str, citations: str, key: str, threshold: float) -> str:
+    """CTEs that end in `name` (row_id, bench_row, match_score): the first of the five most similar papers whose year fits."""
+    side = lambda of, id_: f"SELECT {id_} AS id, {_SORTED.format(c=key)} AS key FROM {of} WHERE {key} <> ''"
+    return _sql_similar(f"{name}_p", side(f"({citations})", "row_id"), side("bk", "bench_row"), threshold) + f""",
+    {name}_o AS (SELECT x AS row_id, y AS bench_row, score, row_number() OVER (PARTITION BY x ORDER BY score DESC, y) AS place FROM {name}_p),
+    {name} AS (SELECT row_id, arg_min(bench_row, place) AS bench_row, arg_min(score, place) AS match_score FROM {name}_o JOIN hi USING (row_id) JOIN bk USING (bench_row) WHERE place <= 5 AND abs(recovered_year - year) <= 2 GROUP BY 1)"""
+
+
+_FOUND = (
+    _KEYED.rstrip() + f", hi AS (SELECT *, t AS key_title, {_COMPOSITE} AS key_composite FROM k WHERE is_academic = 'true' AND confidence IS DISTINCT FROM 'low'), "
+    + f"bp AS (SELECT *, {_sql_title('title')} AS t, lower(json_extract_string(author_lastnames, '$[0]')) AS a FROM ({PAPERS})), bk AS (SELECT *, t AS key_title, {_COMPOSITE} AS key_composite, regexp_replace(lower(doi), '^https?://(dx\\.)?doi\\.org/', '') AS doi_norm FROM bp), "
+    + _sql_stage("sa", "SELECT * FROM hi WHERE a <> '' AND t <> ''", "key_composite", 88) + ", " + _sql_stage("sb", "SELECT * FROM hi", "key_title", 93)
+    + ", f AS (SELECT *, 'fuzzy_composite' AS match_method FROM sa UNION ALL SELECT *, 'fuzzy_title_only' FROM sb WHERE row_id NOT IN (SELECT row_id FROM sa)) "
+)
+_JOINED = _FOUND + f""", fd AS (SELECT doc_id, arg_min(doi_candidates, row_id) AS doi_candidates FROM (SELECT doc_id, row_id, coalesce(doi_candidates, '') AS doi_candidates FROM c) GROUP BY 1), dd AS (SELECT doc_id, {_DOIS} AS dois FROM fd),
+  w AS (SELECT c.row_id, c.is_academic, CASE WHEN is_academic <> 'true' THEN 'not_academic' WHEN confidence = 'low' THEN 'low_confidence' ELSE coalesce(match_method, 'unmatched') END AS match_method, bk.openalex_id, coalesce(doi_norm <> '' AND list_contains(dois, doi_norm), false) AS doi_confirmed
+    FROM c LEFT JOIN f USING (row_id) LEFT JOIN bk USING (bench_row) LEFT JOIN dd ON dd.doc_id = c.doc_id), j AS (SELECT *, match_method IN ('fuzzy_composite', 'fuzzy_title_only') AS in_benchmark FROM w) """
+
+
 def _linked(t):
     return link.link(t.view(CITES), t.view(PAPERS))
 
 
-@query()
+@query(_FOUND + "SELECT *, 'fuzzy_composite' AS match_method FROM sa")
 def link_stage_a(t):
     return link.stage_a(link.citation_keys(link.split(t.view(CITES))[0]), link.benchmark_keys(t.view(PAPERS)))
 
 
-@query()
+@query(_FOUND + "SELECT * FROM f WHERE match_method = 'fuzzy_title_only'")
 def link_stage_b(t):
     keyed, papers = link.citation_keys(link.split(t.view(CITES))[0]), link.benchmark_keys(t.view(PAPERS))
     return link.found(keyed, papers).where("match_method = 'fuzzy_title_only'")
 
 
-@query()
+@query(_JOINED + "SELECT row_id, openalex_id AS benchmark_openalex_id, doi_confirmed FROM j WHERE in_benchmark")
 def link_doi_confirm(t):
     return _linked(t).where("in_benchmark").select("row_id", "benchmark_openalex_id", "doi_confirmed")
 
@@ -361,7 +398,7 @@ def link_union(t):
     return _linked(t).select("row_id", "doc_id", "recovered_title", "lang", F.when(tried, F.col("match_method")).otherwise("tried").alias("part"), F.when(tried, F.col("doi_confirmed")).alias("confirmed"))
 
 
-@query()
+@query(_JOINED + "SELECT match_method, in_benchmark, count(*) AS n FROM j GROUP BY ALL")
 def link_in_benchmark(t):
     return _linked(t).groupBy("match_method", "in_benchmark").agg(F.count("*").alias("n"))
 
@@ -376,7 +413,9 @@ def link_cluster(t):
     return t.view(CITES).select("row_id", link.cluster_id(method, F.lit(None).cast("string"), key).alias("cluster"))
 
 
-@query()
+@query(_JOINED + """SELECT count(*) AS total, count(*) FILTER (is_academic = 'true') AS academic, count(*) FILTER (match_method = 'fuzzy_composite') AS fuzzy_composite, count(*) FILTER (match_method = 'fuzzy_title_only') AS fuzzy_title_only, count(*) FILTER (is_academic = 'true' AND match_method = 'low_confidence') AS low_confidence,
+  count(*) FILTER (match_method = 'unmatched') AS unmatched, count(*) FILTER (doi_confirmed) AS doi_confirmed, count(DISTINCT openalex_id) FILTER (in_benchmark) AS papers,
+  100 * count(*) FILTER (in_benchmark) / greatest(count(*) FILTER (is_academic = 'true') - count(*) FILTER (is_academic = 'true' AND match_method = 'low_confidence'), 1) AS join_rate FROM j""")
 def link_summary(t):
     return link.summary(_linked(t))
 
@@ -447,6 +486,14 @@ _PASS1 = f"""WITH l AS ({CITES}), c AS ({CANONICAL}), m AS (SELECT c.row_id AS c
   WHERE starts_with(c.recovered_authors, '[') AND starts_with(l.recovered_authors, '[') AND abs(l.recovered_year - c.recovered_year) <= 1 GROUP BY 1) """
 
 
+_TITLES = "SELECT row_id AS id, doc_id, lower(trim(coalesce(recovered_title, ''))) AS key FROM {rows} WHERE trim(coalesce(recovered_title, '')) <> ''"
+_PASS2 = _PASS1.rstrip() + ", " + _sql_similar("ts", _TITLES.format(rows="c"), _TITLES.format(rows="l"), 85, "l.doc_id = r.doc_id") + ", "
+_BEST = "SELECT x AS canonical_row, arg_min(y, rank) AS llm_row FROM (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY score DESC, y) AS rank FROM ts) GROUP BY 1"
+_UNION = _PASS2 + f"""b AS ({_BEST}), z AS (SELECT canonical_row, llm_row FROM m UNION ALL SELECT canonical_row, llm_row FROM b WHERE canonical_row NOT IN (SELECT canonical_row FROM m)), last AS (SELECT llm_row, max(canonical_row) AS canonical_row FROM z GROUP BY 1),
+  u AS (SELECT l.row_id, l.doc_id, 'llm' AS citation_source, l.recovered_title, c.canonical_pattern_id, false AS likely_metric_only FROM l LEFT JOIN last ON llm_row = l.row_id LEFT JOIN c ON c.row_id = canonical_row
+    UNION ALL SELECT row_id, doc_id, 'mechanical_canonical', recovered_title, canonical_pattern_id, canonical_pattern_id = 'thing_ratio' FROM c WHERE row_id NOT IN (SELECT canonical_row FROM z)) """
+
+
 def _llm(t):
     return t.view(CITES).select("row_id", "doc_id", "recovered_title", "recovered_authors", "recovered_year")
 
@@ -461,7 +508,7 @@ def merge_pass1(t):
     return merge.pass_by_author(t.view(CANONICAL), _llm(t))
 
 
-@query()
+@query(_PASS2 + f"b AS ({_BEST}) SELECT canonical_row, llm_row FROM b")
 def merge_pass2(t):
     return merge.pass_by_title(t.view(CANONICAL), _llm(t))
 
@@ -484,11 +531,12 @@ def merge_metric_flag(t):
     return merge.promote(c, merge.pass_by_author(c, _llm(t)), t.documents.select("doc_id", "lang"), patterns.ambiguous_ids(RULES)).select("row_id", "likely_metric_only")
 
 
-@query()
+@query(_UNION + "SELECT * FROM u")
 def merge_union(t):
     return _merged(t).select("row_id", "doc_id", "citation_source", "recovered_title", "canonical_pattern_id", "likely_metric_only")
 
 
-@query()
+@query(_UNION + """SELECT count(*) FILTER (citation_source = 'llm') AS llm_rows, count(*) FILTER (citation_source = 'llm' AND canonical_pattern_id IS NOT NULL) AS llm_rows_matched, count(*) FILTER (citation_source <> 'llm' AND likely_metric_only) AS kept_flagged,
+  count(*) FILTER (citation_source <> 'llm' AND NOT likely_metric_only) AS kept_unflagged, count(*) AS total FROM u""")
 def merge_summary(t):
     return merge.summary(_merged(t))
