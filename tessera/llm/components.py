@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, release
+from .common import batch, cut, release, tidied
 
 #: Edges (two numbers each) of which one task may hold all: some tens of MB.
 ONE_TASK_EDGES = 1_000_000
@@ -41,7 +41,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
             node, to = joined(*(np.concatenate(x) for x in zip(*rows)))
             yield batch(node=pa.array(node), to=pa.array(to))
 
-    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, to long")
+    return edges.select("a", "b").coalesce(1).mapInArrow(tidied(run), "node long, to long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK_EDGES) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import ALNUM, LOWER, column, hashes, parts, ranges, words
-from .common import batch, unwrap, with_fields, wrap
+from .common import batch, tidied, unwrap, with_fields, wrap
 from .fmindex import LONGEST, Index
 
 #: Benchmarks above this size don't fit into the memory of a worker next to an index.
@@ -180,7 +180,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[st
             yield batch(**kept, n_words=pa.array(n_words), n_hit=pa.array(n_hit), items=pa.array(items, pa.list_(pa.string())), spans=pa.array(spans, span), clean=pa.array(clean, pa.string()))
 
     schema = with_fields(list(fields.values()), "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>, clean string")
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidied(run), schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import mix, parts, ranges
 from .charsets import NAME_BITS, sets, similar
-from .common import batch, collect_garbage, cut, fresh_path, release, remove_path, unwrap, wrap
+from .common import batch, collect_garbage, cut, fresh_path, release, remove_path, tidied, unwrap, wrap
 from .lists import differ, linked
 
 #: Bands, and hashes of a band, for sets of up to SHORT shingles and for larger ones. Of links at 80 % they miss 0.1 % and 0.8 %.
@@ -160,7 +160,7 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
                     yield batch(**{c: out[c] for c in columns})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in columns.items()))
+    return rows.mapInArrow(tidied(run), ", ".join(f"{c} {kind}" for c, kind in columns.items()))
 
 
 def _meeting(listed: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _meeting(listed: DataFrame) -> DataFrame:
             yield batch(value=pa.array(rows[kept, 0]), doc=pa.array(rows[kept, 1]))
             last, paired = rows[-1:], bool(kept[-1]) or (len(rows) == 1 and paired)
 
-    return listed.repartition("value").sortWithinPartitions("value", "doc").mapInArrow(run, "value long, doc long")
+    return listed.repartition("value").sortWithinPartitions("value", "doc").mapInArrow(tidied(run), "value long, doc long")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
                 good[lo:hi] = similar(np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(lens[lo:hi].ravel())]), percent)
             yield b.select(["pivot", "doc"]).filter(pa.array(good))
 
-    return pairs.select("pivot", "doc", "a_line", "b_line").mapInArrow(run, "pivot long, doc long")
+    return pairs.select("pivot", "doc", "a_line", "b_line").mapInArrow(tidied(run), "pivot long, doc long")
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:

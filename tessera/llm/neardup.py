@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, NON_SPACE, hashes, mix, parts, words
-from .common import batch, collect_garbage, cut, release, unwrap, wrap
+from .common import batch, collect_garbage, cut, release, tidied, unwrap, wrap
 from .components import components
 from .lists import differ, linked
 
@@ -94,7 +94,7 @@ def sketch(docs: DataFrame, k: int = 64, shingle: int = 5) -> DataFrame:
             yield batch(key=b.column("key"), doc_id=b.column("doc_id"), n=pa.array(n, pa.int64()), f1=as_long(f1), f2=as_long(f2), sketch=pa.array(low, pa.list_(pa.int64())), parity=pa.array(odd, pa.list_(pa.int64())))
 
     schema = "key long, doc_id long, n long, f1 long, f2 long, sketch array<long>, parity array<long>"
-    return docs.select("key", "doc_id", "text").mapInArrow(run, schema)
+    return docs.select("key", "doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def inverted_lists(reps: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _compare(pairs: DataFrame, values: DataFrame, similar) -> tuple[DataFrame, D
                     out.append((pivot, doc, cluster))
             yield batch(**{c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate(("pivot", "doc", "cluster"))})
 
-    return rows.mapInArrow(run, "pivot long, doc long, cluster long"), large
+    return rows.mapInArrow(tidied(run), "pivot long, doc long, cluster long"), large
 
 
 class BySketch:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch, binaries
+from .common import batch, binaries, tidied
 from .encode import encoded, encoder
 
 #: Classes by documents per bin: all small counts, then powers of two.
@@ -112,4 +112,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, waste: floa
         if out:
             yield emit(out, chunks)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(tidied(run), SCHEMA)

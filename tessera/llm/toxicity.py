@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import ALNUM, LOWER, column, hashes, parts, words
-from .common import batch, unwrap, with_fields, wrap
+from .common import batch, tidied, unwrap, with_fields, wrap
 
 BITS = 18
 PREFIX = 5
@@ -128,7 +128,7 @@ def train(sampled: DataFrame, prior: float | None = None, sets: Sequence[Sequenc
                 minus=pa.array(minus, pa.list_(pa.list_(pa.int32()))), plus=pa.array(plus, pa.list_(pa.list_(pa.int32()))),
             )
 
-    got = sampled.mapInArrow(extract, "doc_id long, toxic int, features array<int>, minus array<array<int>>, plus array<array<int>>").toArrow().combine_chunks().sort_by("doc_id")
+    got = sampled.mapInArrow(tidied(extract), "doc_id long, toxic int, features array<int>, minus array<array<int>>, plus array<array<int>>").toArrow().combine_chunks().sort_by("doc_id")
     y = got.column("toxic").to_numpy().astype(np.float64)
     share = float(y.mean()) if len(y) else 0.5
     weights = np.zeros(1 << BITS)
@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             yield batch(**kept, score=pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
 
     schema = with_fields(list(fields.values()), "score double")
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidied(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_per_class: int = 10_000, prior: float = 0.3, **options) -> Model:
