@@ -16,6 +16,9 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+# The patterns of venue(), venue_ascii(), title(), doi() and first_author() below, and their order.
+
+
 def venue(name: Column) -> Column:
     """Lower case, & as and, no parentheses, no volume tail, no punctuation, no leading `the`; null if nothing is left.
     The volume rule has no word boundary, so `casino royale` is cut to `casi`."""

