@@ -8,7 +8,7 @@ Layout of a store (Parquet as container):
   mixed/kind=chunk/    digest (16 bytes, BLAKE2b), payload (the ids, little-endian, 2 or 4 bytes each)
   recipes/             doc_id, start (ids of all documents before it), n_tokens, digests (16 bytes each), lengths, root; file order
              and row order are ascending in doc_id
-  manifest/            part, start, n_tokens, root; the row with part -1 is the whole store
+  manifest/            part, n_rows, start, n_tokens, root; the row with part -1 is the whole store
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesets import mix
-from .common import batch, fresh_path, remove_path
+from .common import batch, cut, fresh_path, remove_path
 from .encode import encoded, encoder
 
 WINDOW, SHORTEST, LONGEST = 16, 256, 4096
@@ -35,6 +36,7 @@ _DIGEST = 16
 
 MIXED = "kind string, digest binary, doc_id long, n_tokens long, digests binary, lengths array<int>, payload binary"
 RECIPES = "part int, doc_id long, start long, n_tokens long, digests binary, lengths array<int>, root binary"
+PARTS = "part int, n_rows long, start long, n_tokens long, root binary"
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
@@ -142,9 +144,15 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, width: int = 2) -> No
     rooted = started.select("part", "doc_id", "start", "n_tokens", "digests", "lengths", roots("digests").alias("root"))
     rooted.write.option("compression", "zstd").parquet(f"{path}/recipes")
     remove_path(spark, f"{path}/ordered")
-    parts = _part_roots(spark.read.schema(RECIPES).parquet(f"{path}/recipes"))
-    whole = parts.groupBy().agg(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("start"), F.sum("n_tokens").alias("n_tokens"), roots(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "root"))), lambda x: F.hex(x["root"])), "")).alias("root"))
-    parts.unionByName(whole).write.parquet(f"{path}/manifest")
+    parts = cut(_part_roots(spark.read.schema(RECIPES).parquet(f"{path}/recipes")))
+    _manifest(parts).write.parquet(f"{path}/manifest")
+
+
+def _manifest(parts: DataFrame) -> DataFrame:
+    """The rows of recipe files, and one (part -1) over all of them. There is a row a file, so all of them may meet."""
+    listed = F.array_sort(F.collect_list(F.struct("part", "root")))
+    whole = parts.groupBy().agg(F.lit(-1).alias("part"), F.sum("n_rows").alias("n_rows"), F.lit(0).cast("long").alias("start"), F.sum("n_tokens").alias("n_tokens"), roots(F.array_join(F.transform(listed, lambda x: F.hex(x["root"])), "")).alias("root"))
+    return parts.unionByName(whole)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -158,23 +166,62 @@ def roots(joined: pd.Series) -> pd.Series:
     return joined.map(root)
 
 
+class Tree:
+    """A Merkle root over leaves as they come: equal subtrees are joined at once, so as many digests are held as the number of leaves has bits. The root is that of `merkle`."""
+
+    def __init__(self):
+        self.held: list[tuple[int, bytes]] = []
+        self.rows = 0
+
+    def add(self, leaf: bytes) -> None:
+        height, name = 0, leaf
+        while self.held and self.held[-1][0] == height:
+            name = digest(self.held.pop()[1] + name)
+            height += 1
+        self.held.append((height, name))
+        self.rows += 1
+
+    def root(self) -> bytes:
+        if not self.held:
+            return digest(b"")
+        name = self.held[-1][1]
+        for _, left in reversed(self.held[:-1]):
+            name = digest(left + name)
+        return name
+
+
 def _part_roots(recipes: DataFrame) -> DataFrame:
-    """A row a recipe file: the root over its documents' roots, folded in row order, batch by batch."""
+    """A row a recipe file: its rows, first start, ids, and the Merkle root over its documents in row order; a leaf is of doc_id, start, number of ids and root."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, list] = {}
+        trees: dict[int, list] = {}
         for b in batches:
-            for part, start, n, root in zip(*(b.column(c).to_pylist() for c in ("part", "start", "n_tokens", "root"))):
-                if part not in state:
-                    state[part] = [start, n, root]
-                else:
-                    s = state[part]
-                    s[:] = [s[0], s[1] + n, digest(s[2] + root)]
-        if state:
-            yield batch(part=pa.array(list(state), pa.int32()), **{c: pa.array([s[i] for s in state.values()], t) for i, (c, t) in enumerate((("start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())))})
+            for part, doc_id, start, n, root in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "start", "n_tokens", "root"))):
+                s = trees.setdefault(part, [Tree(), start, 0])
+                s[0].add(digest(f"{doc_id},{start},{n},".encode() + (root or b"")))
+                s[2] += n or 0
+        if trees:
+            columns = zip(*((part, t.rows, start, n, t.root()) for part, (t, start, n) in trees.items()))
+            yield batch(**{c: pa.array(v, t) for (c, t), v in zip((("part", pa.int32()), ("n_rows", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())), columns)})
 
     small = recipes.select("part", "doc_id", "start", "n_tokens", "root")
-    return small.repartition("part").sortWithinPartitions("part", "start").mapInArrow(fold, "part int, start long, n_tokens long, root binary")
+    return small.repartition("part").sortWithinPartitions("part", "start", "doc_id", "n_tokens", "root").mapInArrow(fold, PARTS)
+
+
+def verified_parts(spark: SparkSession, path: str) -> DataFrame:
+    """part, sound for each recipe file: whether its rows are those of the manifest (number, order, starts, roots). No file is sound where the manifest does not agree with
+    itself or where one of its files is gone."""
+    told = spark.read.schema(PARTS).parquet(f"{path}/manifest")
+    own = told.where("part >= 0")
+    fields = ("n_rows", "start", "n_tokens", "root")
+    same = lambda x, y: reduce(lambda p, q: p & q, (F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in fields))
+    again, whole = _manifest(own).where("part = -1").alias("x"), told.where("part = -1").alias("y")
+    agrees = again.join(F.broadcast(whole), F.col("x.part") == F.col("y.part"), "left").select(F.coalesce(same("x", "y"), F.lit(False)).alias("agrees"))
+    found = _part_roots(spark.read.schema(RECIPES).parquet(f"{path}/recipes")).alias("x")
+    met = cut(found.join(F.broadcast(own.alias("y")), F.col("x.part") == F.col("y.part"), "left").select(F.col("x.part").alias("part"), F.coalesce(same("x", "y"), F.lit(False)).alias("sound")))
+    # A row a file; whether all are there and the manifest agrees are two facts about the store.
+    whole_store = bool(agrees.first().agrees) and own.join(F.broadcast(met), "part", "left_anti").isEmpty()
+    return met.withColumn("sound", F.col("sound") & F.lit(whole_store))
 
 
 def _zeros_table() -> list[np.ndarray]:
@@ -260,7 +307,7 @@ def _references(recipes: DataFrame) -> DataFrame:
 
 
 def document_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, verified (root, chunk lengths and sum agree).
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, verified (its root, chunk lengths and sum agree, and its recipe file is that of the manifest).
 
     The crc32 of a document is put together from those of its chunks, so payloads are read once and not shuffled.
     """
@@ -269,7 +316,9 @@ def document_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFr
     def moved(crc: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series(shift_crc(crc.to_numpy(), n.to_numpy()).astype(np.int64))
 
-    refs = _references(read_recipes(spark, path)).join(read_chunks(spark, path, width), "digest", "left")
+    sound = F.broadcast(verified_parts(spark, path))
+    recipes = read_recipes(spark, path).join(sound, "part", "left").withColumn("intact", F.coalesce(F.col("intact") & F.col("sound"), F.lit(False)))
+    refs = _references(recipes).join(read_chunks(spark, path, width), "digest", "left")
     shifted = refs.withColumn("share", moved(F.coalesce("ids_crc32", F.lit(0)), F.col("after") * 4))
     fits = F.coalesce(F.col("n_ids") == F.col("n"), F.lit(False)) & F.col("intact")
     # A repeated row has the same doc_id but a start of its own.
