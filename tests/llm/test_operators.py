@@ -88,6 +88,51 @@ def test_store_round_trip(spark, tokenizer):
     assert chunks.count() == chunks.select("digest").distinct().count() < store._references(store.read_recipes(spark, path)).count()
 
 
+def test_tree_is_the_root_of_all_leaves():
+    for n in range(40):
+        leaves = [bytes([i]) * 16 for i in range(n)]
+        t = store.Tree()
+        for x in leaves:
+            t.add(x)
+        assert t.root() == store.merkle(leaves) and t.rows == n
+
+
+@pytest.mark.parametrize("tampering", ["none", "removed", "repeated", "swapped", "renamed", "part gone", "manifest"])
+def test_tampered_stores_are_found(spark, tmp_path, tampering):
+    path = str(tmp_path / "s")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write(docs_of(spark, [(i, f"some text {i}") for i in range(40)]), path, queries.vocabulary_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    recipes = spark.read.schema(store.RECIPES).parquet(f"{path}/recipes").toPandas()
+    one = recipes[recipes.doc_id == 7].index[0]
+    hit = set(recipes[recipes.part == recipes.part[one]].doc_id)
+    assert recipes.part.nunique() > 1
+    if tampering == "removed":
+        recipes = recipes.drop(one)
+    elif tampering == "repeated":
+        recipes = recipes.loc[[*recipes.index, one]]
+    elif tampering == "swapped":
+        other = recipes[(recipes.part == recipes.part[one]) & (recipes.doc_id != 7)].index[0]
+        recipes.loc[[one, other], ["digests", "root"]] = recipes.loc[[other, one], ["digests", "root"]].to_numpy()
+    elif tampering == "renamed":
+        recipes.loc[one, "doc_id"] = 1000
+    elif tampering == "part gone":
+        recipes, hit = recipes[recipes.part != recipes.part[one]], set(range(40))
+    again = spark.createDataFrame(recipes, store.RECIPES)
+    again.write.mode("overwrite").parquet(f"{path}/recipes")
+    if tampering == "manifest":
+        m = spark.read.schema(store.PARTS).parquet(f"{path}/manifest").toPandas()
+        # No longer the sum that its last row tells.
+        m.loc[m.part == recipes.part[one], "n_rows"] += 1
+        hit = set(range(40))
+        spark.createDataFrame(m, store.PARTS).write.mode("overwrite").parquet(f"{path}/manifest")
+    got = {r.doc_id: r.verified for r in store.document_checksums(spark, path).collect()}
+    found = {i for i, ok in got.items() if not ok}
+    assert found == (set() if tampering == "none" else {i for i in hit if i in got} | ({1000} & set(got)))
+
+
 def test_recipes_and_chunks_are_dealt_evenly(spark, tmp_path):
     d = docs_of(spark, [(i, f"text {i}") for i in range(400)])
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
