@@ -134,11 +134,6 @@ def _sql_metrics(stratum: str, group: str) -> str:
 _A = f"WITH r AS ({_AUDITED}), a AS (SELECT *, nullif(trim(human_verdict), '') AS v, row_type = 'llm' AND nullif(trim(human_verdict), '') IS NOT NULL AS l, row_type = 'llm' AND coalesce(human_verdict IN ('correct', 'wrong_identification'), false) AS j FROM r) "
 
 
-@query(_A + f"SELECT * EXCLUDE (stratum) FROM ({_sql_metrics(chr(39) + 'x' + chr(39), '')})")
-def val_metrics(t):
-    return audit.metrics(t.view(_AUDITED))
-
-
 @query(_A + _sql_metrics("'OVERALL'", "") + " UNION ALL " + _sql_metrics("'source_type=' || source_type", "GROUP BY source_type"))
 def val_strata(t):
     return audit.by_strata(t.view(_AUDITED), ("source_type",))
@@ -159,11 +154,21 @@ _F += """y AS (SELECT stratum, 'is_canonical' AS k, coalesce(CAST(is_canonical A
   kk AS (SELECT stratum, k, CASE WHEN n >= 5 THEN CASE WHEN abs(1 - pe) < 1e-9 THEN CASE WHEN po = 1 THEN 1.0 END ELSE (po - pe) / (1 - pe) END END AS kappa FROM ye) """
 
 
-@query(_F + """SELECT x.stratum, count(DISTINCT doc_id) AS n_docs, count(*) FILTER (l) AS n_llm_audited, count(*) FILTER (l AND v = 'correct') AS correct, count(*) FILTER (l AND v = 'wrong_identification') AS wrong_id, count(*) FILTER (l AND v = 'hallucinated') AS hallucinated,
+_BY_STRATUM = """SELECT x.stratum, count(DISTINCT doc_id) AS n_docs, count(*) FILTER (l) AS n_llm_audited, count(*) FILTER (l AND v = 'correct') AS correct, count(*) FILTER (l AND v = 'wrong_identification') AS wrong_id, count(*) FILTER (l AND v = 'hallucinated') AS hallucinated,
   count(*) FILTER (row_type = 'fn_blank' AND v = 'human_found') AS fn_found, count(*) FILTER (j) / count(*) FILTER (j OR (l AND v = 'hallucinated')) AS detection_precision, count(*) FILTER (j) / count(*) FILTER (j OR (row_type = 'fn_blank' AND v = 'human_found')) AS detection_recall,
   count(*) FILTER (l AND v = 'correct') / count(*) FILTER (j) AS identification_accuracy, count(*) FILTER (j AND coalesce(trim(human_is_canonical), '') = '') / count(*) FILTER (j) AS is_canonical_accuracy, count(*) FILTER (j AND coalesce(trim(human_citation_function), '') = '') / count(*) FILTER (j) AS citation_function_accuracy,
   round(any_value(p.kappa), 9) AS is_canonical_kappa, round(any_value(q.kappa), 9) AS citation_function_kappa
-  FROM x LEFT JOIN kk p ON p.stratum = x.stratum AND p.k = 'is_canonical' LEFT JOIN kk q ON q.stratum = x.stratum AND q.k = 'citation_function' GROUP BY x.stratum""")
+  FROM x LEFT JOIN kk p ON p.stratum = x.stratum AND p.k = 'is_canonical' LEFT JOIN kk q ON q.stratum = x.stratum AND q.k = 'citation_function' GROUP BY x.stratum"""
+
+
+@query(_F + f"SELECT * EXCLUDE (stratum) FROM ({_BY_STRATUM}) WHERE stratum = 'OVERALL'")
+def val_metrics(t):
+    """Metrics of all audited rows, with kappas where humans filled in at least five values."""
+    out = audit.metrics(t.view(_FILLED), KAPPAS)
+    return out.withColumns({f"{k}_kappa": F.round(f"{k}_kappa", 9) for k in KAPPAS})
+
+
+@query(_F + _BY_STRATUM)
 def val_strata_kappa(t):
     """All strata, null ones too, and the total in one pass, with kappas of what humans filled in."""
     out = audit.by_strata(t.view(_FILLED), _STRATA, KAPPAS)

@@ -268,10 +268,10 @@ def doc_chapter_dup(t):
     return t.pages.where(~names.has_prefix(F.col("url"), ("http://blog", "https://blog"))).select("page_id")
 
 
-@query("SELECT doc_id, array_to_string(w[1:40], ' ') AS abstract FROM (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM documents)")
+@query("SELECT doc_id, array_to_string(w, ' ') AS abstract FROM (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM documents)")
 def doc_abstract(t):
     """Texts as inverted indexes (word to places), and back."""
-    w = F.slice(F.filter(F.split(F.translate("text", "\n", " "), " "), lambda x: x != ""), 1, 40)
+    w = F.filter(F.split(F.translate("text", "\n", " "), " "), lambda x: x != "")
     placed = t.documents.select("doc_id", F.posexplode_outer(w).alias("at", "word"))
     index = placed.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id")
     entries = F.filter(F.collect_list(F.struct("word", "places")), lambda e: e["word"].isNotNull())

@@ -121,9 +121,9 @@ def html_doi_links(t):
 _ISSUE = """SELECT n_nationkey, concat('<h2>Original Articles</h2><p><a href="/a/', n_nationkey, '"><b>', n_name, '</b></a></p><h2>News</h2><a href="/n/', n_nationkey, '">News</a>') AS html FROM {nation}"""
 
 
-@query("SELECT n_nationkey, n_name AS title, '/a/' || n_nationkey AS href FROM nation WHERE n_nationkey % 2 = 0")
+@query("SELECT n_nationkey, n_name AS title, '/a/' || n_nationkey AS href FROM nation")
 def html_section_whitelist(t):
-    listed = t.view(_ISSUE).where("n_nationkey % 2 = 0").select("n_nationkey", F.explode(html.sections(F.col("html"))).alias("s"))
+    listed = t.view(_ISSUE).select("n_nationkey", F.explode(html.sections(F.col("html"))).alias("s"))
     return listed.where(F.lower("s.section").contains("original article")).select("n_nationkey", "s.title", "s.href")
 
 
@@ -201,9 +201,9 @@ def fn_slug(t):
     return t.pages.select("page_id", normalise.slug(F.col("url"), "_", 40).alias("slug"))
 
 
-@query(r"SELECT doc_id, substr(regexp_replace(trim(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 80)), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9_\s-]', '', 'g'), concat(' ', chr(10))), '[\s_-]+', '-', 'g'), 1, 120) AS slug FROM documents")
+@query(r"SELECT doc_id, substr(regexp_replace(trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9_\s-]', '', 'g'), concat(' ', chr(10))), '[\s_-]+', '-', 'g'), 1, 120) AS slug FROM documents")
 def fn_ascii_slug(t):
-    return t.documents.select("doc_id", normalise.ascii_slug(F.substring("text", 1, 80)).alias("slug"))
+    return t.documents.select("doc_id", normalise.ascii_slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT page_id, substr(md5(url), 1, 6) AS uid, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
