@@ -73,6 +73,18 @@ def doc_strategy(t):
     return papers(t).select("doc_id", text.strategy(*by).alias("strategy"), text.reference_char(*by).alias("ref_char"))
 
 
+_FULL = text.FULL_TEXT_LIMIT
+
+
+@query(_D + f"""SELECT doc_id, CASE WHEN length(body) <= {_FULL} THEN 'full' WHEN NOT is_text AND {_START} IS NOT NULL THEN 'refs@' || {_START} ELSE 'first+last' END AS strategy, CASE WHEN length(body) > {_FULL} AND NOT is_text AND {_START} IS NOT NULL THEN {_START} ELSE -1 END AS ref_char,
+  md5(CASE WHEN length(body) <= {_FULL} THEN body WHEN NOT is_text AND {_START} IS NOT NULL THEN substr(body, 1, 6000) || chr(10) || chr(10) || '[...body truncated...]' || chr(10) || chr(10) || substr(body, {_START} + 1)
+  ELSE substr(body, 1, 8000) || chr(10) || chr(10) || '[...middle truncated...]' || chr(10) || chr(10) || right(body, 4000) END) AS sent_md5 FROM d""")
+def doc_sent_text(t):
+    """What is sent of each document by the production limits."""
+    by = (F.col("body"), ~F.col("is_text"))
+    return papers(t).select("doc_id", text.strategy(*by).alias("strategy"), text.reference_char(*by).alias("ref_char"), F.md5(text.truncated(*by).cast("binary")).alias("sent_md5"))
+
+
 @query("SELECT doc_id, round_even(least(length(text), 2500) / greatest(n_chars, 1), 4) AS ratio FROM documents")
 def doc_char_ratio(t):
     return t.documents.select("doc_id", text.char_ratio(F.least(F.length("text"), F.lit(2500)), F.col("n_chars")).alias("ratio"))
