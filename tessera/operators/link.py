@@ -164,7 +164,7 @@ def described(df: DataFrame, section: str, value: str, digits: int = 1) -> DataF
     return one.select(listed.alias("at", "s")).select(F.lit(section).alias("section"), (F.col("at") + 1).alias("place"), "s.label", "s.value")
 
 
-def report(linked: DataFrame, most: int = 15) -> DataFrame:
+def report(linked: DataFrame, most: int = 15, digits: int = 1) -> DataFrame:
     """The whole report on a linkage as rows of section, place, label, value.
 
     counts: of rows by state, papers and unmatched clusters, and the join rate; journals: matched academic rows by the paper's journal;
@@ -180,7 +180,7 @@ def report(linked: DataFrame, most: int = 15) -> DataFrame:
     journals = ranked(by_journal, "journals", [F.desc("n"), F.asc("bench_journal")], F.col("bench_journal"), F.col("n"))
     papers = ranked(matched.where("bench_cited_by is not null"), "papers", [F.desc("bench_cited_by"), F.asc("row_id")], F.col("recovered_title"), F.col("bench_cited_by"), most)
     aside = ranked(academic.where("match_method = 'unmatched' and recovered_title is not null"), "unmatched", [F.asc("row_id")], F.col("recovered_title"), F.col("recovered_year"), most)
-    return counts.unionByName(journals).unionByName(described(matched, "scores", "match_score")).unionByName(papers).unionByName(aside)
+    return counts.unionByName(journals).unionByName(described(matched, "scores", "match_score", digits)).unionByName(papers).unionByName(aside)
 
 
 def bench_report(bench: DataFrame, years: int = 10, most: int = 15) -> DataFrame:

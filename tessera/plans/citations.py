@@ -422,7 +422,7 @@ def link_summary(t):
 
 #: Rows as a linkage leaves them: orders as citations, customers' segments as journals.
 LINKED = """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 11 = 0 THEN 'false' ELSE 'true' END AS is_academic, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat(o_orderpriority, ' ', o_orderkey) END AS recovered_title, year(o_orderdate) AS recovered_year,
-  m AS match_method, m IN ('fuzzy_composite', 'fuzzy_title_only') AS in_benchmark, CASE WHEN m IN ('fuzzy_composite', 'fuzzy_title_only') THEN 88 + CAST(o_totalprice AS INT) % 13 END AS match_score, m = 'fuzzy_composite' AND o_orderkey % 3 = 0 AS doi_confirmed,
+  m AS match_method, m IN ('fuzzy_composite', 'fuzzy_title_only') AS in_benchmark, CASE WHEN m IN ('fuzzy_composite', 'fuzzy_title_only') THEN 88 + CAST(floor(o_totalprice) AS INT) % 13 END AS match_score, m = 'fuzzy_composite' AND o_orderkey % 3 = 0 AS doi_confirmed,
   CASE WHEN m IN ('fuzzy_composite', 'fuzzy_title_only') THEN concat('W', o_custkey % 200) WHEN m = 'unmatched' THEN concat('unmatched_', o_custkey % 300) END AS paper_cluster_id,
   CASE WHEN m IN ('fuzzy_composite', 'fuzzy_title_only') THEN o_orderstatus END AS bench_journal, CASE WHEN m IN ('fuzzy_composite', 'fuzzy_title_only') THEN o_custkey % 777 END AS bench_cited_by
   FROM (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN 'not_academic' WHEN o_orderkey % 7 = 0 THEN 'low_confidence' WHEN o_orderkey % 5 < 2 THEN 'fuzzy_composite' WHEN o_orderkey % 5 = 2 THEN 'fuzzy_title_only' ELSE 'unmatched' END AS m FROM {orders})"""
@@ -432,7 +432,7 @@ _COUNTS = {"total": "count(*)", "academic": "count(*) FILTER (is_academic = 'tru
   "join_rate": "round(100 * count(*) FILTER (in_benchmark) / greatest(count(*) FILTER (is_academic = 'true') - count(*) FILTER (is_academic = 'true' AND match_method = 'low_confidence'), 1), 4)"}
 _DESCRIBE = {"count": "count(match_score)", "mean": "avg(match_score)", "std": "stddev_samp(match_score)", "min": "min(match_score)", "25%": "quantile_cont(match_score, 0.25)", "50%": "quantile_cont(match_score, 0.5)", "75%": "quantile_cont(match_score, 0.75)", "max": "max(match_score)"}
 _REPORT = " UNION ALL ".join(f"SELECT 'counts' AS section, {i + 1} AS place, '{k}' AS label, CAST({v} AS DOUBLE) AS value FROM l" for i, (k, v) in enumerate(_COUNTS.items()))
-_REPORT += " UNION ALL " + " UNION ALL ".join(f"SELECT 'scores', {i + 1}, '{k}', round(CAST({v} AS DOUBLE), 1) FROM m" for i, (k, v) in enumerate(_DESCRIBE.items()))
+_REPORT += " UNION ALL " + " UNION ALL ".join(f"SELECT 'scores', {i + 1}, '{k}', round(CAST({v} AS DOUBLE), 6) FROM m" for i, (k, v) in enumerate(_DESCRIBE.items()))
 _REPORT += " UNION ALL SELECT 'journals', row_number() OVER (ORDER BY n DESC, bench_journal), bench_journal, n FROM (SELECT bench_journal, count(*) AS n FROM m GROUP BY 1)"
 _REPORT += " UNION ALL SELECT * FROM (SELECT 'papers', row_number() OVER (ORDER BY bench_cited_by DESC, row_id) AS k, recovered_title, bench_cited_by FROM m) WHERE k <= 15"
 _REPORT += " UNION ALL SELECT * FROM (SELECT 'unmatched', row_number() OVER (ORDER BY row_id) AS k, recovered_title, recovered_year FROM a WHERE match_method = 'unmatched' AND recovered_title IS NOT NULL) WHERE k <= 15"
@@ -441,7 +441,7 @@ _REPORT += " UNION ALL SELECT * FROM (SELECT 'unmatched', row_number() OVER (ORD
 @query(_LK + _REPORT)
 def link_report(t):
     """The whole report on stored links: counts, journals, score distribution, most cited and unmatched rows."""
-    return link.report(t.view(LINKED))
+    return link.report(t.view(LINKED), digits=6)
 
 
 _BENCH = """WITH p AS (SELECT openalex_id, title, year, journal, cited_by_count, CASE WHEN year % 3 = 0 THEN '' ELSE title END AS abstract FROM (""" + PAPERS + """)) """
