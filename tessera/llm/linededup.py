@@ -224,6 +224,9 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     if some_unclear:
         listed = listed.join(unclear.select(F.col("h1").alias("doc")), "doc", "left_anti")
     listed = cut(_meeting(listed))
+    # The shuffles of all names and of all values go before those of the marks come.
+    del names
+    collect_garbage(spark)
     ids = cut(listed.select(F.col("doc").alias("h1")).distinct())
     wanted = _few(ids)
     marks = ["n", *(f"p{i}" for i in range(PARITY_WORDS))]
@@ -233,7 +236,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     occurrences = table.select("h1", "h2", "n_rows", "first_doc", "first_line")
     occurrences.write.option("parquet.enable.dictionary", "false").parquet(path)
     table = spark.read.schema(occurrences.schema).parquet(path)
-    del names, occurrences
+    del occurrences
     collect_garbage(spark)
     remove_path(spark, wide)
     texts = cut(_lines(docs).join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line")))
