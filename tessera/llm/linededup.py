@@ -280,7 +280,11 @@ def report(docs: DataFrame, percent: int = 80) -> DataFrame:
 def remove(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without their dropped lines, with their own columns. Documents that lose all their lines go; those that had
     none stay."""
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("dropped", F.struct(i.alias("line_no"), F.xxhash64(x).alias("h1"))))
+    # Lines are known by place and hash as texts, so that the dropped ones are taken away by a set, in linear time.
+    lines = F.split("text", "\n", -1)
+    names = F.transform(lines, lambda x, i: F.concat_ws(":", i.cast("string"), F.xxhash64(x).cast("string")))
+    gone = F.transform("dropped", lambda d: F.concat_ws(":", d["line_no"].cast("string"), d["h1"].cast("string")))
+    left = F.transform(F.array_except(names, gone), lambda k: F.get(lines, F.substring_index(k, ":", 1).cast("int")))
     joined = wrap(docs).join(duplicate_lines(docs, percent), "doc_id", "left")
     cleaned = joined.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     return unwrap(cleaned.where(F.col("dropped").isNull() | F.col("text").rlike(r"\S")), F.col("text"))
