@@ -264,6 +264,20 @@ def lines_of_all_lengths():
     return [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(-(-len(lines) // 5))]
 
 
+def test_remove_takes_away_what_is_reported(spark):
+    texts = ["keep this line\nrepeated line here\n\nlast", "repeated line here\nown line of two\nrepeated line here", "repeated line here", "", None, "\n".join(["many of the same"] * 3000 + [f"line {i} of its own kind {i * 7919}" for i in range(3000)])]
+    d = docs_of(spark, list(enumerate(texts)))
+    dropped = {r.doc_id: set(r.dropped_lines) for r in linededup.report(d).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        left = "\n".join(x for k, x in enumerate(lines) if k not in dropped[i])
+        if not dropped[i] or left.strip():
+            want[i] = left if dropped[i] else t
+    got = {r.doc_id: r.text for r in linededup.remove(d).collect()}
+    assert got == want and 2 not in got and len(dropped[5]) >= 2999
+
+
 def test_short_lines_are_equal_only_if_they_are():
     import itertools
 
