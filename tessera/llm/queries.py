@@ -167,9 +167,31 @@ FROM d LEFT JOIN n USING (doc_id) JOIN least_of USING (doc_id)
 """
 
 
+#: All lines with their 5-shingles; pairs meet in the shingles of each that are rarest, of which a linked pair shares one.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS line_no FROM d),
+l AS (SELECT * FROM o WHERE regexp_matches(line, '\S')),
+u AS (SELECT line, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM l)),
+s AS (SELECT DISTINCT id, g FROM (SELECT id, unnest(CASE WHEN length(line) < 5 THEN [line] ELSE list_transform(range(1, length(line) - 3), lambda i: substr(line, i, 5)) END) AS g FROM u)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+f AS (SELECT g, count(*) AS df FROM s GROUP BY g),
+p AS (SELECT id, g, n FROM (SELECT s.id, s.g, n, row_number() OVER (PARTITION BY s.id ORDER BY df, s.g) AS k FROM s JOIN n USING (id) JOIN f USING (g)) WHERE k <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.id AS x, b.id AS y FROM p a JOIN p b ON a.g = b.g AND a.id < b.id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+m AS (SELECT x, y, count(*) AS c FROM c JOIN s a ON a.id = x JOIN s b ON b.id = y AND a.g = b.g GROUP BY ALL),
+links AS (SELECT x, y FROM m JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(a, b) AS (SELECT id, id FROM u UNION SELECT r.a, e.y FROM reach r JOIN edges e ON e.x = r.b),
+parts AS (SELECT a AS id, min(b) AS part FROM reach GROUP BY a),
+placed AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY part ORDER BY doc_id, line_no) AS place FROM l JOIN u USING (line) JOIN parts USING (id)),
+gone AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (place > 1) AS n, list(line_no ORDER BY line_no) FILTER (place > 1) AS nos FROM placed GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(lines, 0) AS n_lines, coalesce(n, 0) AS n_dropped, coalesce(nos, []) AS dropped_lines FROM documents LEFT JOIN gone USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_harmonic_packing, op2_content_addressed_store, op3_language_id, op4_fuzzy_line_dedup, op5_fm_index_decontamination, op6_token_attribution, op7_block_naming_exact_dedup, op8_bottom_k_near_dedup, op9_disclosure_pii, op10_toxicity, op11_context_mixing, op12_bit_sliced_hard_negatives, op13_louds_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fm_index_decontamination": OP5_SQL, "op7_block_naming_exact_dedup": OP7_SQL, "op8_bottom_k_near_dedup": OP8_SQL, "op12_bit_sliced_hard_negatives": OP12_SQL, "op13_louds_prefix_trie": OP13_SQL}
+    return {"op4_fuzzy_line_dedup": OP4_SQL, "op5_fm_index_decontamination": OP5_SQL, "op7_block_naming_exact_dedup": OP7_SQL, "op8_bottom_k_near_dedup": OP8_SQL, "op12_bit_sliced_hard_negatives": OP12_SQL, "op13_louds_prefix_trie": OP13_SQL}
