@@ -4,7 +4,9 @@ Arrow batches."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,10 +23,11 @@ DROPPED = ("script", "style", "nav", "header", "footer", "aside", "noscript", "i
 
 class _Reader(HTMLParser):
     """Collects strings; `before` elements get a break, `dropped` ones lose what they hold; with `inside`, only the first
-    element of that name (or class, with a dot before it) is read."""
+    element of that name (or class, with a dot before it) is read. An `ampersand` in the data stands for a plain one."""
 
-    def __init__(self, before=(), dropped=(), inside: str | None = None):
+    def __init__(self, before=(), dropped=(), inside: str | None = None, ampersand: str = "&"):
         super().__init__(convert_charrefs=True)
+        self.ampersand = ampersand
         self.before, self.dropped, self.inside = frozenset(before), frozenset(dropped), inside
         self.out: list[str] = []
         self.deep = self.open = 0
@@ -64,52 +67,61 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data):
         if self._reading():
-            self.out.append(data)
+            self.out.append(data.replace(self.ampersand, "&"))
 
 
-def _read(html: str, **how) -> _Reader:
-    reader = _Reader(**how)
+_REFERENCE = re.compile(r"&(#(?:[0-9]+|[xX][0-9A-Fa-f]+);|[A-Za-z][A-Za-z0-9]*;)?")
+
+
+def _read(html: str, closed: bool = False, **how) -> _Reader:
+    """closed: character references without a semicolon are text; otherwise those that HTML knows so are read too."""
+    mark = "&"
+    if closed:
+        mark = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in html)
+        html = _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else mark + m[0][1:], html)
+    reader = _Reader(**how, ampersand=mark)
     reader.feed(html)
     reader.close()
     return reader
 
 
-def blocks_of(html: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", "".join(_read(html, before=BLOCKS).out)).strip()
+def blocks_of(html: str, closed: bool = False) -> str:
+    return re.sub(r"\n{3,}", "\n\n", "".join(_read(html, closed, before=BLOCKS).out)).strip()
 
 
-def clean_of(html: str) -> str:
-    parts = [s for s in (x.strip() for x in _read(html, dropped=DROPPED).out) if s]
+def clean_of(html: str, closed: bool = False) -> str:
+    parts = [s for s in (x.strip() for x in _read(html, closed, dropped=DROPPED).out) if s]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(parts))
 
 
-def main_of(html: str, selectors: tuple[str, ...]) -> str:
+def main_of(html: str, selectors: tuple[str, ...], closed: bool = False) -> str:
     for s in (*selectors, "body"):
-        reader = _read(html, before=BLOCKS, dropped=("script", "style"), inside=s)
+        reader = _read(html, closed, before=BLOCKS, dropped=("script", "style"), inside=s)
         if reader.found:
             return re.sub(r"\n{3,}", "\n\n", "".join(reader.out)).strip()
     return ""
 
 
-@F.pandas_udf(T.StringType())
-def text_blocks(html: pd.Series) -> pd.Series:
-    """Text with an empty line before each block."""
-    return html.map(blocks_of, na_action="ignore")
+def _mapped(html: Column | str, f: Callable[[str], str]) -> Column:
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(f, na_action="ignore")
 
+    return F.pandas_udf(run, T.StringType())(html)
 
-@F.pandas_udf(T.StringType())
-def text_clean(html: pd.Series) -> pd.Series:
-    """Stripped strings of the article, a line each, without navigation and the like."""
-    return html.map(clean_of, na_action="ignore")
 
+def text_blocks(html: Column | str, closed: bool = False) -> Column:
+    """Text with an empty line before each block. closed: only character references that end in a semicolon are read."""
+    return _mapped(html, lambda x: blocks_of(x, closed))
 
-def main_block(html: Column, selectors: tuple[str, ...] = ("article", "main", ".content")) -> Column:
-    """Text of the first selector (element name, or class with a dot) that the page has, else of its body."""
 
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda x: main_of(x, selectors), na_action="ignore")
+def text_clean(html: Column | str, closed: bool = False) -> Column:
+    """Stripped strings of the article, a line each, without navigation and the like."""
+    return _mapped(html, lambda x: clean_of(x, closed))
 
-    return F.pandas_udf(run, T.StringType())(html)
+
+def main_block(html: Column | str, selectors: tuple[str, ...] = ("article", "main", ".content"), closed: bool = False) -> Column:
+    """Text of the first selector (element name, or class with a dot) that the page has, else of its body."""
+    return _mapped(html, lambda x: main_of(x, selectors, closed))
 
 
 def title(html: Column, fallback: Column) -> Column:

@@ -14,6 +14,14 @@ def test_html_text():
     assert html.main_of("no body at all", ("article",)) == ""
 
 
+def test_html_references_closed_or_not():
+    page = "<body><p>a &amp;b &amp<b>c</b> &lt d &#38;e &#38 f &nosuch; \ue000</p><script>x &amp y && z</script></body>"
+    assert html.blocks_of(page) == "a &b &c < d &e & f &nosuch; \ue000x &amp y && z"
+    assert html.blocks_of(page, closed=True) == "a &b &ampc &lt d &e &#38 f &nosuch; \ue000x &amp y && z"
+    assert html.main_of(page, (), closed=True) == "a &b &ampc &lt d &e &#38 f &nosuch; \ue000"
+    assert html.clean_of(page, closed=True).startswith("a &b &amp\nc\n&lt d")
+
+
 def test_html_columns(spark):
     d = spark.createDataFrame([(PAGE,), (None,), ("",)], "h string")
     rows = d.select(html.title(F.col("h"), F.lit("slug")).alias("t"), html.hrefs(F.col("h"), "pdf$").alias("l"), html.text_clean("h").alias("c")).collect()
