@@ -50,6 +50,17 @@ def test_white_space_as_python_has_it(spark):
     assert [(r.n, r.context) for r in patterns.scan(docs, [rule]).collect()] == [(2, "a price factor, PRICE factor")]
 
 
+def test_classes_of_ascii(spark):
+    # Before an accent a word ends for ASCII, not for Unicode; the first match's characters may stand in a longer word before it.
+    docs = spark.createDataFrame([(1, "undécor des und der. Unddieu und die"), (2, "dans\u00e9 les dansons les, dans les"), (3, "a und \u00fcber die"), (4, "zund die mit und die.")], "doc_id int, text string")
+    rules = [patterns.Rule("u", r"\bund\b"), patterns.Rule("d", r"\bdans\b[^.]{0,9}?\bles\b"), patterns.Rule("p", r"\bund\s+d(?:er|ie)\b")]
+    got = lambda **how: {(r.doc_id, r.pattern_id): (r.n, r.context) for r in patterns.scan(docs, rules, reach=4, **how).collect()}
+    assert {k: v[0] for k, v in got().items()} == {(1, "u"): 2, (1, "p"): 2, (2, "d"): 1, (3, "u"): 1, (4, "u"): 1, (4, "p"): 1}
+    plain = got(ascii_classes=True)
+    assert {k: v[0] for k, v in plain.items()} == {(1, "u"): 3, (1, "p"): 2, (2, "d"): 2, (3, "u"): 1, (4, "u"): 1, (4, "p"): 1}
+    assert plain[2, "d"] == (2, "dans\u00e9 les dan") and plain[4, "p"] == (1, "zund die mit") and got()[4, "p"] == (1, "mit und die.")
+
+
 def test_rules_are_checked():
     for bad in ([], [patterns.Rule("", "x")], [patterns.Rule("a", "x"), patterns.Rule("a", "y")], [patterns.Rule("a", "(")], [patterns.Rule("a", "x", "other")]):
         with pytest.raises(ValueError):
