@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalise
-from ..functions.similarity import length_bound, letter_counts, letters_bound, ratio, sorted_tokens
+from ..functions.similarity import lcs_of_pairs, sorted_tokens
 
 METHODS = ("fuzzy_composite", "fuzzy_title_only")
 
@@ -43,42 +47,70 @@ def year_ok(a: Column, b: Column, window: int = 2) -> Column:
     return F.coalesce(F.abs(a - b) <= window, F.lit(False))
 
 
-def _grams(text: Column) -> Column:
-    """Distinct pairs of neighbouring characters; a text of one character is its own."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
-    return F.when(F.length(text) > 1, F.array_distinct(pairs)).otherwise(F.array(text))
+#: Parts of each side, every two of which are one group of the comparison; tasks that groups are dealt out to; keys that are laid side by side at once, and
+#: how many sums their character pairs are hashed to.
+BLOCKS, TASKS, TILE, SUMS = 32, 256, 2048, 1024
+
+
+def _pair_counts(keys: list[str]) -> np.ndarray:
+    """For each key how many of its pairs of neighbouring characters fall into each of SUMS sums; the n-th occurrence of a pair counts as a pair of its own."""
+    x = np.frombuffer("".join(keys).encode("utf-32-le"), "<u4").astype(np.uint64)
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    inner = row[1:] == row[:-1]
+    row, pair = row[1:][inner], (x[:-1] << np.uint64(21) | x[1:])[inner]
+    order = np.lexsort((pair, row))
+    row, pair = row[order], pair[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
+    first = np.flatnonzero(new)
+    place = np.arange(len(row)) - np.repeat(first, np.diff([*first, len(row)]))
+    slot = (((pair << np.uint64(8)) + place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % SUMS
+    return np.bincount(row * SUMS + slot, minlength=len(keys) * SUMS).reshape(len(keys), SUMS).astype(np.float32)
+
+
+def similar_pairs(left: list[str], right: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in left, places in right, scores) of the pairs whose Indel similarity is at least the threshold, tile by tile.
+
+    A pair with a common subsequence of n characters has at least 3 n - 1 - (both lengths) pairs of neighbours in common, as each character that it leaves
+    out parts at most one pair of neighbours of the subsequence. Products of hashed counts are never less than what is in common, so no pair is missed."""
+    # What each key takes from the bound by its length, so that one product of matrices decides.
+    share = 3 * threshold / 200 - 1
+    lengths = [np.array([len(k) for k in side], np.int64) for side in (left, right)]
+    for i in range(0, len(left), TILE):
+        a, la = left[i : i + TILE], lengths[0][i : i + TILE]
+        x = np.column_stack([_pair_counts(a), -share * la, np.ones(len(a))]).astype(np.float32)
+        for j in range(0, len(right), TILE):
+            b, lb = right[j : j + TILE], lengths[1][j : j + TILE]
+            y = np.column_stack([_pair_counts(b), np.ones(len(b)), -share * lb]).astype(np.float32)
+            m, n = np.nonzero(x @ y.T >= -1.01)
+            both = la[m] + lb[n]
+            fit = 200 * np.minimum(la[m], lb[n]) >= threshold * both
+            m, n, both = m[fit], n[fit], both[fit]
+            score = 200.0 * lcs_of_pairs(a, b, m, n) / both
+            good = score >= threshold
+            yield i + m[good], j + n[good], score[good]
 
 
 def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """left_id, right_id, score of all pairs whose keys have an Indel similarity of at least the threshold.
 
-    left, right: id (a number), key (not empty). No pair is missed: keys that similar differ by at most
-    d = 2 n (100 - t) / t insertions and deletions, each of which touches two character pairs, so each has one of its
-    2 d + 1 rarest pairs in common with the other. A key with too few pairs for that meets all keys of fitting lengths.
-    Candidates are numbers until they are distinct; bounds by length and by letters come before the similarity.
+    left, right: id (a whole number), key (not empty). No pair is missed. Each side is cut into parts, and every two parts meet in a group of their own, so
+    the work is that of all pairs, but of some ten nanoseconds each, while what is held is one tile of a group.
     """
     t = float(threshold)
-    apart = F.floor(2 * F.length("key") * F.lit((100 - t) / t)).cast("int")
-    listed = [d.select("id", F.length("key").alias("len"), _grams(F.col("key")).alias("grams"), (2 * apart + 1).alias("prefix")) for d in (left, right)]
-    weights = listed[1].select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    sides = []
-    for d in listed:
-        flat = d.select("id", "len", "prefix", F.size("grams").alias("m"), F.explode("grams").alias("gram")).join(weights, "gram", "left")
-        rare = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))), lambda x: x["gram"])
-        sides.append(flat.groupBy("id", "len", "prefix", "m").agg(rare.alias("grams")))
-    few = F.col("m") < F.col("prefix")
-    reach = F.sequence(F.ceil(F.col("len") * F.lit(t / (200 - t))).cast("int"), F.floor(F.col("len") * F.lit((200 - t) / t)).cast("int"))
-    by_gram = lambda d, name: d.select(F.col("id").alias(name), F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("block"))
-    by_reach = lambda d, name: d.where(few).select(F.col("id").alias(name), F.explode(reach).alias("block"))
-    by_length = lambda d, name: d.select(F.col("id").alias(name), F.col("len").alias("block"))
-    a, b = sides
-    pairs = by_gram(a, "left_id").join(by_gram(b, "right_id"), "block")
-    pairs = pairs.unionByName(by_reach(a, "left_id").join(by_length(b, "right_id"), "block").withColumn("block", F.lit("")))
-    pairs = pairs.unionByName(by_length(a, "left_id").join(by_reach(b, "right_id"), "block").withColumn("block", F.lit("")))
-    keyed = lambda d, name, key: d.select(F.col("id").alias(name), F.col("key").alias(key), letter_counts(F.col("key")).alias(f"{key}_letters"))
-    both = pairs.select("left_id", "right_id").distinct().join(keyed(left, "left_id", "a"), "left_id").join(keyed(right, "right_id", "b"), "right_id")
-    both = both.where(length_bound(F.col("a"), F.col("b"), t)).where(letters_bound(F.col("a_letters"), F.col("b_letters"), F.length("a") + F.length("b"), t))
-    return both.withColumn("score", ratio("a", "b")).where(F.col("score") >= t).select("left_id", "right_id", "score")
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids = [x.column("id").to_numpy() for x in (a, b)]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *similar_pairs(a.column("key").to_pylist(), b.column("key").to_pylist(), t)]
+        m, n, score = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"left_id": ids[0][m], "right_id": ids[1][n], "score": score})
+
+    every = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
+    # Numbers of their own seeds, as ids may have been dealt out by their hash before.
+    part = F.pmod(F.hash(F.lit(7), "id"), F.lit(BLOCKS))
+    of = lambda d, block: d.select(F.explode(F.transform(every, lambda i: block(part, i))).alias("block"), F.col("id").cast("long").alias("id"), "key").repartition(TASKS, "block")
+    sides = [of(left, lambda own, i: own * BLOCKS + i), of(right, lambda own, i: i * BLOCKS + own)]
+    return sides[0].groupBy("block").cogroup(sides[1].groupBy("block")).applyInArrow(compare, "left_id long, right_id long, score double")
 
 
 def _stage(citations: DataFrame, bench: DataFrame, key: str, threshold: float, window: int, top: int, method: str) -> DataFrame:

@@ -39,3 +39,28 @@ def test_blocks_lose_no_pair(spark):
     for t in (80, 88, 93):
         got = {(r.left_id, r.right_id) for r in link.similar(d, d, t).collect()}
         assert got == {(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys) if similarity.ratio_of(a, b) >= t}
+
+
+def test_many_pairs_at_once_equal_single_ones():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(1)
+    keys = ["".join(rnd.choice("abcdé😀") for _ in range(rnd.choice([0, 1, 5, 63, 64, 65, 128, 129, 200]))) for _ in range(40)]
+    m, n = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40), indexing="ij"))
+    assert similarity.lcs_of_pairs(keys, keys, m, n).tolist() == [similarity.lcs(keys[i], keys[j]) for i, j in zip(m, n)]
+
+
+def test_few_pairs_of_unlike_keys_are_verified(monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    parts = [x + y for x in "bcdfghklmnprst" for y in "aeiou"]
+    left, right = ([" ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) for _ in range(9)) for _ in range(300)] for _ in range(2))
+    right[:20] = [k[:30] + "x" + k[31:] for k in left[:20]]
+    asked = []
+    monkeypatch.setattr(link, "lcs_of_pairs", lambda a, b, m, n: asked.append(len(m)) or similarity.lcs_of_pairs(a, b, m, n))
+    got = {(i, j) for m, n, _ in link.similar_pairs(left, right, 88) for i, j in zip(m.tolist(), n.tolist())}
+    assert got == {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if similarity.ratio_of(a, b) >= 88} and len(got) >= 20
+    assert sum(asked) < 300 * 300 // 10
