@@ -282,10 +282,11 @@ def doc_chapter_dup(t):
 
 @query("SELECT doc_id, array_to_string(w, ' ') AS abstract FROM (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM documents)")
 def doc_abstract(t):
-    """Texts as inverted indexes (word to places), and back."""
-    w = F.filter(F.split(F.translate("text", "\n", " "), " "), lambda x: x != "")
-    placed = t.documents.select("doc_id", F.posexplode_outer(w).alias("at", "word"))
-    index = placed.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id")
+    """Texts as inverted indexes (word to places), and back. Only texts are shuffled, once each: their words are taken apart where both groupings happen."""
+    whole = t.documents.select("doc_id", F.translate("text", "\n", " ").alias("text")).withColumn("row", F.monotonically_increasing_id()).repartition("row")
+    w = F.filter(F.split("text", " "), lambda x: x != "")
+    placed = whole.select("row", "doc_id", F.posexplode_outer(w).alias("at", "word"))
+    index = placed.groupBy("row", "doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("row", "doc_id")
     entries = F.filter(F.collect_list(F.struct("word", "places")), lambda e: e["word"].isNotNull())
     return index.agg(F.map_from_entries(entries).alias("index")).select("doc_id", text.abstract(F.col("index")).alias("abstract"))
 
