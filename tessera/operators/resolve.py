@@ -82,7 +82,10 @@ def overlap_report(regions: DataFrame, signals: tuple[str, ...]) -> DataFrame:
     return regions.agg(n(every).alias("all_present"), *(n(every & (F.shiftright("close", i) % 2 == 1)).alias(f"{a}_{b}") for i, (a, b) in enumerate(pairs)))
 
 
-def disagreeing(df: DataFrame, code: str, llm: str, venue: str, most: int = 10) -> DataFrame:
-    """venue, n: the venues with most rows in which both values are there and differ; of equals the first by name. Rows without a venue take no part."""
-    apart = df.where(F.col(venue).isNotNull() & (F.col(code) != F.col(llm)))
-    return apart.groupBy(F.col(venue).alias("venue")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "venue").limit(most)
+def disagreeing(df: DataFrame, code: str, llm: str, venue: str, most: int = 10, rows: str | None = None) -> DataFrame:
+    """venue, n: the venues with most rows in which both values are there and differ; of equals the first by name. Rows without a venue take no part.
+    rows: a column that says how many rows each one stands for."""
+    # A sum, not a filter, which Spark would apply to every row before it counts equal ones.
+    apart = F.when(F.col(code) != F.col(llm), F.col(rows) if rows else F.lit(1))
+    counted = df.where(F.col(venue).isNotNull()).groupBy(F.col(venue).alias("venue")).agg(F.sum(apart).alias("n"))
+    return counted.where("n > 0").orderBy(F.desc("n"), "venue").limit(most)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import plans
 from tessera.functions import normalise, text
 from tessera.operators import audit, link, merge, patterns, resolve, venues
 
@@ -75,6 +76,17 @@ def test_venue_cascade(spark):
     assert got == [(True, "academic"), (False, "practitioner"), (None, "ambiguous"), (None, "working_paper"), (None, "unknown"), (None, None)]
 
 
+def test_disagreeing_rows_may_stand_for_many(spark):
+    d = spark.createDataFrame([("a", True, False, 3), ("a", True, True, 9), ("b", False, True, 2), ("b", False, True, 2), (None, True, False, 8), ("c", None, True, 7)], "v string, code boolean, llm boolean, k long")
+    assert [tuple(r) for r in resolve.disagreeing(d, "code", "llm", "v", rows="k").collect()] == [("b", 4), ("a", 3)]
+    assert [tuple(r) for r in resolve.disagreeing(d, "code", "llm", "v").collect()] == [("b", 2), ("a", 1)]
+
+
+def test_abstracts_shuffle_texts_alone(spark):
+    plan = plans.queries()["doc_abstract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_resolution_order(spark):
     d = spark.createDataFrame([(True, False, True), (None, False, True), (None, True, False), (None, False, False), (None, None, None)], "code boolean, llm boolean, hedge boolean")
     value, source = resolve.canonical(F.col("code"), F.col("llm"), F.col("hedge"))
