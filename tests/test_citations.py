@@ -62,6 +62,27 @@ def test_classes_of_ascii(spark):
     assert plain[2, "d"] == (2, "dans\u00e9 les dan") and plain[4, "p"] == (1, "zund die mit") and got()[4, "p"] == (1, "mit und die.")
 
 
+def test_odd_letters_and_spaces_as_in_sql(spark):
+    import duckdb
+
+    from tessera.plans import citations
+
+    # Dotless and dotted i, long s, Kelvin sign, spaces that aren't ASCII's, at the ends of a context and within.
+    texts = ["rat\u0131on des", "a rat\u0130on und der", "th\u0131ng of", "\u00e9rations x, ration\u017fx thing", "ration\u212a b", "dan\u017f le\u017f", "und d\u0131e", "\u00a0und die\u2003", "und der\u3000", "dans\u0131 les", "dans \u0131\u0130 les", "ration\u00e9 x", None]
+    rows = [(i, x, f"s{i % 3}") for i, x in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = patterns.scan(docs, citations.RULES, ascii_classes=True).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(plans.oracle_sql()["canon_scan"]).fetchall())
+    # Classes, negated ones and groups' marks.
+    for regex in (r"x[a-k]z", r"x[^i]z", r"x[hi]z", r"(?:xI)z", r"x\wz", r"x\Wz", r"x[\w-]z"):
+        words = [f"x{c}z" for c in "iI\u0131\u0130\u017f\u212aq-"]
+        want = [con.execute("SELECT regexp_matches(?, ?, 'i')", [w, regex]).fetchone()[0] for w in words]
+        assert list(spark.range(1).select(*(F.lit(w).rlike(patterns._java(regex, True)) for w in words)).first()) == want, regex
+
+
 def test_rules_are_checked():
     for bad in ([], [patterns.Rule("", "x")], [patterns.Rule("a", "x"), patterns.Rule("a", "y")], [patterns.Rule("a", "(")], [patterns.Rule("a", "x", "other")]):
         with pytest.raises(ValueError):
