@@ -47,9 +47,9 @@ def year_ok(a: Column, b: Column, window: int = 2) -> Column:
     return F.coalesce(F.abs(a - b) <= window, F.lit(False))
 
 
-#: Parts of each side, every two of which are one group of the comparison; tasks that groups are dealt out to; keys that are laid side by side at once, and
-#: how many sums their character pairs are hashed to.
-BLOCKS, TASKS, TILE, SUMS = 32, 256, 2048, 1024
+#: Keys that a part of a side holds at most (in the mean), and at least if a side is cut into no more than FEW parts; every two parts are one group of the
+#: comparison. Keys that are laid side by side at once, and how many sums their character pairs are hashed to.
+PART, LEAST, FEW, TILE, SUMS = 16384, 1024, 8, 2048, 1024
 
 
 def _pair_counts(keys: list[str]) -> np.ndarray:
@@ -65,7 +65,17 @@ def _pair_counts(keys: list[str]) -> np.ndarray:
     first = np.flatnonzero(new)
     place = np.arange(len(row)) - np.repeat(first, np.diff([*first, len(row)]))
     slot = (((pair << np.uint64(8)) + place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % SUMS
-    return np.bincount(row * SUMS + slot, minlength=len(keys) * SUMS).reshape(len(keys), SUMS).astype(np.float32)
+    counts = np.bincount(row * SUMS + slot, minlength=len(keys) * SUMS).reshape(len(keys), SUMS)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.float32)
+
+
+def _beside(counts: np.ndarray, *columns) -> np.ndarray:
+    """The counts with further columns."""
+    out = np.empty((len(counts), SUMS + len(columns)), np.float32)
+    out[:, :SUMS] = counts
+    for i, c in enumerate(columns):
+        out[:, SUMS + i] = c
+    return out
 
 
 def similar_pairs(left: list[str], right: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,13 +86,15 @@ def similar_pairs(left: list[str], right: list[str], threshold: float) -> Iterat
     # What each key takes from the bound by its length, so that one product of matrices decides.
     share = 3 * threshold / 200 - 1
     lengths = [np.array([len(k) for k in side], np.int64) for side in (left, right)]
+    # Numbers of 32 bits are off by less than this.
+    least = -1.01 - 1e-6 * sum(int(n.max(initial=0)) for n in lengths)
+    others = [(j, _pair_counts(right[j : j + TILE])) for j in range(0, len(right), TILE)]
     for i in range(0, len(left), TILE):
         a, la = left[i : i + TILE], lengths[0][i : i + TILE]
-        x = np.column_stack([_pair_counts(a), -share * la, np.ones(len(a))]).astype(np.float32)
-        for j in range(0, len(right), TILE):
+        x = _beside(_pair_counts(a), -share * la, 1)
+        for j, counts in others:
             b, lb = right[j : j + TILE], lengths[1][j : j + TILE]
-            y = np.column_stack([_pair_counts(b), np.ones(len(b)), -share * lb]).astype(np.float32)
-            m, n = np.nonzero(x @ y.T >= -1.01)
+            m, n = np.divmod(np.flatnonzero(x @ _beside(counts, 1, -share * lb).T >= least), len(b))
             both = la[m] + lb[n]
             fit = 200 * np.minimum(la[m], lb[n]) >= threshold * both
             m, n, both = m[fit], n[fit], both[fit]
@@ -94,10 +106,12 @@ def similar_pairs(left: list[str], right: list[str], threshold: float) -> Iterat
 def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """left_id, right_id, score of all pairs whose keys have an Indel similarity of at least the threshold.
 
-    left, right: id (a whole number), key (not empty). No pair is missed. Each side is cut into parts, and every two parts meet in a group of their own, so
-    the work is that of all pairs, but of some ten nanoseconds each, while what is held is one tile of a group.
+    left, right: id (a whole number), key (not empty). No pair is missed. Each side is cut into parts by its number of keys, and every two parts meet in a
+    group of their own, so the work is that of all pairs, but of some ten nanoseconds each, while what is held is a part of one side and one tile.
     """
     t = float(threshold)
+    parts = [max(-(-n // PART), min(FEW, -(-n // LEAST)), 1) for n in (left.count(), right.count())]
+    tasks = max(1, min(2 * parts[0] * parts[1], 1024))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         ids = [x.column("id").to_numpy() for x in (a, b)]
@@ -105,11 +119,13 @@ def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
         m, n, score = (np.concatenate(x) for x in zip(*found))
         return pa.table({"left_id": ids[0][m], "right_id": ids[1][n], "score": score})
 
-    every = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
-    # Numbers of their own seeds, as ids may have been dealt out by their hash before.
-    part = F.pmod(F.hash(F.lit(7), "id"), F.lit(BLOCKS))
-    of = lambda d, block: d.select(F.explode(F.transform(every, lambda i: block(part, i))).alias("block"), F.col("id").cast("long").alias("id"), "key").repartition(TASKS, "block")
-    sides = [of(left, lambda own, i: own * BLOCKS + i), of(right, lambda own, i: i * BLOCKS + own)]
+    def of(d: DataFrame, own: int, other: int, block) -> DataFrame:
+        # Numbers of their own seeds, as ids may have been dealt out by their hash before.
+        part = F.pmod(F.hash(F.lit(7), "id"), F.lit(own))
+        every = F.sequence(F.lit(0), F.lit(other - 1))
+        return d.select(F.explode(F.transform(every, lambda i: block(part, i))).alias("block"), F.col("id").cast("long").alias("id"), "key").repartition(tasks, "block")
+
+    sides = [of(left, *parts, lambda x, i: x * parts[1] + i), of(right, *parts[::-1], lambda x, i: i * parts[1] + x)]
     return sides[0].groupBy("block").cogroup(sides[1].groupBy("block")).applyInArrow(compare, "left_id long, right_id long, score double")
 
 

@@ -64,3 +64,26 @@ def test_few_pairs_of_unlike_keys_are_verified(monkeypatch):
     got = {(i, j) for m, n, _ in link.similar_pairs(left, right, 88) for i, j in zip(m.tolist(), n.tolist())}
     assert got == {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if similarity.ratio_of(a, b) >= 88} and len(got) >= 20
     assert sum(asked) < 300 * 300 // 10
+
+
+def test_groups_follow_the_number_of_keys(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(9)
+    keys = sorted({"".join(rnd.choice("abc ") for _ in range(rnd.randint(1, 14))) for _ in range(80)})
+    d = spark.createDataFrame(list(enumerate(keys)), "id long, key string")
+    few = link.similar(d, d, 85)
+    # A small table is one group, not a thousand.
+    assert few.rdd.getNumPartitions() <= 4
+    want = {(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys) if similarity.ratio_of(a, b) >= 85}
+    assert {(r.left_id, r.right_id) for r in few.collect()} == want
+    monkeypatch.setattr(link, "LEAST", 20)
+    monkeypatch.setattr(link, "PART", 8)
+    assert {(r.left_id, r.right_id) for r in link.similar(d, d.where("id < 30"), 85).collect()} == {(i, j) for i, j in want if j < 30}
+
+
+def test_pairs_of_very_many_occurrences():
+    # More than 255 occurrences, which one byte does not hold.
+    keys = ["ab" * n for n in (1, 400, 420, 700)] + ["a" * 500]
+    got = {(i, j) for m, n, _ in link.similar_pairs(keys, keys, 93) for i, j in zip(m.tolist(), n.tolist())}
+    assert got == {(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys) if similarity.ratio_of(a, b) >= 93}
