@@ -44,6 +44,20 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").coalesce(1).mapInArrow(tidied(run), "node long, to long")
 
 
+def clusters_in_one_task(pairs: DataFrame) -> DataFrame:
+    """The pairs (pivot < doc), at most ONE_TASK_EDGES of them, with the cluster of each: the smallest item that hangs together with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(b.column("pivot").to_numpy(), b.column("doc").to_numpy()) for b in batches]
+        if rows:
+            pivot, doc = (np.concatenate(x) for x in zip(*rows))
+            node, to = joined(pivot, doc)
+            # The larger end of a pair is never the smallest of its cluster, so it is among the nodes, which ascend.
+            yield batch(pivot=pa.array(pivot), doc=pa.array(doc), cluster=pa.array(to[np.searchsorted(node, doc)]))
+
+    return pairs.select("pivot", "doc").coalesce(1).mapInArrow(tidied(run), "pivot long, doc long, cluster long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """node, component (smallest node reachable) for every node that is not itself the smallest of its component.
 
@@ -56,8 +70,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE
     def tidy(e: DataFrame) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
-    left = cut(tidy(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")))
+    left = cut(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b"))
     rounds: list[DataFrame] = []
+    # One task needs no tidy edges, so few of them are not shuffled.
+    if left.count() > one_task:
+        before, left = left, cut(tidy(left))
+        release(before)
     while left.count() > one_task:
         # Every edge (a, b) has b < a, so a node hooks to the least b of the edges in which it is a.
         hook = cut(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import LOWER, NON_SPACE, hashes, mix, parts, words
 from .common import batch, collect_garbage, cut, release, tidied, unwrap, wrap
-from .components import components
+from .components import ONE_TASK_EDGES, clusters_in_one_task, components
 from .lists import differ, linked
 
 #: Pairs, documents and bytes that a block is made for.
@@ -111,6 +111,8 @@ def inverted_lists(reps: DataFrame, similarity: float, k: int) -> DataFrame:
 
 def _clustered(pairs: DataFrame) -> DataFrame:
     """The pairs (pivot < doc) with the cluster of each: pairs that hang together by their documents have one cluster."""
+    if pairs.count() <= ONE_TASK_EDGES:
+        return cut(clusters_in_one_task(pairs))
     of = components(pairs, "pivot", "doc")
     # The larger end of a pair is never the smallest of its cluster, so it is among the nodes.
     out = cut(pairs.select("pivot", "doc").join(of.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc"))

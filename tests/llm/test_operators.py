@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import attribution, charsets, decontaminate, exactdup, langid, linededup, neardup, packing, pii, queries, store, toxicity
 from tessera.llm.common import held_out
-from tessera.llm.components import components
+from tessera.llm.components import clusters_in_one_task, components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, name string, score double, value long, spans string"
 LONG = "ab cd " * 5000
@@ -349,6 +349,17 @@ def test_shingle_sets_equal_those_of_characters():
     assert got == [100 * len(a & b) >= 30 * len(a | b) for a, b in zip(want[0:even:2], want[1:even:2])]
 
 
+def test_clusters_of_few_pairs_are_components(spark):
+    import random
+
+    rnd = random.Random(8)
+    pairs = sorted({tuple(sorted(rnd.sample(range(60), 2))) for _ in range(45)})
+    d = spark.createDataFrame(pairs, "pivot long, doc long")
+    of = {r.node: r.component for r in components(d, "pivot", "doc").collect()}
+    got = sorted(map(tuple, clusters_in_one_task(d).collect()))
+    assert got == [(a, b, of[b]) for a, b in pairs]
+
+
 def jaccard_components(rows, percent):
     sets = {}
     for i, t in rows:
