@@ -50,6 +50,8 @@ def year_ok(a: Column, b: Column, window: int = 2) -> Column:
 #: Keys that a part of a side holds at most (in the mean), and at least if a side is cut into no more than FEW parts; every two parts are one group of the
 #: comparison. Keys that are laid side by side at once, and how many sums their character pairs are hashed to.
 PART, LEAST, FEW, TILE, SUMS = 16384, 1024, 8, 2048, 1024
+#: Pairs of small groups that a block holds in the mean.
+PAIRS = 1 << 22
 
 
 def _pair_counts(keys: list[str]) -> np.ndarray:
@@ -63,7 +65,7 @@ def _pair_counts(keys: list[str]) -> np.ndarray:
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
     first = np.flatnonzero(new)
-    place = np.arange(len(row)) - np.repeat(first, np.diff([*first, len(row)]))
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
     slot = (((pair << np.uint64(8)) + place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % SUMS
     counts = np.bincount(row * SUMS + slot, minlength=len(keys) * SUMS).reshape(len(keys), SUMS)
     return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.float32)
@@ -129,6 +131,43 @@ def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     return sides[0].groupBy("block").cogroup(sides[1].groupBy("block")).applyInArrow(compare, "left_id long, right_id long, score double")
 
 
+def similar_within(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The same for pairs of one group only. left, right: by, id, key. The work is that of the pairs within groups. Groups with up to PART keys a side are
+    dealt out whole, many to a block; each side of a larger one is cut into parts, and every two parts meet in a block of their own."""
+    t = float(threshold)
+    left, right = (d.select(*(F.col(c).alias(c) for c in ("by", "id", "key"))) for d in (left, right))
+    size = lambda d, n: d.groupBy("by").agg(F.count("*").alias(n))
+    part = lambda n: F.ceil(F.col(n) / PART).cast("int")
+    cuts = size(left, "n").join(size(right, "m"), "by").select("by", "n", "m", part("n").alias("p"), part("m").alias("q"))
+    one = cuts.agg(F.sum(F.col("n").cast("double") * F.col("m")), F.sum(F.col("n") + F.col("m")), F.sum(F.when(F.col("p") * F.col("q") > 1, F.col("p") * F.col("q")))).first()
+    blocks = int(min(max((one[0] or 0) / PAIRS, (one[1] or 0) / PART, 1), 4096))
+    tasks = int(min(2 * (blocks + (one[2] or 0)), 1024))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        places = [{}, {}]
+        for side, own in zip((a, b), places):
+            for i, g in enumerate(side.column("by").to_pylist()):
+                own.setdefault(g, []).append(i)
+        ids = [x.column("id").to_numpy() for x in (a, b)]
+        keys = [x.column("key").to_pylist() for x in (a, b)]
+        for g in places[0].keys() & places[1].keys():
+            at = [np.array(own[g]) for own in places]
+            found += [(ids[0][at[0][m]], ids[1][at[1][n]], s) for m, n, s in similar_pairs(*([k[i] for i in x] for k, x in zip(keys, at)), t)]
+        x, y, score = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"left_id": x, "right_id": y, "score": score})
+
+    whole = F.col("p") * F.col("q") == 1
+    block = F.when(whole, F.pmod(F.xxhash64("by"), F.lit(blocks))).otherwise(F.xxhash64("by"))
+
+    def of(d: DataFrame, own: str, other: str, names: list[str]) -> DataFrame:
+        mine = F.pmod(F.hash(F.lit(7), "id"), F.col(own))
+        placed = d.join(cuts, "by").select(block.alias("block"), mine.alias(names[0]), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]), F.col("by").alias("by"), F.col("id").cast("long").alias("id"), F.col("key").alias("key"))
+        return placed.repartition(tasks, "block", "i", "j").groupBy("block", "i", "j")
+
+    return of(left, "p", "q", ["i", "j"]).cogroup(of(right, "q", "p", ["j", "i"])).applyInArrow(compare, "left_id long, right_id long, score double")
+
+
 def _stage(citations: DataFrame, bench: DataFrame, key: str, threshold: float, window: int, top: int, method: str) -> DataFrame:
     """row_id, bench_row, match_score, match_method: of the `top` most similar papers (the earlier of equals first), the
     first whose year fits."""

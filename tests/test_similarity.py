@@ -87,3 +87,18 @@ def test_pairs_of_very_many_occurrences():
     keys = ["ab" * n for n in (1, 400, 420, 700)] + ["a" * 500]
     got = {(i, j) for m, n, _ in link.similar_pairs(keys, keys, 93) for i, j in zip(m.tolist(), n.tolist())}
     assert got == {(i, j) for i, a in enumerate(keys) for j, b in enumerate(keys) if similarity.ratio_of(a, b) >= 93}
+
+
+def test_only_keys_of_one_group_are_compared(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    rows = sorted({(rnd.choice("ppppqrs"), "".join(rnd.choice("abc ") for _ in range(rnd.randint(1, 14)))) for _ in range(120)})
+    d = spark.createDataFrame([(g, i, k) for i, (g, k) in enumerate(rows)] + [(None, 900, "abc")], "by string, id long, key string")
+    want = {(i, j) for i, (g, a) in enumerate(rows) for j, (h, b) in enumerate(rows) if g == h and similarity.ratio_of(a, b) >= 85}
+    assert {(r.left_id, r.right_id) for r in link.similar_within(d, d, 85).collect()} == want
+    # A large group is cut, and its parts all meet.
+    monkeypatch.setattr(link, "PART", 24)
+    got = [(r.left_id, r.right_id) for r in link.similar_within(d, d.where("id < 60 and by <> 's'"), 85).collect()]
+    assert sorted(got) == sorted((i, j) for i, j in want if j < 60 and rows[j][0] != "s")
+    assert link.similar_within(d.where("by = 'p'"), d.where("by = 'q'"), 85).collect() == []
