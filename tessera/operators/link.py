@@ -48,14 +48,19 @@ def year_ok(a: Column, b: Column, window: int = 2) -> Column:
 
 
 #: Keys that a part of a side holds at most (in the mean), and at least if a side is cut into no more than FEW parts; every two parts are one group of the
-#: comparison. Keys that are laid side by side at once, and how many sums their character pairs are hashed to.
-PART, LEAST, FEW, TILE, SUMS = 16384, 1024, 8, 2048, 1024
+#: comparison. Keys that are laid side by side at once, how many bits their character pairs are hashed to, and to how many sums those are folded.
+PART, LEAST, FEW, TILE, BITS = 16384, 1024, 8, 2048, 1024
+#: The sums, and the threshold from which half of them tell enough pairs apart.
+SUMS, STRICT = 512, 90
+#: Pairs of keys whose bits are laid side by side at once.
+AT_ONCE = 1 << 14
 #: Pairs of small groups that a block holds in the mean.
 PAIRS = 1 << 22
 
 
-def _pair_counts(keys: list[str]) -> np.ndarray:
-    """For each key how many of its pairs of neighbouring characters fall into each of SUMS sums; the n-th occurrence of a pair counts as a pair of its own."""
+def _pair_counts(keys: list[str], sums: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each key how many of its pairs of neighbouring characters fall into each of `sums` sums, and which of BITS bits they set; the n-th occurrence of a
+    pair counts as a pair of its own."""
     x = np.frombuffer("".join(keys).encode("utf-32-le"), "<u4").astype(np.uint64)
     row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     inner = row[1:] == row[:-1]
@@ -66,17 +71,28 @@ def _pair_counts(keys: list[str]) -> np.ndarray:
     new[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
     first = np.flatnonzero(new)
     place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-    slot = (((pair << np.uint64(8)) + place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % SUMS
-    counts = np.bincount(row * SUMS + slot, minlength=len(keys) * SUMS).reshape(len(keys), SUMS)
-    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.float32)
+    slot = (((pair << np.uint64(8)) + place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % BITS
+    bits = np.zeros((len(keys), BITS), bool)
+    bits[row, slot] = True
+    counts = np.bincount(row * sums + slot % sums, minlength=len(keys) * sums).reshape(len(keys), sums)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.float32), np.packbits(bits, 1).view(np.uint64)
 
 
 def _beside(counts: np.ndarray, *columns) -> np.ndarray:
     """The counts with further columns."""
-    out = np.empty((len(counts), SUMS + len(columns)), np.float32)
-    out[:, :SUMS] = counts
-    for i, c in enumerate(columns):
-        out[:, SUMS + i] = c
+    out = np.empty((len(counts), counts.shape[1] + len(columns)), np.float32)
+    out[:, : counts.shape[1]] = counts
+    for i, c in enumerate(columns, counts.shape[1]):
+        out[:, i] = c
+    return out
+
+
+def _absent(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each i how many bits of x[m[i]] are not in y[n[i]]."""
+    out = np.empty(len(m), np.int64)
+    for k in range(0, len(m), AT_ONCE):
+        at = slice(k, k + AT_ONCE)
+        out[at] = np.bitwise_count(x[m[at]] & ~y[n[at]]).sum(1, dtype=np.int64)
     return out
 
 
@@ -84,22 +100,27 @@ def similar_pairs(left: list[str], right: list[str], threshold: float) -> Iterat
     """(places in left, places in right, scores) of the pairs whose Indel similarity is at least the threshold, tile by tile.
 
     A pair with a common subsequence of n characters has at least 3 n - 1 - (both lengths) pairs of neighbours in common, as each character that it leaves
-    out parts at most one pair of neighbours of the subsequence. Products of hashed counts are never less than what is in common, so no pair is missed."""
+    out parts at most one pair of neighbours of the subsequence. Products of hashed counts are never less than what is in common, and bits that only
+    one key has are never more than its other pairs, so no pair is missed."""
     # What each key takes from the bound by its length, so that one product of matrices decides.
     share = 3 * threshold / 200 - 1
     lengths = [np.array([len(k) for k in side], np.int64) for side in (left, right)]
     # Numbers of 32 bits are off by less than this.
     least = -1.01 - 1e-6 * sum(int(n.max(initial=0)) for n in lengths)
-    others = [(j, _pair_counts(right[j : j + TILE])) for j in range(0, len(right), TILE)]
+    sums = SUMS if threshold < STRICT else SUMS // 2
+    others = [(j, _pair_counts(right[j : j + TILE], sums)) for j in range(0, len(right), TILE)]
     for i in range(0, len(left), TILE):
         a, la = left[i : i + TILE], lengths[0][i : i + TILE]
-        x = _beside(_pair_counts(a), -share * la, 1)
-        for j, counts in others:
+        counts, bits = _pair_counts(a, sums)
+        x = _beside(counts, -share * la, 1)
+        for j, (counts, other_bits) in others:
             b, lb = right[j : j + TILE], lengths[1][j : j + TILE]
             m, n = np.divmod(np.flatnonzero(x @ _beside(counts, 1, -share * lb).T >= least), len(b))
             both = la[m] + lb[n]
             fit = 200 * np.minimum(la[m], lb[n]) >= threshold * both
             m, n, both = m[fit], n[fit], both[fit]
+            fit = la[m] + both - np.ceil(3 * threshold / 200 * both - 1e-6) >= _absent(bits, other_bits, m, n)
+            m, n, both = m[fit], n[fit], both[fit]
             score = 200.0 * lcs_of_pairs(a, b, m, n) / both
             good = score >= threshold
             yield i + m[good], j + n[good], score[good]

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -102,3 +103,18 @@ def test_only_keys_of_one_group_are_compared(spark, monkeypatch):
     got = [(r.left_id, r.right_id) for r in link.similar_within(d, d.where("id < 60 and by <> 's'"), 85).collect()]
     assert sorted(got) == sorted((i, j) for i, j in want if j < 60 and rows[j][0] != "s")
     assert link.similar_within(d.where("by = 'p'"), d.where("by = 'q'"), 85).collect() == []
+
+
+@pytest.mark.parametrize("threshold, most", [(85, 6000), (88, 1000), (93, 60)])
+def test_bits_leave_few_pairs_to_score(monkeypatch, threshold, most):
+    import random
+
+    rnd = random.Random(6)
+    parts = [x + y for x in "bdmnrst" for y in "aeiou"]
+    left, right = ([" ".join(sorted("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) for _ in range(9))) for _ in range(300)] for _ in range(2))
+    right[:40] = [k[: i % 20] + "xy"[: i % 3] + k[i % 20 + i % 4 :] for i, k in enumerate(left[:40])]
+    asked = []
+    monkeypatch.setattr(link, "lcs_of_pairs", lambda a, b, m, n: asked.append(len(m)) or similarity.lcs_of_pairs(a, b, m, n))
+    got = {(i, j) for m, n, _ in link.similar_pairs(left, right, threshold) for i, j in zip(m.tolist(), n.tolist())}
+    assert got == {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if similarity.ratio_of(a, b) >= threshold} and len(got) >= 20
+    assert sum(asked) <= most, sum(asked)
