@@ -64,3 +64,7 @@ def equals_sql_on(spark, folder, name):
 
 def test_sources_of_equal_hits_are_listed_as_in_sql(spark, odd):
     assert ("dans_les", "a:1; b:1; c:1; d:1") in equals_sql_on(spark, odd, "cand_top_sources")
+
+
+def test_longest_contexts_of_odd_texts_are_those_of_sql(spark, odd):
+    assert len(equals_sql_on(spark, odd, "canon_context")) > 50
