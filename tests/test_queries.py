@@ -68,3 +68,7 @@ def test_sources_of_equal_hits_are_listed_as_in_sql(spark, odd):
 
 def test_longest_contexts_of_odd_texts_are_those_of_sql(spark, odd):
     assert len(equals_sql_on(spark, odd, "canon_context")) > 50
+
+
+def test_mentions_in_odd_texts_are_those_of_sql(spark, odd):
+    assert len(equals_sql_on(spark, odd, "canon_count")) > 2
