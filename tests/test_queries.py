@@ -72,3 +72,7 @@ def test_longest_contexts_of_odd_texts_are_those_of_sql(spark, odd):
 
 def test_mentions_in_odd_texts_are_those_of_sql(spark, odd):
     assert len(equals_sql_on(spark, odd, "canon_count")) > 2
+
+
+def test_rows_of_odd_texts_are_those_of_sql(spark, odd):
+    assert len(equals_sql_on(spark, odd, "canon_row")) > 50
