@@ -279,3 +279,26 @@ def test_known_words_beat_noise(spark):
     got = {r.doc_id: r for r in mixing.score(texts(spark, good + noise), F.col("doc_id") % 10 != 0).collect()}
     assert all(got[i].score > got[1000].score + 20 for i in range(0, 60, 10))
     assert sum(got[i].score for i in range(0, 60, 10)) > sum(got[i].base_score for i in range(0, 60, 10)) - 5
+
+
+def test_weights_follow_the_errors_of_a_words_bits(spark):
+    rnd = np.random.default_rng(8)
+    table = rnd.integers(0, 40, (mixing.SLOTS, 2)).astype("<u2")
+    w, fix = rnd.normal(0.3, 0.2, (mixing.INPUTS, mixing.GATES)).astype(np.float32), rnd.normal(0, 1, mixing.GATES * mixing.STEPS).astype(np.float32)
+    # The last one is longer than what is worked on at once.
+    spelled = {b"": 1, b"a": 1, b"word": 1, b"another": 1, bytes(rnd.integers(97, 100, mixing.BYTES_AT_ONCE + 99).astype(np.uint8)): 1}
+    got = {bytes(r.word): r.spelling for r in mixing._by_word(words_of(spark, spelled), spark.sparkContext.broadcast((table.tobytes(), w, fix))).collect()}
+    for word in spelled:
+        t = mixing.Bytes(pa.array([word]))
+        bits = [mixing._inputs(table.view("<u4").ravel(), t, j, False) for j in range(8)]
+        x = np.stack([np.stack(b[0], 1) for b in bits], 1).reshape(-1, mixing.INPUTS).astype(np.float64)
+        gate, bit = (np.stack([b[k] for b in bits], 1).ravel() for k in (1, 2))
+        moved, total = np.zeros(mixing.INPUTS), 0.0
+        z0 = (w.T[gate] * x).sum(1)
+        for i, (z, y, g, one) in enumerate(zip(z0, x, gate, bit)):
+            # Steps of the correction are rounded, so what lies at an edge may go either way.
+            s = z + mixing.RATE / np.sqrt(max(i, 1)) * (moved @ y)
+            v = np.clip((s + fix[g * mixing.STEPS + mixing._step(s)]) / 2, -mixing.LIMIT, mixing.LIMIT)
+            total -= np.log1p(np.exp(-v if one else v))
+            moved = moved + (one - mixing._squash(z)) * y
+        assert got[word] == pytest.approx(total, rel=1e-4, abs=1e-3)
