@@ -8,7 +8,7 @@ comparison, and lists that lie within one component are closed, so a group of n
 is left of the lists goes into the next round, until every pair that a list holds was compared or is in one component.
 In the lists, a pair must not differ too much in parity: each set is also kept as 256 bits that say which remainders its
 hashes have an odd number of times, and two sets differ in at least as many items as these bits do, so no link can fail.
-What is left has to pass the estimate of the union's sketch; then the full sets decide.
+What is left has to pass the estimate of the union's sketch; then, at the same place, the full sets decide.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .lists import differ, linked
 
 #: Pairs, documents and bytes that a block is made for.
 PAIRS_PER_BLOCK, DOCS_PER_BLOCK, BYTES_PER_BLOCK = 2000, 2000, 16 << 20
+#: Pairs that a task is started for, at least on average.
+PAIRS_PER_TASK = 100
 #: Bits of a set's parity, in words of 64.
 PARITY_WORDS = 4
 #: Ids up to this number are broadcast (8 to 40 bytes each), more are joined by a shuffle.
@@ -136,10 +138,11 @@ def _compare(pairs: DataFrame, values: DataFrame, similar) -> tuple[DataFrame, D
     that is large in pairs, documents or bytes of their values, documents are dealt to blocks by hash and pairs to pairs of
     blocks, and a value is sent to each pair of blocks that has a pair of it; so what one pair of blocks holds does not grow.
     """
-    size = 8 * F.size("value") if dict(values.dtypes)["value"].startswith("array") else F.octet_length("value")
+    n_pairs = pairs.count()
+    few = 2 * n_pairs <= BROADCAST_IDS
     ends = pairs.select("cluster", F.explode(F.array("pivot", "doc")).alias("doc")).distinct()
     # Sizes are made before the join, so that it does not move the values.
-    held = ends.join(values.select("doc", size.alias("size")), "doc").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("size").alias("bytes"))
+    held = (F.broadcast(ends) if few else ends).join(values.select("doc", F.octet_length("value").alias("size")), "doc").groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("size").alias("bytes"))
     much = [F.ceil(F.sqrt(F.col("pairs") / PAIRS_PER_BLOCK)), F.ceil(F.col("docs") / DOCS_PER_BLOCK), F.ceil(F.col("bytes") / BYTES_PER_BLOCK)]
     large = pairs.groupBy("cluster").agg(F.count("*").alias("pairs")).join(held, "cluster").select("cluster", F.greatest(*much).alias("blocks")).where("blocks > 1")
     large = cut(large)
@@ -148,7 +151,7 @@ def _compare(pairs: DataFrame, values: DataFrame, similar) -> tuple[DataFrame, D
     dealt = _placed(pairs, large).select("cluster", block("pivot").alias("x"), block("doc").alias("y"), "pivot", "doc")
     needed = dealt.select(*place, F.explode(F.array("pivot", "doc")).alias("doc")).distinct()
     # Few of them are broadcast (their number is counted), so that the other values need not move.
-    needed = (F.broadcast(needed) if 2 * pairs.count() <= BROADCAST_IDS else needed).join(values, "doc")
+    needed = (F.broadcast(needed) if few else needed).join(values, "doc")
     rows = needed.select(*place, F.lit(0).alias("is_pair"), F.col("doc").alias("pivot"), F.lit(None).cast("long").alias("doc"), "value")
     rows = rows.unionByName(dealt.select(*place, F.lit(1).alias("is_pair"), "pivot", "doc"), allowMissingColumns=True)
     rows = rows.repartition(*place).sortWithinPartitions(*place, "is_pair", "pivot", "doc")
@@ -166,20 +169,26 @@ def _compare(pairs: DataFrame, values: DataFrame, similar) -> tuple[DataFrame, D
                     out.append((pivot, doc, cluster))
             yield batch(**{c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate(("pivot", "doc", "cluster"))})
 
+    # Few pairs need few tasks: a start of Python costs more than some comparisons. Partitions follow one another, so no more is held at once.
+    rows = rows.coalesce(max(1, math.ceil(n_pairs / PAIRS_PER_TASK)))
     return rows.mapInArrow(tidied(run), "pivot long, doc long, cluster long"), large
 
 
-class BySketch:
-    """The estimate: of the k smallest values of both sketches together, how many are in both."""
+class BySet:
+    """Exact Jaccard similarity of the full sets, 100 * intersection >= percent * union, of pairs that pass the estimate: of the k smallest
+    values of both sketches together, how many are in both. A sketch is the head of its set, so only the texts have to meet."""
 
-    def __init__(self, similarity: float, k: int):
-        self.similarity, self.k = similarity, k
+    def __init__(self, percent: int, shingle: int, k: int):
+        self.percent, self.shingle, self.k = percent, shingle, k
+        j = percent / 100
+        self.slack = 5 * math.sqrt(k * j * (1 - j))
 
     def prepare(self, value) -> np.ndarray:
-        return value.values.to_numpy().view(np.uint64)
+        data = np.frombuffer(value.as_buffer() or b"", np.uint8)
+        return shingle_sets(data, np.array([0, len(data)]), self.shingle)[0]
 
-    def holds(self, a: np.ndarray, b: np.ndarray) -> bool:
-        both = np.concatenate([a, b])
+    def likely(self, a: np.ndarray, b: np.ndarray) -> bool:
+        both = np.concatenate([a[: self.k], b[: self.k]])
         both.sort()
         twice = both[1:] == both[:-1]
         n = len(both) - int(twice.sum())
@@ -188,21 +197,10 @@ class BySketch:
             first = np.concatenate([[True], ~twice])
             last = both[first][m - 1]
             twice = twice & (both[1:] <= last)
-        return int(twice.sum()) >= m * self.similarity - 5 * math.sqrt(self.k * self.similarity * (1 - self.similarity))
-
-
-class BySet:
-    """Exact Jaccard similarity of the full sets: 100 * intersection >= percent * union."""
-
-    def __init__(self, percent: int, shingle: int):
-        self.percent, self.shingle = percent, shingle
-
-    def prepare(self, value) -> np.ndarray:
-        data = np.frombuffer(value.as_buffer() or b"", np.uint8)
-        return shingle_sets(data, np.array([0, len(data)]), self.shingle)[0]
+        return int(twice.sum()) >= m * self.percent / 100 - self.slack
 
     def holds(self, a: np.ndarray, b: np.ndarray) -> bool:
-        if 100 * min(len(a), len(b)) < self.percent * max(len(a), len(b)):
+        if 100 * min(len(a), len(b)) < self.percent * max(len(a), len(b)) or not self.likely(a, b):
             return False
         both = np.concatenate([a, b])
         both.sort()
@@ -210,6 +208,11 @@ class BySet:
         return 100 * inter >= self.percent * (len(both) - inter)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its number of rows, which is counted, allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id), one a row.
 
@@ -234,7 +237,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
     ids = cut(entries.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").join(entries, "value").select("doc").distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = cut(rows.where("text is not null").select(F.col("key").alias("doc"), F.encode("text", "UTF-8").alias("value")).join(wanted, "doc", "left_semi").dropDuplicates(["doc"]))
-    values = cut(sketched.select(F.col("rep").alias("doc"), F.col("sketch").alias("value")).join(wanted, "doc", "left_semi"))
     reps = cut(sketched.select(*copies, "rep", "least"))
     release(sketched)
     collect_garbage(docs.sparkSession)
@@ -243,28 +245,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, shingle: in
     def compare(pairs: DataFrame) -> DataFrame:
         release(*stored)  # of the round before
         pairs = _clustered(pairs)
-        likely, large = _compare(pairs, values, BySketch(similarity, k))
-        likely = cut(likely)
-        release(large)
-        found, large = _compare(likely, texts, BySet(percent, shingle))
-        stored[:] = pairs, likely, large
+        found, large = _compare(pairs, texts, BySet(percent, shingle, k))
+        stored[:] = pairs, large
         return found.select("pivot", "doc")
 
     def may(x: Column, y: Column) -> Column:
         return differ(x, y, percent, PARITY_WORDS)
 
     members = linked(entries, compare, may)
-    release(*stored, entries, values, texts, ids)
-    # Each set's component goes by its smallest document.
-    placed = reps.select(*copies, "rep", "least").join(members, F.col("rep") == F.col("node"), "left").select(*copies, "least", F.coalesce("component", "rep").alias("component"))
-    least = placed.groupBy("component").agg(F.min("least").alias("head"))
-    own = filled.select("doc_id", *copies).join(placed.join(least, "component").select(*copies, "head"), copies).select("doc_id", "head").distinct()
+    release(*stored, entries, texts, ids)
+    # Each set's component goes by its smallest document; sets that are alone are not moved for it.
+    joined = members.unionByName(members.select(F.col("component").alias("node"), "component").distinct())
+    inside = cut(reps.select("rep", "least").join(_few(joined.withColumnRenamed("node", "rep")), "rep"))
+    heads = cut(inside.join(_few(inside.groupBy("component").agg(F.min("least").alias("head"))), "component").select("rep", "head"))
+    sets = reps.join(_few(heads), "rep", "left").select(*copies, F.coalesce("head", "least").alias("head"))
+    own = filled.select("doc_id", *copies).join(sets, copies).select("doc_id", "head")
     # A document whose rows differ is in several sets; its links join them.
-    repeated = own.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1")
-    if repeated.isEmpty():
-        final = own.select("doc_id", F.col("head").alias("component_id"))
-    else:
+    final = cut(own.groupBy("doc_id").agg(F.min("head").alias("component_id"), F.max("head").alias("other")))
+    if not final.where("component_id <> other").isEmpty():
         final = components(own, "doc_id", "head").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    release(inside, heads)
     out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -423,6 +423,34 @@ def test_a_hot_cluster_is_compared_in_blocks(spark, monkeypatch):
         assert got == jaccard_components(rows, 85)
 
 
+def test_groups_of_copies_take_few_jobs(spark):
+    """Copies and near copies beside other documents, in at most 100 jobs (90 as written; 111 when sketches and sets were compared in two steps), with the rows of brute force."""
+    rows = [(i, " ".join(f"w{j}" if j != i % 30 else f"x{i}" for j in range(150))) for i in range(40)]
+    rows += [(100 + i, " ".join(f"y{i}_{j}" for j in range(40))) for i in range(10)]
+    docs = docs_of(spark, rows)
+    context = spark.sparkContext
+    context.setJobGroup("few-jobs", "near duplicates")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 85).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == jaccard_components(rows, 85)
+    assert len(context.statusTracker().getJobIdsForGroup("few-jobs")) <= 100
+
+
+def test_small_tasks_do_not_tidy_up(monkeypatch):
+    """Collecting garbage takes longer than a small task; a task that moved much still does it."""
+    import pyarrow as pa
+
+    from tessera.llm import common
+
+    calls = []
+    monkeypatch.setattr(common.gc, "collect", lambda: calls.append(1))
+    small, large = common.batch(x=pa.array([1])), common.batch(x=pa.array(np.zeros(1 << 18)))
+    assert list(common.tidied(lambda bs: bs)([small])) == [small] and not calls
+    assert list(common.tidied(lambda bs: bs)([large])) == [large] and calls
+
+
 def test_decontamination(spark, odd, empty):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     item = BENCH[0][1]
