@@ -48,89 +48,192 @@ def year_ok(a: Column, b: Column, window: int = 2) -> Column:
 
 
 #: Keys that a part of a side holds at most (in the mean), and at least if a side is cut into no more than FEW parts; every two parts are one group of the
-#: comparison. Keys that are laid side by side at once, how many bits their character pairs are hashed to, and to how many sums those are folded.
-PART, LEAST, FEW, TILE, BITS = 16384, 1024, 8, 2048, 1024
-#: The sums, and the threshold from which half of them tell enough pairs apart.
-SUMS, STRICT = 512, 90
-#: Pairs of keys whose bits are laid side by side at once.
-AT_ONCE = 1 << 14
+#: comparison.
+PART, LEAST, FEW = 131072, 1024, 8
+#: Characters that are counted apart (the last stands for all others), up to how many of each, and how many of these counts' steps become bits.
+LETTERS, STEPS, WIDTH = 32, 15, 128
+#: Keys of a cell of the left side, keys of the right one that are laid beside them at once, and rows of those that are.
+LEAF, TILE, ROWS = 1024, 4096, 64
+#: Bits that a key's pairs of characters are hashed to, keys whose pairs are hashed at once, and pairs of keys whose bits are laid side by side at once.
+BITS, HASHED, AT_ONCE = 1024, 4096, 1 << 14
+#: Pairs of keys that wait to be scored at most, but for those of a tile, and pairs that are kept before the best of each key are taken.
+WAITING, KEPT = 1 << 18, 1 << 22
 #: Pairs of small groups that a block holds in the mean.
 PAIRS = 1 << 22
 
 
-def _pair_counts(keys: list[str], sums: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each key how many of its pairs of neighbouring characters fall into each of `sums` sums, and which of BITS bits they set; the n-th occurrence of a
-    pair counts as a pair of its own."""
-    x = np.frombuffer("".join(keys).encode("utf-32-le"), "<u4").astype(np.uint64)
-    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    inner = row[1:] == row[:-1]
-    row, pair = row[1:][inner], (x[:-1] << np.uint64(21) | x[1:])[inner]
-    order = np.lexsort((pair, row))
-    row, pair = row[order], pair[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
-    first = np.flatnonzero(new)
-    place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-    slot = (((pair << np.uint64(8)) + place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % BITS
-    bits = np.zeros((len(keys), BITS), bool)
-    bits[row, slot] = True
-    counts = np.bincount(row * sums + slot % sums, minlength=len(keys) * sums).reshape(len(keys), sums)
-    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.float32), np.packbits(bits, 1).view(np.uint64)
-
-
-def _beside(counts: np.ndarray, *columns) -> np.ndarray:
-    """The counts with further columns."""
-    out = np.empty((len(counts), counts.shape[1] + len(columns)), np.float32)
-    out[:, : counts.shape[1]] = counts
-    for i, c in enumerate(columns, counts.shape[1]):
-        out[:, i] = c
+def _codes(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all keys, and the place of the key of each."""
+    return np.frombuffer("".join(keys).encode("utf-32-le"), "<u4"), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+
+
+def _pair_bits(keys: list[str]) -> np.ndarray:
+    """For each key which of BITS bits its pairs of neighbouring characters set; the n-th occurrence of a pair counts as a pair of its own."""
+    out = np.zeros((len(keys), BITS // 64), np.uint64)
+    for k in range(0, len(keys), HASHED):
+        x, row = _codes(keys[k : k + HASHED])
+        x = x.astype(np.uint64)
+        inner = row[1:] == row[:-1]
+        row, pair = row[1:][inner], (x[:-1] << np.uint64(21) | x[1:])[inner]
+        order = np.lexsort((pair, row))
+        row, pair = row[order], pair[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
+        first = np.flatnonzero(new)
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        slot = (((pair << np.uint64(8)) + place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % BITS
+        bits = np.zeros((len(keys[k : k + HASHED]), BITS), bool)
+        bits[row, slot] = True
+        out[k : k + HASHED] = np.packbits(bits, 1).view(np.uint64)
     return out
 
 
-def _absent(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each i how many bits of x[m[i]] are not in y[n[i]]."""
-    out = np.empty(len(m), np.int64)
+def _letter_counts(*sides: list[str]) -> list[np.ndarray]:
+    """For each key of each side how often it has each of the most frequent characters, and all others together; up to 255 of each."""
+    every = [np.zeros(0, np.int64)]
+    for k in (side[i : i + HASHED] for side in sides for i in range(0, len(side), HASHED)):
+        n = np.bincount(_codes(k)[0])
+        every[0], n = (every[0], n) if len(every[0]) >= len(n) else (n, every[0])
+        every[0][: len(n)] += n
+    place = np.full(len(every[0]), LETTERS - 1)
+    often = np.argsort(-every[0], kind="stable")[: LETTERS - 1]
+    place[often] = np.arange(len(often))
+    out = [np.zeros((len(side), LETTERS), np.uint8) for side in sides]
+    for side, counts in zip(sides, out):
+        for i in range(0, len(side), HASHED):
+            x, row = _codes(side[i : i + HASHED])
+            n = np.bincount(row * LETTERS + place[x], minlength=len(side[i : i + HASHED]) * LETTERS)
+            counts[i : i + HASHED] = np.minimum(n, 255).reshape(-1, LETTERS)
+    return out
+
+
+def _signs(x: np.ndarray) -> np.ndarray:
+    """Signs of the letters by which sums of counts spread far."""
+    around = np.cov(x.T)
+    w = np.where(np.linalg.eigh(around)[1][:, -1] < 0, -1.0, 1.0)
+    for _ in range(8):
+        w = np.where(around @ w < 0, -1.0, 1.0)
+    return w.astype(np.float32)
+
+
+def _cells(counts: list[np.ndarray], lengths: list[np.ndarray], apart: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all left keys cell by cell, and of the right keys, by length, that can be similar to one of the cell's."""
+    x, y = (c.astype(np.float32) for c in counts)
+    waiting = [(np.arange(len(x)), np.argsort(lengths[1], kind="stable"))]
+    while waiting:
+        i, j = waiting.pop()
+        if len(i) <= LEAF or not len(j):
+            yield i, j
+            continue
+        w = _signs(x[i[:: -(-len(i) // 2048)]])
+        f, g = x[i] @ w, y[j] @ w
+        for half in np.array_split(np.argsort(f, kind="stable"), 2):
+            # A character that one key leaves out changes its sum by one.
+            far = apart * (lengths[1][j] + lengths[0][i[half]].max()) + 1e-3
+            waiting.append((i[half], j[(g >= f[half[0]] - far) & (g <= f[half[-1]] + far)]))
+
+
+def _steps(counts: np.ndarray, letters: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Bits that tell whether a key has at least so many of a letter, in words."""
+    return np.packbits(counts.take(letters, 1) >= least, 1).view(np.uint64).T.copy()
+
+
+def _near_letters(x: np.ndarray, y: np.ndarray, lx: np.ndarray, ly: np.ndarray, apart: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in x and y, tile by tile, of pairs whose counts of letters differ by no more than the lengths allow. The steps of counts that part most pairs of
+    these keys are taken as bits, of which no more can differ than counts do. ly ascends."""
+    share = lambda c: (c[:, :, None] >= np.arange(1, STEPS + 1, dtype=np.uint8)).mean(0).ravel()
+    p, q = share(x[:: -(-len(x) // 512)]), share(y[:: -(-len(y) // 512)])
+    best = np.argsort(-(p * (1 - q) + q * (1 - p)), kind="stable")[:WIDTH]
+    letters, least = best // STEPS, (best % STEPS + 1).astype(np.uint8)
+    mine = _steps(x, letters, least)
+    words, more = np.empty(ROWS * TILE, np.uint64), np.empty((2, ROWS * TILE), np.uint8)
+    for k in range(0, len(y), TILE):
+        other = _steps(y[k : k + TILE], letters, least)
+        size, longest = other.shape[1], ly[min(k + TILE, len(y)) - 1]
+        most = np.minimum(np.floor(apart * (lx + longest) + 1e-6), 255).astype(np.uint8)[:, None]
+        found = []
+        for r in range(0, len(x), ROWS):
+            rows = min(ROWS, len(x) - r)
+            v, (n, one) = words[: rows * size].reshape(rows, size), (c[: rows * size].reshape(rows, size) for c in more)
+            for at, (a, b) in enumerate(zip(mine[:, r : r + rows], other)):
+                np.bitwise_count(np.bitwise_xor(a[:, None], b, out=v), out=one if at else n)
+                if at:
+                    np.add(n, one, out=n)
+            places = np.flatnonzero(n <= most[r : r + rows])
+            i, j = np.divmod(places, size)
+            fit = n.ravel()[places] <= apart * (lx[r + i] + ly[k + j]) + 1e-6
+            found.append((r + i[fit], k + j[fit]))
+        yield tuple(np.concatenate(f) for f in zip(*found))
+
+
+def _absent(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i how many bits of x[m[i]] are not in y[n[i]], and the other way round."""
+    out = np.empty((2, len(m)), np.int64)
     for k in range(0, len(m), AT_ONCE):
         at = slice(k, k + AT_ONCE)
-        out[at] = np.bitwise_count(x[m[at]] & ~y[n[at]]).sum(1, dtype=np.int64)
-    return out
+        a, b = x[m[at]], y[n[at]]
+        both = a & b
+        out[0, at], out[1, at] = (np.bitwise_count(side ^ both).sum(1, dtype=np.int64) for side in (a, b))
+    return out[0], out[1]
 
 
 def similar_pairs(left: list[str], right: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places in left, places in right, scores) of the pairs whose Indel similarity is at least the threshold, tile by tile.
-
-    A pair with a common subsequence of n characters has at least 3 n - 1 - (both lengths) pairs of neighbours in common, as each character that it leaves
-    out parts at most one pair of neighbours of the subsequence. Products of hashed counts are never less than what is in common, and bits that only
-    one key has are never more than its other pairs, so no pair is missed."""
-    # What each key takes from the bound by its length, so that one product of matrices decides.
-    share = 3 * threshold / 200 - 1
+    """(places in left, places in right, scores) of the pairs whose Indel similarity is at least the threshold, some at a time.
+
+    Keys of lengths a and b with a common subsequence of n characters differ by at most a + b - 2 n in their counts of letters, and so do sums of these counts
+    with any signs. Keys of the left side are halved by such sums until a cell has few, and only right keys within reach of both ends go with a half. A pair has at
+    least 3 n - 1 - (a + b) pairs of neighbours in common, as each character that it leaves out parts at most one pair of neighbours of the subsequence. Bits that
+    only one key has are never more than its other pairs, so no pair is missed."""
+    if not left or not right:
+        return
+    apart = 1 - threshold / 100
     lengths = [np.array([len(k) for k in side], np.int64) for side in (left, right)]
-    # Numbers of 32 bits are off by less than this.
-    least = -1.01 - 1e-6 * sum(int(n.max(initial=0)) for n in lengths)
-    sums = SUMS if threshold < STRICT else SUMS // 2
-    others = [(j, _pair_counts(right[j : j + TILE], sums)) for j in range(0, len(right), TILE)]
-    for i in range(0, len(left), TILE):
-        a, la = left[i : i + TILE], lengths[0][i : i + TILE]
-        counts, bits = _pair_counts(a, sums)
-        x = _beside(counts, -share * la, 1)
-        for j, (counts, other_bits) in others:
-            b, lb = right[j : j + TILE], lengths[1][j : j + TILE]
-            m, n = np.divmod(np.flatnonzero(x @ _beside(counts, 1, -share * lb).T >= least), len(b))
-            both = la[m] + lb[n]
-            fit = 200 * np.minimum(la[m], lb[n]) >= threshold * both
-            m, n, both = m[fit], n[fit], both[fit]
-            fit = la[m] + both - np.ceil(3 * threshold / 200 * both - 1e-6) >= _absent(bits, other_bits, m, n)
-            m, n, both = m[fit], n[fit], both[fit]
-            score = 200.0 * lcs_of_pairs(a, b, m, n) / both
-            good = score >= threshold
-            yield i + m[good], j + n[good], score[good]
-
-
-def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    counts, bits = _letter_counts(left, right), [_pair_bits(side) for side in (left, right)]
+
+    def scored(waiting):
+        m, n = (np.concatenate(x) for x in zip(*waiting))
+        order = np.argsort(m, kind="stable")
+        (a, m), (b, n) = (np.unique(x[order], return_inverse=True) for x in (m, n))
+        score = 200.0 * lcs_of_pairs([left[k] for k in a], [right[k] for k in b], m, n) / (lengths[0][a[m]] + lengths[1][b[n]])
+        good = score >= threshold
+        return a[m[good]], b[n[good]], score[good]
+
+    for i, j in _cells(counts, lengths, apart):
+        waiting, size = [], 0
+        for m, n in _near_letters(counts[0][i], counts[1][j], lengths[0][i], lengths[1][j], apart) if len(j) else ():
+            m, n = i[m], j[n]
+            la, lb = lengths[0][m], lengths[1][n]
+            fit = 200 * np.minimum(la, lb) >= threshold * (la + lb)
+            m, n, la, lb = m[fit], n[fit], la[fit], lb[fit]
+            free = la + lb - np.ceil(3 * threshold / 200 * (la + lb) - 1e-6)
+            one, other = _absent(*bits, m, n)
+            fit = (la + free >= one) & (lb + free >= other)
+            waiting, size = [*waiting, (m[fit], n[fit])], size + np.count_nonzero(fit)
+            if size >= WAITING:
+                yield scored(waiting)
+                waiting, size = [], 0
+        if size:
+            yield scored(waiting)
+
+
+def _best(found: list, ids: list[np.ndarray], top: int | None) -> list:
+    """One part of the found pairs: of each left key the `top` most similar, the smaller right id first among equals."""
+    m, n, score = (np.concatenate(x) for x in zip(*found))
+    if top is not None:
+        order = np.lexsort((ids[1][n], -score, m))
+        m, n, score = m[order], n[order], score[order]
+        first = np.flatnonzero(np.append(True, m[1:] != m[:-1])) if len(m) else np.zeros(0, np.int64)
+        keep = np.arange(len(m)) - np.repeat(first, np.diff(np.append(first, len(m)))) < top
+        m, n, score = m[keep], n[keep], score[keep]
+    return [(m, n, score)]
+
+
+def similar(left: DataFrame, right: DataFrame, threshold: float, top: int | None = None) -> DataFrame:
     """left_id, right_id, score of all pairs whose keys have an Indel similarity of at least the threshold.
 
     left, right: id (a whole number), key (not empty). No pair is missed. Each side is cut into parts by its number of keys, and every two parts meet in a
-    group of their own, so the work is that of all pairs, but of some ten nanoseconds each, while what is held is a part of one side and one tile.
+    group of their own, so the work is that of all pairs, but of a nanosecond or two each, while what is held is a part of each side and one tile.
+    With `top`, pairs are left out that cannot be among so many of a left key, the more similar and then the smaller right_id first.
     """
     t = float(threshold)
     parts = [max(-(-n // PART), min(FEW, -(-n // LEAST)), 1) for n in (left.count(), right.count())]
@@ -138,8 +241,12 @@ def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         ids = [x.column("id").to_numpy() for x in (a, b)]
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *similar_pairs(a.column("key").to_pylist(), b.column("key").to_pylist(), t)]
-        m, n, score = (np.concatenate(x) for x in zip(*found))
+        found, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+        for one in similar_pairs(a.column("key").to_pylist(), b.column("key").to_pylist(), t):
+            found, size = [*found, one], size + len(one[0])
+            if top is not None and size >= KEPT:
+                found, size = _best(found, ids, top), 0
+        m, n, score = _best(found, ids, top)[0]
         return pa.table({"left_id": ids[0][m], "right_id": ids[1][n], "score": score})
 
     def of(d: DataFrame, own: int, other: int, block) -> DataFrame:
@@ -189,18 +296,25 @@ def similar_within(left: DataFrame, right: DataFrame, threshold: float) -> DataF
     return of(left, "p", "q", ["i", "j"]).cogroup(of(right, "q", "p", ["j", "i"])).applyInArrow(compare, "left_id long, right_id long, score double")
 
 
+def _first_of_each(d: DataFrame, by: str, order: list[Column], most: int, name: str) -> DataFrame:
+    """The first `most` rows of each group, with their place; every task leaves out what cannot be among them before rows are moved."""
+    return d.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(name) <= most)
+
+
 def _stage(citations: DataFrame, bench: DataFrame, key: str, threshold: float, window: int, top: int, method: str) -> DataFrame:
     """row_id, bench_row, match_score, match_method: of the `top` most similar papers (the earlier of equals first), the
     first whose year fits."""
-    # Equal keys are compared once; their rows are put back after.
+    # Equal keys are compared and their papers ranked once, as rows of one key have the same papers. Of the papers of one key, which are equally similar, only
+    # the first `top` can be among a citation's; so rows of equal keys never meet as pairs.
     left = citations.where(F.col(key) != "").select("row_id", "recovered_year", sorted_tokens(F.col(key)).alias("key"))
     right = bench.where(F.col(key) != "").select("bench_row", F.col("year").alias("bench_year"), sorted_tokens(F.col(key)).alias("key"))
     keys = [left.groupBy("key").agg(F.min("row_id").alias("id")), right.groupBy("key").agg(F.min("bench_row").alias("id"))]
-    scored = similar(*keys, threshold)
+    scored = similar(*keys, threshold, top)
     of = lambda d, k, name: d.join(k.withColumnRenamed("id", name), "key").drop("key")
-    rows = scored.join(of(left, keys[0], "left_id"), "left_id").join(of(right, keys[1], "right_id"), "right_id")
-    rank = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("score"), "bench_row"))
-    fit = rows.withColumn("rank", rank).where(F.col("rank") <= top).where(year_ok(normalise.whole_number(F.col("recovered_year")), F.col("bench_year"), window))
+    papers = of(_first_of_each(right, "key", [F.asc("bench_row")], top, "place").drop("place"), keys[1], "right_id")
+    ranked = _first_of_each(scored.join(papers, "right_id"), "left_id", [F.desc("score"), F.asc("bench_row")], top, "rank")
+    rows = ranked.join(of(left, keys[0], "left_id"), "left_id")
+    fit = rows.where(year_ok(normalise.whole_number(F.col("recovered_year")), F.col("bench_year"), window))
     best = fit.groupBy("row_id").agg(F.min_by(F.struct("bench_row", "score"), "rank").alias("b"))
     return best.select("row_id", F.col("b.bench_row").alias("bench_row"), F.col("b.score").alias("match_score"), F.lit(method).alias("match_method"))
 

@@ -148,6 +148,25 @@ def test_link_stops_at_rank_five(spark):
     assert link.link(cites, bench).first().match_method == "unmatched"
 
 
+def joined_rows(plan):
+    """The most rows that a join of the plan, which has run, gave."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return joined_rows(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return joined_rows(plan.plan())
+    own = plan.metrics().get("numOutputRows").get().value() if "Join" in plan.nodeName() else 0
+    return max([own] + [joined_rows(plan.children().apply(i)) for i in range(plan.children().size())])
+
+
+def test_rows_of_equal_keys_do_not_meet_as_pairs(spark):
+    title = "an analysis of things that matter"
+    bench = papers(spark, [(title, 1950)] * 4 + [(title, 1990)] * 66 + [("unlike " * 5, 1990)])
+    cites = spark.createDataFrame([(i, "d", title, "Doe", 1990 if i % 2 else 1951, "true", None, None) for i in range(60)], CITE)
+    found = link.stage_b(link.citation_keys(cites), link.benchmark_keys(bench))
+    assert {r.row_id: (r.bench_row, r.match_score) for r in found.collect()} == {i: (4 if i % 2 else 0, 100.0) for i in range(60)}
+    assert joined_rows(found._jdf.queryExecution().executedPlan()) <= 60 * 5
+
+
 def test_document_dois_are_those_of_the_first_row(spark):
     cites = spark.createDataFrame([(1, "d", None, None, None, "true", None, None), (2, "d", None, None, None, "true", None, '["10.1/1"]')], CITE)
     assert link.document_dois(cites).first().dois == []

@@ -118,3 +118,38 @@ def test_bits_leave_few_pairs_to_score(monkeypatch, threshold, most):
     got = {(i, j) for m, n, _ in link.similar_pairs(left, right, threshold) for i, j in zip(m.tolist(), n.tolist())}
     assert got == {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if similarity.ratio_of(a, b) >= threshold} and len(got) >= 20
     assert sum(asked) <= most, sum(asked)
+
+
+@pytest.mark.parametrize("threshold", [75, 88, 93])
+def test_cells_and_tiles_lose_no_pair(monkeypatch, threshold):
+    import random
+
+    rnd = random.Random(8)
+    tongues = [[x + y for x in a for y in b] for a, b in (("bdmnr", "aei"), ("sxkzt", "ouy"), ("жшд", "іа😀"))]
+    base = [" ".join(sorted("".join(rnd.choice(t) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 9)))) for t in tongues for _ in range(70)]
+    left = sorted({*base, *(k[: len(k) // 2] for k in base), "a", "ab" * 400})
+    right = sorted({k[:i] + "xyж"[i % 3] * (i % 3) + k[i + i % 4 :] for i, k in enumerate(base)} | {*base[::5], "a", "ab" * 410})
+    want = {(i, j): similarity.ratio_of(a, b) for i, a in enumerate(left) for j, b in enumerate(right) if similarity.ratio_of(a, b) >= threshold}
+    laid, near = [], link._near_letters
+    monkeypatch.setattr(link, "_near_letters", lambda x, y, *more: laid.append(len(x) * len(y)) or near(x, y, *more))
+    for name, value in (("LEAF", 8), ("TILE", 32), ("ROWS", 3), ("WAITING", 50), ("HASHED", 30)):
+        monkeypatch.setattr(link, name, value)
+    found = [(i, j, s) for m, n, score in link.similar_pairs(left, right, threshold) for i, j, s in zip(m.tolist(), n.tolist(), score.tolist())]
+    assert len(found) == len(want) > 100 and {(i, j): s for i, j, s in found} == want
+    # Keys of other letters are not laid side by side.
+    assert sum(laid) < len(left) * len(right) / 2
+
+
+def test_the_best_of_a_key_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    keys = sorted({"".join(rnd.choice("ab ") for _ in range(rnd.randint(4, 12))) for _ in range(90)})
+    d = spark.createDataFrame(list(enumerate(keys)), "id long, key string")
+    monkeypatch.setattr(link, "LEAST", 30)
+    monkeypatch.setattr(link, "KEPT", 40)
+    monkeypatch.setattr(link, "LEAF", 8)
+    order = lambda r: (r.left_id, -r.score, r.right_id)
+    every, some = (sorted(link.similar(d, d, 70, top).collect(), key=order) for top in (None, 3))
+    best = lambda rows: [r for k, r in enumerate(rows) if k < 3 or rows[k - 3].left_id != r.left_id]
+    assert best(some) == best(every) and len(best(every)) < len(some) < len(every)
