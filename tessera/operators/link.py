@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ PART, LEAST, FEW = 131072, 1024, 8
 #: Characters that are counted apart (the last stands for all others), up to how many of each, and how many of these counts' steps become bits.
 LETTERS, STEPS, WIDTH = 32, 15, 128
 #: Keys of a cell of the left side, keys of the right one that are laid beside them at once, and rows of those that are.
-LEAF, TILE, ROWS = 1024, 4096, 64
+LEAF, TILE, ROWS = 1024, 4096, 16
 #: Bits that a key's pairs of characters are hashed to, keys whose pairs are hashed at once, and pairs of keys whose bits are laid side by side at once.
 BITS, HASHED, AT_ONCE = 1024, 4096, 1 << 14
 #: Pairs of keys that wait to be scored at most, but for those of a tile, and pairs that are kept before the best of each key are taken.
@@ -73,13 +74,10 @@ def _pair_bits(keys: list[str]) -> np.ndarray:
     for k in range(0, len(keys), HASHED):
         x, row = _codes(keys[k : k + HASHED])
         x = x.astype(np.uint64)
-        inner = row[1:] == row[:-1]
-        row, pair = row[1:][inner], (x[:-1] << np.uint64(21) | x[1:])[inner]
-        order = np.lexsort((pair, row))
-        row, pair = row[order], pair[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
-        first = np.flatnonzero(new)
+        # Sorted by key and then pair, both in one number.
+        both = np.sort((row[1:].astype(np.uint64) << np.uint64(42) | x[:-1] << np.uint64(21) | x[1:])[row[1:] == row[:-1]])
+        row, pair = (both >> np.uint64(42)).astype(np.int64), both & np.uint64((1 << 42) - 1)
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
         place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
         slot = (((pair << np.uint64(8)) + place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % BITS
         bits = np.zeros((len(keys[k : k + HASHED]), BITS), bool)
@@ -146,24 +144,29 @@ def _near_letters(x: np.ndarray, y: np.ndarray, lx: np.ndarray, ly: np.ndarray,
     best = np.argsort(-(p * (1 - q) + q * (1 - p)), kind="stable")[:WIDTH]
     letters, least = best // STEPS, (best % STEPS + 1).astype(np.uint8)
     mine = _steps(x, letters, least)
-    words, more = np.empty(ROWS * TILE, np.uint64), np.empty((2, ROWS * TILE), np.uint8)
+    words, one = np.empty(ROWS * TILE, np.uint64), np.empty(ROWS * TILE, np.uint8)
+    # How many bits of a pair differ, and whether no more than may; eight pairs of a word are looked at together, as nearly all are apart.
+    apart_by, near = np.empty(len(x) * TILE, np.uint8), np.zeros(len(x) * TILE + 8, bool)
     for k in range(0, len(y), TILE):
         other = _steps(y[k : k + TILE], letters, least)
         size, longest = other.shape[1], ly[min(k + TILE, len(y)) - 1]
-        most = np.minimum(np.floor(apart * (lx + longest) + 1e-6), 255).astype(np.uint8)[:, None]
-        found = []
+        n, fits = (c[: len(x) * size].reshape(-1, size) for c in (apart_by, near))
         for r in range(0, len(x), ROWS):
-            rows = min(ROWS, len(x) - r)
-            v, (n, one) = words[: rows * size].reshape(rows, size), (c[: rows * size].reshape(rows, size) for c in more)
-            for at, (a, b) in enumerate(zip(mine[:, r : r + rows], other)):
-                np.bitwise_count(np.bitwise_xor(a[:, None], b, out=v), out=one if at else n)
+            sums = n[r : r + ROWS]
+            v, more = (c[: sums.size].reshape(sums.shape) for c in (words, one))
+            for at, (a, b) in enumerate(zip(mine[:, r : r + ROWS], other)):
+                np.bitwise_count(np.bitwise_xor(a[:, None], b, out=v), out=more if at else sums)
                 if at:
-                    np.add(n, one, out=n)
-            places = np.flatnonzero(n <= most[r : r + rows])
-            i, j = np.divmod(places, size)
-            fit = n.ravel()[places] <= apart * (lx[r + i] + ly[k + j]) + 1e-6
-            found.append((r + i[fit], k + j[fit]))
-        yield tuple(np.concatenate(f) for f in zip(*found))
+                    np.add(sums, more, out=sums)
+        np.less_equal(n, np.minimum(np.floor(apart * (lx + longest) + 1e-6), 255).astype(np.uint8)[:, None], out=fits)
+        near[n.size : n.size + 8] = False
+        eights = near[: -(-n.size // 8) * 8].reshape(-1, 8)
+        some = np.flatnonzero(eights.view(np.uint64))
+        which, at = np.nonzero(eights[some])
+        places = some[which] * 8 + at
+        i, j = np.divmod(places, size)
+        fit = apart_by[places] <= apart * (lx[i] + ly[k + j]) + 1e-6
+        yield i[fit], k + j[fit]
 
 
 def _absent(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,13 +304,22 @@ def _first_of_each(d: DataFrame, by: str, order: list[Column], most: int, name:
     return d.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(name) <= most)
 
 
-def _stage(citations: DataFrame, bench: DataFrame, key: str, threshold: float, window: int, top: int, method: str) -> DataFrame:
+def _kept(citations: DataFrame, bench: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides' ids and years with a key for each method, null where a row takes no part. Normal forms cost more than anything but the comparison and are
+    asked for several times, so they are worked out once and lie on the executors' disks while the result is in use."""
+    key = lambda c, also=F.lit(True): F.when(also & (F.col(c) != ""), sorted_tokens(F.col(c)))
+    named = lambda both: (both.alias(METHODS[0]), key("key_title").alias(METHODS[1]))
+    left = citations.select("row_id", "recovered_year", *named(key("key_composite", F.expr("key_author <> '' and key_title <> ''"))))
+    right = bench.select("bench_row", F.col("year").alias("bench_year"), *named(key("key_composite")))
+    return tuple(d.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY) for d in (left, right))
+
+
+def _stage(citations: DataFrame, bench: DataFrame, method: str, threshold: float, window: int, top: int) -> DataFrame:
     """row_id, bench_row, match_score, match_method: of the `top` most similar papers (the earlier of equals first), the
-    first whose year fits."""
+    first whose year fits. citations, bench: as kept."""
     # Equal keys are compared and their papers ranked once, as rows of one key have the same papers. Of the papers of one key, which are equally similar, only
     # the first `top` can be among a citation's; so rows of equal keys never meet as pairs.
-    left = citations.where(F.col(key) != "").select("row_id", "recovered_year", sorted_tokens(F.col(key)).alias("key"))
-    right = bench.where(F.col(key) != "").select("bench_row", F.col("year").alias("bench_year"), sorted_tokens(F.col(key)).alias("key"))
+    left, right = (d.where(F.col(method).isNotNull()).select(*d.columns[:2], F.col(method).alias("key")) for d in (citations, bench))
     keys = [left.groupBy("key").agg(F.min("row_id").alias("id")), right.groupBy("key").agg(F.min("bench_row").alias("id"))]
     scored = similar(*keys, threshold, top)
     of = lambda d, k, name: d.join(k.withColumnRenamed("id", name), "key").drop("key")
@@ -320,16 +332,17 @@ def _stage(citations: DataFrame, bench: DataFrame, key: str, threshold: float, w
 
 
 def stage_a(citations: DataFrame, bench: DataFrame, threshold: float = 88, window: int = 2, top: int = 5) -> DataFrame:
-    return _stage(citations.where("key_author <> '' and key_title <> ''"), bench, "key_composite", threshold, window, top, METHODS[0])
+    return _stage(*_kept(citations, bench), METHODS[0], threshold, window, top)
 
 
 def stage_b(citations: DataFrame, bench: DataFrame, threshold: float = 93, window: int = 2, top: int = 5) -> DataFrame:
-    return _stage(citations, bench, "key_title", threshold, window, top, METHODS[1])
+    return _stage(*_kept(citations, bench), METHODS[1], threshold, window, top)
 
 
 def found(citations: DataFrame, bench: DataFrame, composite: float = 88, title: float = 93, window: int = 2, top: int = 5) -> DataFrame:
     """Stage A's paper, else stage B's. B is not kept from the rows that A found, which would run A twice; A's rows win."""
-    either = stage_a(citations, bench, composite, window, top).unionByName(stage_b(citations, bench, title, window, top))
+    kept = _kept(citations, bench)
+    either = _stage(*kept, METHODS[0], composite, window, top).unionByName(_stage(*kept, METHODS[1], title, window, top))
     best = either.groupBy("row_id").agg(F.min_by(F.struct("bench_row", "match_score", "match_method"), "match_method").alias("b"))
     return best.select("row_id", "b.*")
 
